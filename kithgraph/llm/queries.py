@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chat, fingerprints, packing, tokens
+from kithgraph.llm import chat, fingerprints, lines, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_turns(own.select("conv_id", "turn", "role", "text").unionByName(hard)))
 
 
+def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -41,13 +46,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.remove_boilerplate(table(spark, sf_dir, "documents")))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op8_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL}
+    return {"op1_chat_format": chat.SQL, "op7_line_spread": lines.SQL}
