@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chat, fingerprints, lines, packing, quality, tokens
+from kithgraph.llm import chat, fingerprints, html, lines, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_turns(own.select("conv_id", "turn", "role", "text").unionByName(hard)))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op2_html_main_text, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
