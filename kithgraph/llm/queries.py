@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chat, fingerprints, html, lines, packing, quality, tokens, vectors
+from kithgraph.llm import chat, fingerprints, html, lines, packing, quality, shingles, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_html_main_text, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack, op10_spherical_caps)}
+    return {f.__name__: f for f in (op1_chat_format, op2_html_main_text, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack, op9_ngram_jaccard, op10_spherical_caps)}
 
 
 def oracle_sql() -> dict[str, str]:
