@@ -212,18 +212,18 @@ def _damped(spark, d) -> DataFrame:
 _DAMPED = O.L + O.T2 + O.STATE + f", base AS ({O.passed('t2')})" + O.damped("base")
 
 
-@query(_DAMPED + " SELECT viewer_id, post_id, round(mult, 6) AS mult, round(score * mult, 6) AS fatigued FROM damped")
+@query(_DAMPED + " SELECT viewer_id, post_id, round(mult, 6) AS mult, round(score * mult, 9) AS fatigued FROM damped")
 def fatigue_applied(spark, d):
-    return _damped(spark, d).select("viewer_id", "post_id", F.round("mult", 6).alias("mult"), F.round(F.col("score") * F.col("mult"), 6).alias("fatigued"))
+    return _damped(spark, d).select("viewer_id", "post_id", F.round("mult", 6).alias("mult"), F.round(F.col("score") * F.col("mult"), 9).alias("fatigued"))
 
 
-@query(_DAMPED + " SELECT viewer_id, post_id, round(scale, 6) AS scale, round(damped, 6) AS damped FROM damped")
+@query(_DAMPED + " SELECT viewer_id, post_id, round(scale, 6) AS scale, round(damped, 9) AS damped FROM damped")
 def unseen_ceiling(spark, d):
-    return _damped(spark, d).select("viewer_id", "post_id", F.round("scale", 6).alias("scale"), F.round("damped", 6).alias("damped"))
+    return _damped(spark, d).select("viewer_id", "post_id", F.round("scale", 6).alias("scale"), F.round("damped", 9).alias("damped"))
 
 
 def _placed(spark, d) -> DataFrame:
-    return R.positions(_damped(spark, d).withColumn("score", F.round("damped", 6)))
+    return R.positions(_damped(spark, d).withColumn("score", F.round("damped", 9)))
 
 
 @query(_DAMPED + O.capped("damped") + " SELECT viewer_id, post_id, d AS score, CAST(pos AS INTEGER) AS pos FROM threads")
@@ -314,8 +314,8 @@ def topic_resolved(spark, d):
 _INJECTED = ("rust", "nasa", "cinema", "election", "sketch", "plain", "linux music", "Climate", "poetry", "breaking", "photo photo ai ai", "other")
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_filter(list_transform({O.tokens("text || ' ' || " + str(list(_INJECTED)) + "[CAST(doc_id % 12 AS INTEGER) + 1]")}, x -> {O._words(T.WORDS)}[x]), x -> x IS NOT NULL) AS hits FROM documents),
-c AS (SELECT doc_id, [len(list_filter(hits, x -> x = t)) FOR t IN ['art', 'tech', 'science', 'news', 'culture']] AS n FROM t)
+@query(f"""WITH t AS (SELECT doc_id, list_filter(list_transform({O.tokens("text || ' ' || " + str(list(_INJECTED)) + "[CAST(doc_id % 12 AS INTEGER) + 1]")}, lambda x: {O._words(T.WORDS)}[x]), lambda x: x IS NOT NULL) AS hits FROM documents),
+c AS (SELECT doc_id, [len(list_filter(hits, lambda x: x = t)) FOR t IN ['art', 'tech', 'science', 'news', 'culture']] AS n FROM t)
 SELECT doc_id, CASE WHEN list_max(n) > 0 THEN ['art', 'tech', 'science', 'news', 'culture'][list_position(n, list_max(n))] END AS topic FROM c""")
 def topic_content(spark, d):
     words = F.element_at(F.array(*(F.lit(x) for x in _INJECTED)), (F.col("doc_id") % 12 + 1).cast("int"))
@@ -387,9 +387,9 @@ def events_of(spark, d) -> DataFrame:
     return frames.parse(frame_rows(spark, d)).withColumn("seq", F.col("event_id") * 2 + F.col("part"))
 
 
-@query(_FRAMES + ' SELECT event_id, CAST(part AS INTEGER) AS part, kind, "user", post, other, CAST(signal AS INTEGER) AS signal, ts, root, nsfw, topic FROM ev')
+@query(_FRAMES + ' SELECT event_id, CAST(part AS INTEGER) AS part, kind, "user", post, other, CAST(coalesce(signal, 0) AS INTEGER) AS signal, ts, root, coalesce(nsfw, false) AS nsfw, topic FROM ev')
 def parse_frames(spark, d):
-    return frames.parse(frame_rows(spark, d)).select("event_id", "part", "kind", "user", "post", "other", "signal", "ts", "root", "nsfw", "topic")
+    return frames.parse(frame_rows(spark, d)).select("event_id", "part", "kind", "user", "post", "other", F.coalesce("signal", F.lit(0)).alias("signal"), "ts", "root", F.coalesce("nsfw", F.lit(False)).alias("nsfw"), "topic")
 
 
 @query(_FRAMES + ' SELECT event_id, kind FROM ev QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY part DESC) = 1')

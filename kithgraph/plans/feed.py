@@ -83,7 +83,7 @@ def feed(graph: Graph, dials: Dials | None = None, now: int | None = None, viewe
     dials = dials or Dials()
     now = now_of(graph.edges) if now is None else now
     c = cascade(graph, dials, now, viewers)
-    c = I.damped(c, I.state(graph.impressions), now).withColumn("score", F.round("damped", 6)).drop("damped")
+    c = I.damped(c, I.state(graph.impressions), now).withColumn("score", F.round("damped", 9)).drop("damped")
     c = R.dense_positions(R.author_cap(R.thread_cap(R.positions(c))))
     c = R.serendipity(c, dials.explore)
     if dials.explain:
@@ -143,6 +143,6 @@ def preview(graph: Graph, dials: Dials | None = None, now: int | None = None, vi
     boost, proof = S.consensus(F.col("curators")), S.social_proof(F.col("degree"))
     c = c.withColumns({"taste_similarity": F.col("sim") * boost * proof, "topic_boost": S.topic_weight(F.col("topic"), dials.weights), "time_decay": F.coalesce(F.try_divide("affinity", "sim"), "latest")})
     c = c.withColumn("score", F.round(F.col("affinity") * boost * proof * F.col("topic_boost"), 6))
-    c = I.damped(c, I.state(graph.impressions), now).withColumn("score", F.round("damped", 6)).drop("damped")
+    c = I.damped(c, I.state(graph.impressions), now).withColumn("score", F.round("damped", 9)).drop("damped")
     c = R.dense_positions(R.author_cap(R.thread_cap(R.positions(c))))
     return c.withColumns({"twin_id": -F.col("twin.u"), "twin_sim": F.col("twin.conf"), "twin_signal": F.col("twin.signal"), "seed_post": F.col("twin.seed_post")}).drop("twin", "sim", "affinity", "latest")

@@ -137,7 +137,7 @@ damped AS (SELECT multi.*, CASE WHEN f >= 0.95 * u AND f > 0 THEN 0.95 * u / f E
 
 def capped(source: str) -> str:
     """CTEs from `source` with `damped` to threads (one a root) and final (two an author, dense pos)."""
-    return f""", placed AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY d DESC, post_id) AS pos FROM (SELECT *, round(damped, 6) AS d FROM {source})),
+    return f""", placed AS (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY d DESC, post_id) AS pos FROM (SELECT *, round(damped, 9) AS d FROM {source})),
 threads AS (SELECT * REPLACE (p AS pos) FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id, coalesce(root_id, post_id) ORDER BY d DESC, pos) AS best, min(pos) OVER (PARTITION BY viewer_id, coalesce(root_id, post_id)) AS p FROM placed) WHERE best = 1),
 authors AS (SELECT * FROM threads QUALIFY row_number() OVER (PARTITION BY viewer_id, author_id ORDER BY pos) <= 2),
 final AS (SELECT * REPLACE (row_number() OVER (PARTITION BY viewer_id ORDER BY pos) AS pos), count(*) OVER (PARTITION BY viewer_id) AS n FROM authors)"""
@@ -166,11 +166,11 @@ def _words(table: dict[str, str]) -> str:
 
 
 def tokens(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\pL\\pN]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\pL\\pN]+'), lambda x: x <> '')"
 
 
 def first_match(text: str, table: dict[str, str]) -> str:
-    return f"list_filter(list_transform({tokens(text)}, x -> {_words(table)}[x]), x -> x IS NOT NULL)[1]"
+    return f"list_filter(list_transform({tokens(text)}, lambda x: {_words(table)}[x]), lambda x: x IS NOT NULL)[1]"
 
 
 def seeds_of(author: str) -> str:
@@ -183,8 +183,7 @@ def seeds_of(author: str) -> str:
 
 def hash_topic(post: str, text: str) -> str:
     """FNV-1a over the bytes in wide integers, one more round for the number, modulo five."""
-    codes = f"list_transform(list_filter(regexp_split_to_array(hex(encode({text})), ''), x -> x <> ''), x -> x)"
-    codes = f"list_transform(range(0, length(hex(encode({text}))) // 2), i -> CAST(CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS UHUGEINT))"
-    state = f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), {codes}), (a, b) -> (CAST(xor(a, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616)"
+    codes = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: CAST(CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS UHUGEINT))"
+    state = f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), {codes}), lambda a, b: (CAST(xor(a, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616)"
     names = "[" + ", ".join(f"'{t}'" for t in TOPICS[:5]) + "]"
     return f"{names}[CAST(((CAST(xor({state}, CAST({post} AS UHUGEINT)) AS UHUGEINT) * 1099511628211) % 18446744073709551616) % 5 AS INTEGER) + 1]"

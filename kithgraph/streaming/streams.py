@@ -60,13 +60,14 @@ def _impressions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         fresh = last is None or abs(served - last) >= FATIGUE_WINDOW
         last, count = served, 1 if fresh else min(IMPRESSION_COUNT, count + 1)
     state.update((last, count))
-    state.setTimeoutDuration(FATIGUE_WINDOW * 1000)
+    state.setTimeoutTimestamp(max((last + FATIGUE_WINDOW) * 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"viewer_id": [key[0]], "post_id": [key[1]], "last_served": [last], "count": [count]})
 
 
-def impression_state(log: DataFrame) -> DataFrame:
-    """Keyed state over a stream of impressions; each change is emitted."""
-    return log.groupBy("viewer_id", "post_id").applyInPandasWithState(_impressions, IMPRESSION_OUT, "last long, count long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def impression_state(log: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Keyed state over a stream of impressions; each change is emitted, and idle state expires."""
+    log = log.withColumn("event_time", F.timestamp_seconds("served_at")).withWatermark("event_time", delay)
+    return log.groupBy("viewer_id", "post_id").applyInPandasWithState(_impressions, IMPRESSION_OUT, "last long, count long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
