@@ -27,10 +27,13 @@ from kithgraph.llm.shared import discard, written
 WORDS = 4
 #: A link takes LINK * |A or B| <= 100 * |A and B|.
 LINK = 85
-#: Groups that a point counts; counts above a byte's range make the bound void.
-GROUPS = 64
-#: A shingle in more than this share of all rows (and FREQUENT_ROWS) comes last in the order.
-FREQUENT, FREQUENT_ROWS = 1e-3, 24
+#: Groups that a point counts (a power of two); counts above a byte's range make the bound void.
+GROUPS = 256
+#: Counters, as a power of two, of how many rows hold the shingles of a counter; a fixed size, in
+#: segments of SEGMENT counters.
+COUNTERS, SEGMENT = 22, 1 << 16
+#: Members of a bucket that are compared without a tree.
+FEW = 12
 #: Classes of one bucket or candidate group that one task compares directly.
 BUCKET, MEMBERS = 1024, 2048
 #: Leaves of the tree.
@@ -91,7 +94,7 @@ def digest(own: np.ndarray) -> int:
 
 def point(own: np.ndarray) -> bytes:
     """Counts of the set's members by group; empty if a count exceeds a byte."""
-    counts = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((own >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
@@ -155,8 +158,15 @@ class Forest:
 
 def candidate_pairs(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that the bound does not rule out."""
+    forest, out = Forest(len(sizes)), []
+    if len(sizes) <= FEW:
+        common = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
+        void = (points == 255).all(axis=1)
+        low, high = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+        may = (100 * low >= LINK * high) & (linked(common, low, high) | void[:, None] | void)
+        return [(k, j) for k, j in np.argwhere(np.tril(may, -1)).tolist() if forest.join(k, j)]
     order = np.argsort(sizes, kind="stable")
-    tree, forest, out = PointTree(points[order], sizes[order]), Forest(len(sizes)), []
+    tree = PointTree(points[order], sizes[order])
     for k in range(1, len(order)):
         for j in tree.search(k).tolist():
             if forest.join(k, j):
@@ -189,38 +199,72 @@ def exact_pairs(sets: list[np.ndarray], points: np.ndarray, labels: list[int] |
 
 # ---------------------------------------------------------------- passes over the texts
 
-_FACTS = StructType([StructField("doc_id", LongType()), StructField("cls", LongType()), StructField("n", LongType()), StructField("point", BinaryType()), StructField("frequent", LongType())])
+_FACTS = StructType([StructField("doc_id", LongType()), StructField("cls", LongType()), StructField("n", LongType()), StructField("point", BinaryType()), StructField("segment", LongType())])
+
+
+def _counter(own: np.ndarray) -> np.ndarray:
+    return (own & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)
 
 
 def _facts(docs: DataFrame) -> DataFrame:
-    """A row for each document (frequent is null), and rows for shingles that several rows of a batch
-    hold (doc_id null; n: how many)."""
+    """A row for each document (segment is null), and for each task the segments of its counters in
+    point: n places and counts, or all counters where n is -1; a task's counter stops at 255."""
     arrow = to_arrow_schema(_FACTS)
 
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hasher()
+        hashed, counters = Hasher(), np.zeros(1 << COUNTERS, np.uint32)
         for batch in batches:
             for start, texts in slices(batch, 1):
                 sets = [hashed(t) for t in texts]
                 ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                columns = [ids, [digest(s) if len(s) else None for s in sets], [len(s) for s in sets], [point(s) for s in sets], [None] * len(sets)]
-                found, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts > max(1, FREQUENT / 2 * len(sets))
-                found, counts = found[often].view(np.int64).tolist(), counts[often].tolist()
-                for c, more in zip(columns, ([None] * len(found), [None] * len(found), counts, [None] * len(found), found), strict=True):
-                    c += more
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                at, counts = np.unique(_counter(np.concatenate(sets)), return_counts=True)
+                counters[at] += counts.astype(np.uint32)
+                yield batch_of([ids, [digest(s) if len(s) else None for s in sets], [len(s) for s in sets], [point(s) for s in sets], [None] * len(sets)])
+        parts = np.minimum(counters, 255).astype(np.uint8).reshape(-1, SEGMENT)
+        for k in np.flatnonzero(parts.any(axis=1)).tolist():
+            at = np.flatnonzero(parts[k])
+            few = 3 * len(at) < SEGMENT  # then places and counts take less room than all counters
+            yield batch_of([[None], [None], [len(at) if few else -1], [at.astype("<u2").tobytes() + parts[k][at].tobytes() if few else parts[k].tobytes()], [k]])
 
     return docs.mapInArrow(run, _FACTS)
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(shingle, cls, n) of each document's rarest shingles. frequent: sorted hashes that come last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _magnitudes(facts: DataFrame) -> np.ndarray:
+    """For each counter, the binary magnitude of its sum over all tasks: 2^COUNTERS bytes, whatever the input."""
+    schema = StructType([StructField("segment", LongType()), StructField("sums", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k not in sums:
+                    sums[k] = np.zeros(SEGMENT, np.uint64)
+                if n < 0:
+                    sums[k] += np.frombuffer(raw, np.uint8)
+                else:
+                    sums[k][np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, np.uint8, n, 2 * n)
+        if sums:
+            out = [np.ceil(np.log2(v + 1.0)).astype(np.uint8).tobytes() for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(out, pa.binary())], names=["segment", "sums"])
+
+    found = facts.where("segment is not null").select("segment", "n", "point").repartition("segment").mapInArrow(run, schema).collect()
+    out = np.zeros(((1 << COUNTERS) // SEGMENT, SEGMENT), np.uint8)
+    for row in found:
+        out[row["segment"]] = np.frombuffer(row["sums"], np.uint8)
+    return out.ravel()
+
+
+def _prefixes(docs: DataFrame, magnitudes: np.ndarray) -> DataFrame:
+    """(shingle, cls, n) of each document's rarest shingles: those of small counters first, by hash
+    among equals.  Any fixed order gives the same links; this one keeps buckets small."""
+    shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
     schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, last = Hasher(), shared.value
+        hashed, magnitude = Hasher(), shared.value
         for batch in batches:
             for _, texts in slices(batch, 1):
                 shingle, cls, n = [], [], []
@@ -228,15 +272,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     if not len(own):
                         continue
                     take = prefix_size(len(own))
-                    if len(last):
-                        place = np.searchsorted(last, own)
-                        place[place == len(last)] = 0
-                        common = last[place] == own
-                        chosen = own[~common][:take]
-                        if len(chosen) < take:
-                            chosen = np.concatenate([chosen, own[common][: take - len(chosen)]])
-                    else:
-                        chosen = own[:take]
+                    chosen = own[np.argsort(magnitude[_counter(own)], kind="stable")[:take]]
                     shingle.append(chosen.view(np.int64))
                     cls.append(np.full(take, digest(own), np.int64))
                     n.append(np.full(take, len(own), np.int32))
@@ -381,14 +417,11 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = written(_facts(docs))
-    base = facts.where("frequent is null").select("doc_id", "cls", "n", "point")
+    base = facts.where("segment is null").select("doc_id", "cls", "n", "point")
     sound = base.where("doc_id is not null and n > 0")
-    rows = base.count()
-    # Of these there are at most 1 / FREQUENT times the mean set size, whatever the number of rows.
-    often = facts.where("frequent is not null").groupBy("frequent").agg(F.sum("n").alias("c")).where(F.col("c") >= max(FREQUENT_ROWS, FREQUENT * rows)).select("frequent").toPandas()
-    frequent = np.sort(often["frequent"].to_numpy(np.int64).view(np.uint64))
+    magnitudes = _magnitudes(facts)
     classes = written(sound.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
-    prefixes = _prefixes(docs.where("doc_id is not null"), frequent).groupBy("shingle", "cls").agg(F.first("n").alias("n"))
+    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes).groupBy("shingle", "cls").agg(F.first("n").alias("n"))
     from pyspark.sql import Window
 
     met = prefixes.withColumn("met", F.count("*").over(Window.partitionBy("shingle"))).where("met > 1")

@@ -58,7 +58,7 @@ def corpus(seed):
 def test_against_brute_force(spark, monkeypatch, seed, bucket, members):
     monkeypatch.setattr(shingles, "BUCKET", bucket)
     monkeypatch.setattr(shingles, "MEMBERS", members)
-    monkeypatch.setattr(shingles, "FREQUENT_ROWS", 5)
+    monkeypatch.setattr(shingles, "FEW", 12 if bucket > 3 else 2)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cls string, n int")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in shingles.link_documents(df).collect())
@@ -94,7 +94,7 @@ def test_prefix_and_tree_lose_no_pair():
 
 
 def test_sets_beyond_a_byte_per_group_are_compared():
-    base = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2))
-    sets = [base, base[1:], base[: len(base) // 2]]
+    base = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 200_000, dtype=np.uint64) * np.uint64(2))
+    sets = [base, base[1:], base[::2]]
     points = shingles._points([shingles.point(s) for s in sets])
     assert (points == 255).all() and shingles.exact_pairs(sets, points) == [(0, 1)]
