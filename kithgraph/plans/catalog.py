@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -546,8 +545,3 @@ def rollup_activity(spark, d):
 @query()
 def approx_distinct(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
-
-
-@cache
-def names() -> tuple[str, ...]:
-    return tuple(QUERIES)

@@ -115,11 +115,6 @@ def passed(t: str, floor: int = 3) -> str:
   AND NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = viewer_id AND up.post_id = c.post_id) AND NOT EXISTS (SELECT 1 FROM barred WHERE a = viewer_id AND b = author_id)"""
 
 
-STATE = """, kept AS (SELECT * FROM imp QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY seq DESC) <= 1000),
-flagged AS (SELECT *, CASE WHEN abs(served_at - lag(served_at) OVER p) >= 21600 OR lag(served_at) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM kept WINDOW p AS (PARTITION BY viewer_id, post_id ORDER BY seq)),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY viewer_id, post_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
-state AS (SELECT viewer_id, post_id, arg_max(served_at, seq) AS last_served, least(8, count(*)) AS count FROM runs
-  QUALIFY run = max(run) OVER (PARTITION BY viewer_id, post_id) GROUP BY viewer_id, post_id, run)"""
 STATE = """, kept AS (SELECT * FROM imp QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY seq DESC) <= 1000),
 flagged AS (SELECT *, CASE WHEN abs(served_at - lag(served_at) OVER p) >= 21600 OR lag(served_at) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM kept WINDOW p AS (PARTITION BY viewer_id, post_id ORDER BY seq)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY viewer_id, post_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
