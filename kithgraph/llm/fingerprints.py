@@ -1,8 +1,9 @@
 """Document fingerprints by a homomorphic multiset hash, with DataFrame functions only.
 
 Each piece of a paragraph (a line, cut further after sentence marks) is hashed to a vector of
-LANES values of 12 bits; a fingerprint is the lane-wise sum over all pieces modulo 2^20, with the
-number of pieces as a last lane.  Sums do not depend on the order of paragraphs, and a paragraph is
+LANES values of 12 bits; a fingerprint is the lane-wise sum over all pieces modulo 2^44, with the
+number of pieces as a last lane.  A text of 2^31 bytes, the most that Spark holds, has less than
+2^31 pieces, so its sums stay below 2^43 and neither they nor their deviations wrap.  Sums do not depend on the order of paragraphs, and a paragraph is
 inserted or deleted by adding or subtracting its own fingerprint.  As the lanes are independent,
 the cosine of two centred fingerprints estimates the cosine of the two multisets of pieces, with a
 standard error of about 1/sqrt(LANES).
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANES = 64
-#: Two 12-bit values in one long, 32 bits apart, and two sums of 20 bits.
-VALUES, SUMS = 0x00000FFF00000FFF, 0x000FFFFF000FFFFF
-MODULUS, MIDDLE = 1 << 20, 2047.5
+#: A value, and the bits of a sum that are carried in the first of two ints.
+VALUE, LOW_BITS = 0xFFF, 31
+MODULUS, MIDDLE = 1 << 44, 2047.5
 #: Rows of one bucket of the order by id, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 500
 
@@ -26,8 +27,8 @@ def pieces(text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """df with array<int> column `out`: LANES sums, then the number of pieces. Null text: empty."""
-    hashes, packed = f"__h_{out}", f"__p_{out}"
+    """df with array<bigint> column `out`: LANES sums, then the number of pieces. Null text: empty."""
+    hashes = f"__h_{out}"
     df = df.withColumn(hashes, F.transform(pieces(F.coalesce(F.col(text_col), F.lit(""))), lambda p: F.xxhash64(p)))
 
     def seeded(k: int) -> Column:
@@ -36,14 +37,23 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     df = df.withColumns({f"{hashes}{k}": seeded(k) for k in range(LANES // 4)})
 
     def total(k: int, shift: int) -> Column:
-        mask, sums = F.lit(VALUES), F.lit(SUMS)
-        return F.aggregate(F.col(f"{hashes}{k}"), F.lit(0).cast("long"), lambda a, h: (a + F.shiftright(h, shift).bitwiseAND(mask)).bitwiseAND(sums))
+        return F.aggregate(F.col(f"{hashes}{k}"), F.lit(0).cast("long"), lambda a, h: a + F.shiftright(h, shift).bitwiseAND(F.lit(VALUE)))
 
-    df = df.withColumn(packed, F.array(*(total(k, s) for k in range(LANES // 4) for s in (0, 12))))
-    low = F.transform(F.col(packed), lambda x: x.bitwiseAND(F.lit(MODULUS - 1)).cast("int"))
-    high = F.transform(F.col(packed), lambda x: F.shiftright(x, 32).cast("int"))
-    df = df.withColumn(out, F.concat(low, high, F.array(F.pmod(F.size(hashes), F.lit(MODULUS)))))
-    return df.drop(hashes, packed, *(f"{hashes}{k}" for k in range(LANES // 4)))
+    df = df.withColumn(out, F.array(*(total(k, s) for k in range(LANES // 4) for s in (0, 12, 32, 44)), F.size(hashes).cast("long")))
+    return df.drop(hashes, *(f"{hashes}{k}" for k in range(LANES // 4)))
+
+
+def narrow(fingerprint: Column) -> Column:
+    """The fingerprint as ints for shuffles: low bits, and the high ones unless all of them are zero."""
+    low = F.transform(fingerprint, lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int"))
+    high = F.transform(fingerprint, lambda x: F.shiftright(x, LOW_BITS).cast("int"))
+    return F.struct(low.alias("low"), F.when(F.exists(high, lambda x: x != 0), high).alias("high"))
+
+
+def widened(narrowed: Column) -> Column:
+    """The fingerprint that narrow() was given."""
+    low = F.transform(narrowed["low"], lambda x: x.cast("long"))
+    return F.when(narrowed["high"].isNull(), low).otherwise(F.zip_with(low, narrowed["high"], lambda x, y: x + F.shiftleft(y.cast("long"), LOW_BITS)))
 
 
 def inserted(a: Column, b: Column) -> Column:
@@ -57,11 +67,11 @@ def deleted(a: Column, b: Column) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 5, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 11, "0")), "")
 
 
 def centred(fingerprint: Column) -> Column:
-    """Sums as deviations from their expectation, as doubles, from -2^19 to 2^19."""
+    """Sums as deviations from their expectation, as doubles, from -2^43 to 2^43."""
     n = F.element_at(fingerprint, LANES + 1)
     half = F.lit(MODULUS / 2)
     return F.transform(F.slice(fingerprint, 1, LANES), lambda x: F.pmod(x - n * F.lit(MIDDLE) + half, F.lit(float(MODULUS))) - half)
@@ -117,7 +127,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("tie", F.md5("t"))
     order = docs.groupBy("id", "tie").agg(F.max(F.char_length("t")).alias("n"))
-    docs = with_fingerprint(docs, "t", "f")
+    docs = with_fingerprint(docs, "t", "f").withColumn("f", narrow(F.col("f")))
     # Each document takes what the one before it needs of its text, and brings it there.
     link = _next_in_order(order).withColumnRenamed("id", "lid").withColumnRenamed("tie", "ltie")
     here = docs.join(link, docs["id"].eqNullSafe(link["lid"]) & (docs["tie"] == link["ltie"]))
@@ -127,7 +137,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     edited = F.concat(F.substring(F.col("t"), F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
     both = both.select("id", "tie", n.cast("long").alias("n_chars"), edited.alias("edited"), "f", "f_next")
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    both = with_fingerprint(both, "edited", "f_edited").drop("edited")
+    both = with_fingerprint(both, "edited", "f_edited").drop("edited").withColumns({"f": widened(F.col("f")), "f_next": widened(F.col("f_next"))})
     both = both.withColumns({"c": centred(F.col("f")), "c_edited": centred(F.col("f_edited")), "c_next": centred(F.col("f_next"))})
     return both.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("f_edited")).alias("edited_fingerprint"),

@@ -55,3 +55,25 @@ def test_likeness_follows_shared_paragraphs(spark):
     df = spark.createDataFrame([(2, "\n".join(base)), (1, "\n".join(f"unlike {k} at all {k}" for k in range(60)))], "doc_id long, text string")
     r = fp.fingerprint_documents(df).where("doc_id = 2").first()
     assert 0.4 < r.near_edited < 0.95 and r.near_next < 0.4
+
+
+def test_long_and_repetitive_texts_do_not_wrap(spark):
+    own = [f"piece {k}" for k in range(40)]
+    texts = ["\n".join(own + ["again"] * 473), "\n".join(own[:20] + ["again"] * 473), "\n".join(f"n{k}" for k in range(120_000))]
+    f, g, many = prints(spark, texts)
+    assert f[-1] == 513 and many[-1] == 120_000 and max(many) > 1 << 27
+    row = spark.createDataFrame([(f, g, many)], "f array<bigint>, g array<bigint>, m array<bigint>")
+    f, g, m = F.col("f"), F.col("g"), F.col("m")
+    c = fp.centred
+    near, far, same = row.select(fp.likeness(f, g, c(f), c(g)), fp.likeness(f, m, c(f), c(m)), fp.deleted(fp.inserted(m, f), f) == m).first()
+    assert near > 0.98 and far < 0.5 and same  # the multisets' own cosines: 0.9999 and 0
+    dev = row.select(c(m).alias("c")).first()["c"]
+    assert 0.5 < sum(x * x for x in dev) / (64 * 120_000 * (4096**2 - 1) / 12) < 2
+
+
+def test_narrow_form_keeps_large_sums(spark):
+    sums = [(1 << 43) - 1, 0, 5, (1 << 31) - 1, 1 << 31]
+    row = spark.createDataFrame([(sums, [1, 2, 3])], "a array<bigint>, b array<bigint>")
+    a, b = (fp.narrow(F.col(x)) for x in "ab")
+    got = row.select(fp.widened(a).alias("a"), fp.widened(b).alias("b"), b["high"].isNull().alias("n")).first()
+    assert got["a"] == sums and got["b"] == [1, 2, 3] and got["n"]
