@@ -26,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return shingles.one_of_each(docs)
+    """One document of each group of near copies stays: links at five words and a similarity of 0.8 and more."""
+    return shingles.one_of_each(docs, words=5, link=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from kithgraph.llm.components import connected
 from kithgraph.llm.rows import slices
 from kithgraph.llm.shared import discard, written
 
+#: Words of a shingle, and the percentage of a link, LINK * |A or B| <= 100 * |A and B|, unless others are given.
 WORDS = 4
-#: A link takes LINK * |A or B| <= 100 * |A and B|.
 LINK = 85
 #: Groups that a point counts (a power of two); counts above a byte's range make the bound void.
 GROUPS = 256
@@ -98,20 +98,20 @@ def point(own: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n: int, link: int = LINK) -> int:
     """Members of a set of n, first by any fixed order, among which a linked set has one of its own."""
-    return n - -(-LINK * n // 100) + 1
+    return n - -(-link * n // 100) + 1
 
 
-def linked(common, a, b):
-    return (100 + LINK) * common >= LINK * (a + b)
+def linked(common, a, b, link=LINK):
+    return (100 + link) * common >= link * (a + b)
 
 
 class PointTree:
     """An R-tree packed from points in order of size: leaves of LEAF points, bounded by coordinate maxima."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points.astype(np.int32), sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, link: int = LINK):
+        self.points, self.sizes, self.link = points.astype(np.int32), sizes, link
         self.points[(points == 255).all(axis=1)] = 1 << 24  # void points bound nothing
         ends = np.arange(0, len(sizes), LEAF)
         self.leaf_max = np.maximum.reduceat(self.points, ends, axis=0)
@@ -120,10 +120,9 @@ class PointTree:
         self.top_max = np.maximum.reduceat(self.leaf_max, top, axis=0)
         self.top_low, self.top_high = np.minimum.reduceat(self.leaf_low, top), np.maximum.reduceat(self.leaf_high, top)
 
-    @staticmethod
-    def _may(q: np.ndarray, size: int, maxima: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        near = (100 * high >= LINK * size) & (LINK * low <= 100 * size)
-        return near & linked(np.minimum(maxima, q).sum(axis=1, dtype=np.int64), size, np.maximum(low, -(-LINK * size // 100)))
+    def _may(self, q: np.ndarray, size: int, maxima: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        near = (100 * high >= self.link * size) & (self.link * low <= 100 * size)
+        return near & linked(np.minimum(maxima, q).sum(axis=1, dtype=np.int64), size, np.maximum(low, -(-self.link * size // 100)), self.link)
 
     def search(self, k: int) -> np.ndarray:
         """Points before k that may link with it."""
@@ -156,17 +155,17 @@ class Forest:
         return True
 
 
-def candidate_pairs(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+def candidate_pairs(points: np.ndarray, sizes: np.ndarray, link: int = LINK) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that the bound does not rule out."""
     forest, out = Forest(len(sizes)), []
     if len(sizes) <= FEW:
         common = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64)
         void = (points == 255).all(axis=1)
         low, high = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
-        may = (100 * low >= LINK * high) & (linked(common, low, high) | void[:, None] | void)
+        may = (100 * low >= link * high) & (linked(common, low, high, link) | void[:, None] | void)
         return [(k, j) for k, j in np.argwhere(np.tril(may, -1)).tolist() if forest.join(k, j)]
     order = np.argsort(sizes, kind="stable")
-    tree = PointTree(points[order], sizes[order])
+    tree = PointTree(points[order], sizes[order], link)
     for k in range(1, len(order)):
         for j in tree.search(k).tolist():
             if forest.join(k, j):
@@ -174,11 +173,11 @@ def candidate_pairs(points: np.ndarray, sizes: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def exact_pairs(sets: list[np.ndarray], points: np.ndarray, labels: list[int] | None = None) -> list[tuple[int, int]]:
+def exact_pairs(sets: list[np.ndarray], points: np.ndarray, labels: list[int] | None = None, link: int = LINK) -> list[tuple[int, int]]:
     """A spanning forest of the links; rows with equal labels count as connected already."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    tree, forest, out = PointTree(points[order], sizes[order]), Forest(len(sets)), []
+    tree, forest, out = PointTree(points[order], sizes[order], link), Forest(len(sets)), []
     if labels is not None:
         first: dict[int, int] = {}
         for k, o in enumerate(order.tolist()):
@@ -191,7 +190,7 @@ def exact_pairs(sets: list[np.ndarray], points: np.ndarray, labels: list[int] |
             other = sets[order[j]]
             place = np.searchsorted(own, other)
             place[place == len(own)] = 0
-            if linked(int((own[place] == other).sum()), len(own), len(other)):
+            if linked(int((own[place] == other).sum()), len(own), len(other), link):
                 forest.join(k, j)
                 out.append((int(order[k]), int(order[j])))
     return out
@@ -206,7 +205,7 @@ def _counter(own: np.ndarray) -> np.ndarray:
     return (own & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)
 
 
-def _facts(docs: DataFrame) -> DataFrame:
+def _facts(docs: DataFrame, words: int) -> DataFrame:
     """A row for each document (segment is null), and for each task the segments of its counters in
     point: n places and counts, or all counters where n is -1; a task's counter stops at 255."""
     arrow = to_arrow_schema(_FACTS)
@@ -215,7 +214,7 @@ def _facts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, counters = Hasher(), np.zeros(1 << COUNTERS, np.uint32)
+        hashed, counters = Hasher(words), np.zeros(1 << COUNTERS, np.uint32)
         for batch in batches:
             for start, texts in slices(batch, 1):
                 sets = [hashed(t) for t in texts]
@@ -257,21 +256,21 @@ def _magnitudes(facts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(docs: DataFrame, magnitudes: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, magnitudes: np.ndarray, words: int, link: int) -> DataFrame:
     """(shingle, cls, n) of each document's rarest shingles: those of small counters first, by hash
     among equals.  Any fixed order gives the same links; this one keeps buckets small."""
     shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
     schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, magnitude = Hasher(), shared.value
+        hashed, magnitude = Hasher(words), shared.value
         for batch in batches:
             for _, texts in slices(batch, 1):
                 shingle, cls, n = [], [], []
                 for own in map(hashed, texts):
                     if not len(own):
                         continue
-                    take = prefix_size(len(own))
+                    take = prefix_size(len(own), link)
                     chosen = own[np.argsort(magnitude[_counter(own)], kind="stable")[:take]]
                     shingle.append(chosen.view(np.int64))
                     cls.append(np.full(take, digest(own), np.int64))
@@ -282,13 +281,13 @@ def _prefixes(docs: DataFrame, magnitudes: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(cls, set) of each document, its sorted hashes as bytes."""
     schema = StructType([StructField("cls", LongType()), StructField("set", BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hasher()
+        hashed = Hasher(words)
         for batch in batches:
             for _, texts in slices(batch, 1):
                 sets = [s for s in map(hashed, texts) if len(s)]
@@ -311,7 +310,7 @@ def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _bucket_edges(rows: DataFrame) -> DataFrame:
+def _bucket_edges(rows: DataFrame, link: int) -> DataFrame:
     """Candidate edges from (shingle, cls, n, point) sorted by shingle; pairs in buckets of two are
     bounded together, larger buckets by a tree."""
 
@@ -328,10 +327,10 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
             common = np.minimum(points[pair], points[pair + 1]).sum(axis=1, dtype=np.int64)
             low, high = np.minimum(n[pair], n[pair + 1]), np.maximum(n[pair], n[pair + 1])
             void = (points[pair] == 255).all(axis=1) | (points[pair + 1] == 255).all(axis=1)
-            pair = pair[(100 * low >= LINK * high) & (void | linked(common, low.astype(np.int64), high))]
+            pair = pair[(100 * low >= link * high) & (void | linked(common, low.astype(np.int64), high, link))]
             a, b = cls[pair].tolist(), cls[pair + 1].tolist()
             for at, k in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                for x, y in candidate_pairs(points[at : at + k], n[at : at + k].astype(np.int64)):
+                for x, y in candidate_pairs(points[at : at + k], n[at : at + k].astype(np.int64), link):
                     a.append(int(cls[at + x])), b.append(int(cls[at + y]))
             return _edge_batch(a, b)
 
@@ -352,7 +351,7 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _EDGES)
 
 
-def _group_edges(rows: DataFrame) -> DataFrame:
+def _group_edges(rows: DataFrame, link: int) -> DataFrame:
     """Exact edges from (grp, block, cls, label, set) sorted by grp and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +361,7 @@ def _group_edges(rows: DataFrame) -> DataFrame:
             if len(held) > 1:
                 names = list(held)
                 sets = [np.frombuffer(held[c][1], np.uint64) for c in names]
-                for x, y in exact_pairs(sets, _points([point(s) for s in sets]), [held[c][0] for c in names]):
+                for x, y in exact_pairs(sets, _points([point(s) for s in sets]), [held[c][0] for c in names], link):
                     a.append(names[x]), b.append(names[y])
 
         for batch in batches:
@@ -381,7 +380,7 @@ def _group_edges(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _EDGES)
 
 
-def _resolved(groups: DataFrame) -> DataFrame:
+def _resolved(groups: DataFrame, link: int) -> DataFrame:
     """Exact edges between the classes of (grp, cls, set).
 
     A group of up to MEMBERS is one task.  A larger one is dealt to blocks: first each block by
@@ -393,7 +392,7 @@ def _resolved(groups: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     columns = ["grp", "block", "cls", "label", "set"]
     sort = lambda d: d.select(*columns).repartition("grp", "block").sortWithinPartitions("grp", "block")
-    edges = written(_group_edges(sort(dealt.withColumn("label", F.col("cls")))))
+    edges = written(_group_edges(sort(dealt.withColumn("label", F.col("cls"))), link))
     large = dealt.where("blocks > 1")
     if large.isEmpty():
         return edges
@@ -402,32 +401,32 @@ def _resolved(groups: DataFrame) -> DataFrame:
     main = large.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     large = large.join(main, "grp")
     everywhere = large.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    more = written(_group_edges(sort(large.where("label = main").select(*columns).unionByName(everywhere.select(*columns)))))
+    more = written(_group_edges(sort(large.where("label = main").select(*columns).unionByName(everywhere.select(*columns))), link))
     return edges.unionByName(more)
 
 
-def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
     """id, n_shingles, component_id of every row.
 
-    A set holds the distinct 4-word shingles of the whole text, with A-Z in lower case and words
+    A set holds the distinct shingles of `words` words of the whole text, with A-Z in lower case and words
     between ASCII white space; of fewer words, their sequence.  Documents link at a Jaccard
-    similarity of 0.85 and more; component_id is the smallest id reachable.  Null, empty and
+    similarity of link percent and more; component_id is the smallest id reachable.  Null, empty and
     blank texts have no shingles and link with nothing; rows with a null id have a null component
     and link with nothing.  Repeated rows give repeated results.  Other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(_facts(docs))
+    facts = written(_facts(docs, words))
     base = facts.where("segment is null").select("doc_id", "cls", "n", "point")
     sound = base.where("doc_id is not null and n > 0")
     magnitudes = _magnitudes(facts)
     classes = written(sound.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
-    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes).groupBy("shingle", "cls").agg(F.first("n").alias("n"))
+    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes, words, link).groupBy("shingle", "cls").agg(F.first("n").alias("n"))
     from pyspark.sql import Window
 
     met = prefixes.withColumn("met", F.count("*").over(Window.partitionBy("shingle"))).where("met > 1")
     met = written(met)
     small = met.where(F.col("met") <= BUCKET).join(classes.select("cls", "point"), "cls").select("shingle", "cls", "n", "point")
-    pairs = _bucket_edges(small.repartition("shingle").sortWithinPartitions("shingle"))
+    pairs = _bucket_edges(small.repartition("shingle").sortWithinPartitions("shingle"), link)
     # A bucket beyond BUCKET classes connects all of them as candidates, without a look.
     wide = met.where(F.col("met") > BUCKET)
     hubs = wide.groupBy("shingle").agg(F.min("cls").alias("b"))
@@ -436,8 +435,8 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(met)
     wanted = groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
     texts = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(_sets(texts).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
-    component = connected(_resolved(sets))
+    sets = written(_sets(texts, words).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
+    component = connected(_resolved(sets, link))
     known = classes.join(component, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     known = known.join(least, "component").select("cls", "component_id")
@@ -445,12 +444,12 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
     """The rows of df that are the first of their component: one document of each group stays.
 
     Rows with a null id stay.
     """
-    found = link_documents(df, id_col, text_col)
+    found = link_documents(df, id_col, text_col, words, link)
     first = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__id")).distinct()
     kept = df.join(first, df[id_col] == first["__id"], "left_semi")
     return kept.unionByName(df.where(F.col(id_col).isNull()))

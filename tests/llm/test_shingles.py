@@ -98,3 +98,25 @@ def test_sets_beyond_a_byte_per_group_are_compared():
     sets = [base, base[1:], base[::2]]
     points = shingles._points([shingles.point(s) for s in sets])
     assert (points == 255).all() and shingles.exact_pairs(sets, points) == [(0, 1)]
+
+
+def test_stage_links_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    own = [f"w{k}" for k in range(104)]
+    edited = list(own)
+    for k in (10, 50, 51):  # 0.802 on five words, 0.836 on four
+        edited[k] = f"changed{k}"
+    ends = ["x", *own[:18]]
+    far = own[:18] + [f"v{k}" for k in range(3)]  # 14 of 18 of five words
+    rows = [(1, own), (2, edited), (3, [f"u{k}" for k in range(30)]), (4, [f"u{k}" for k in range(36)]), (5, ends), (6, far)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+
+    def brute_pairs(words, link):
+        sets = {i: {tuple(t[k : k + words]) for k in range(len(t) - words + 1)} for i, t in rows}
+        return {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= link * len(sets[a] | sets[b])}
+
+    pairs = brute_pairs(5, 80)
+    assert pairs != brute_pairs(4, 85)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())
+    assert kept == [i for i, _ in rows if i not in {b for _, b in pairs}]
