@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.llm.shared import written
+from kithgraph.llm.shingles import link_documents
+
 #: Registers of a sketch as a power of two; its standard error is 1.04 / 2^(LOG_REGISTERS / 2).
 LOG_REGISTERS = 12
 
@@ -33,26 +36,43 @@ def remove_boilerplate(df: DataFrame, min_sites: int = 6, id_col: str = "doc_id"
     """df with its texts cleared of lines found on at least min_sites distinct sites, and n_lines, n_removed.
 
     Lines are compared without spaces at their ends; blank lines stay.  A document that consists of
-    such lines by more than half of its line characters is a copy rather than a page with
-    boilerplate: it stays whole, for near-duplicate removal to judge.  Null texts stay null with 0
+    such lines by more than half of its line characters stays whole, for near-duplicate removal to
+    judge, if it is a copy: another row has the same text, or one with 0.8 or more of five-word shingles.
+    All other documents lose these lines, whatever their share.  Null texts stay null with 0
     lines, an empty text has 1 line.  Every row gives one row, repeated ones too; columns
     named n_lines or n_removed are replaced.
     """
     text = F.col(text_col)
     docs = df.drop("n_lines", "n_removed").withColumn("__tie", F.md5(text))
     wide = wide_lines(df, min_sites, text_col, site_col)
-    own = docs.select(F.col(id_col).alias("__id"), "__tie", F.explode(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _key))).alias("line"))
-    found = own.join(wide, "line", "left_semi").groupBy("__id", F.col("__tie").alias("__t")).agg(F.collect_set("line").alias("__wide"))
-    docs = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (docs["__tie"] == found["__t"]), "left")
     lines = F.split(text, "\n")
+    size = lambda x: F.char_length(F.trim(x))
+    each = F.posexplode(F.filter(lines, lambda x: F.trim(x) != "")).alias("pos", "x")
+    own = docs.select(F.col(id_col).alias("__id"), "__tie", F.aggregate(lines, F.lit(0), lambda n, x: n + size(x)).alias("all"), each)
+    own = own.select("__id", "__tie", "all", _key(F.col("x")).alias("line"), "pos", size(F.col("x")).alias("chars"))
+    found = own.join(wide, "line", "left_semi").groupBy("__id", F.col("__tie").alias("__t")).agg(F.collect_set(F.struct("line", "pos", "chars")).alias("at"), F.first("all").alias("all"))
+    most = 2 * F.aggregate("at", F.lit(0), lambda n, x: n + x["chars"]) > F.col("all")
+    found = written(found.select("__id", "__t", F.array_distinct(F.col("at")["line"]).alias("__wide"), most.alias("__most")))
+    same = lambda f: docs[id_col].eqNullSafe(f["__id"]) & (docs["__tie"] == f["__t"])
+    suspects = found.where("__most")
+    copies = _copies(docs.join(suspects, same(suspects), "left_semi").select("__tie", text.alias("text")))
+    found = found.join(copies, F.col("__most") & (F.col("__t") == F.col("__copy")), "left_anti")
+    docs = docs.join(found, same(found), "left")
     kept = F.filter(lines, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("__wide"), _key(x))))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.char_length(F.trim(x)))
-    docs = docs.withColumn("__kept", F.when(F.col("__wide").isNotNull(), kept))
-    docs = docs.withColumn("__cut", F.col("__wide").isNotNull() & (2 * size(F.col("__kept")) >= size(lines)))
+    docs = docs.withColumn("__cut", F.col("__wide").isNotNull()).withColumn("__kept", F.when(F.col("__cut"), kept))
     docs = docs.withColumns({"n_lines": F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long"), "n_removed": F.when(F.col("__cut"), F.size(lines) - F.size("__kept")).otherwise(0).cast("long"), text_col: F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(text)})
     return docs.select(*df.drop("n_lines", "n_removed").columns, F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed")
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """`__copy`, the __tie of each text of (__tie, text) that several rows have or that links with another."""
+    held = written(texts.groupBy("__tie").agg(F.count("*").alias("rows"), F.first("text").alias("text")).withColumn("key", F.xxhash64("__tie")))
+    linked = link_documents(held, "key", "text", words=5, link=80).select("key", "component_id")
+    several = linked.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1")
+    near = linked.join(several, "component_id", "left_semi").select("key")
+    return held.where("rows > 1").select("__tie").unionByName(held.join(near, "key", "left_semi").select("__tie")).distinct().withColumnRenamed("__tie", "__copy")
+
+
 def digests(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 

@@ -39,3 +39,19 @@ def test_sure_and_near_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = lines.wide_lines(df, 20).count()
     assert found == 20
+
+
+def test_only_copies_stay_whole(spark):
+    foot = [f"Footer line {k} that all of the sites show to their readers" for k in range(4)]
+    rows = [(k, f"Page {k} " + f"holds own words {k} times {k * k} and more of them {k + 7} " * 12 + "\n" + "\n".join(foot), f"site{k}") for k in range(8)]
+    rows += [(20, "\n".join([foot[0], foot[1], *(f"row {k} is own" for k in range(6))]), "site1"), (21, foot[2] + "\n" + foot[3] + "\na few own words", "site2"), (22, foot[1], "site3")]
+    story = [f"Sentence {k} of the story goes on about things number {k * 31} and {k * 17}." for k in range(30)]
+    for k in range(8):  # near copies: one line differs
+        rows.append((30 + k, "\n".join([*story[:k], f"changed {k}", *story[k + 1 :]]), f"site{k}"))
+    rows += [(50, "both\n" + foot[0], "site4"), (51, "both\n" + foot[0], "site5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_boilerplate(df).collect()}
+    assert got[21] == ("a few own words", 2) and got[22] == ("", 1) and got[20][1] == 2
+    assert all(got[k][1] == 4 for k in range(8))
+    whole = {i: t for i, t, _ in rows}
+    assert all(got[k] == (whole[k], 0) for k in [*range(30, 38), 50, 51]) and len(got) == len(rows)
