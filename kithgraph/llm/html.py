@@ -21,6 +21,8 @@ NEVER = frozenset("script style noscript template head title svg math iframe obj
 #: Roles, and words of class and id names, of what surrounds an article.
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside widget footer header masthead topbar toolbar comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toc skip hidden".split())
+#: Those of the names that mean the same inside an article; the others may name a part of its text.
+INNER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsored navbar breadcrumb breadcrumbs sidebar sidenav comments disqus".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 #: Elements of an unclosed frame of the page that the start of an article ends.
 FRAME = frozenset("nav header footer".split())
@@ -30,7 +32,8 @@ FEED = 1 << 16
 
 @dataclass
 class Block:
-    """A run of text between block boundaries; box: the container it lies in; linked: characters in links."""
+    """A run of text between block boundaries; box: the container it lies in; item: in a
+    list item outside of any article or main element; linked: characters in links."""
 
     box: int
     item: bool
@@ -72,7 +75,9 @@ class Events(HTMLParser):
         own = {k: (v or "").lower() for k, v in attrs}
         if own.get("role") in ROLES or own.get("aria-hidden") == "true" or "hidden" in own or "display:none" in own.get("style", "").replace(" ", ""):
             return True
-        return any(w in NAMES for w in WORD.findall(f"{own.get('class', '')} {own.get('id', '')}"))
+        if self.articles and re.fullmatch("h[1-6]", tag):
+            return False
+        return any(w in (INNER_NAMES if self.articles else NAMES) for w in WORD.findall(f"{own.get('class', '')} {own.get('id', '')}"))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.block:
@@ -140,7 +145,7 @@ class Events(HTMLParser):
         if not self.block:
             if not data.strip():
                 return
-            self.block = Block(self._box(), self.items > 0)
+            self.block = Block(self._box(), self.items > 0 and not self.articles)
             self.blocks.append(self.block)
         self.block.parts.append(data)
         if self.links:
@@ -175,7 +180,7 @@ def main_text(html: str) -> str:
     smoothed over neighbours and clustered.  The containers of blocks in content regions, weighed
     by their text, select the article: the innermost article or main element that holds most of
     it, or else the innermost container that does.  All of its blocks are kept, short ones too,
-    except list items that are links.
+    except list items outside of any article or main element that are links.
     """
     events = Events()
     for at in range(0, len(html), FEED):

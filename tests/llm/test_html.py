@@ -28,6 +28,23 @@ def test_content(body, want):
     assert main_text(FRAME.format(body)) == want
 
 
+LINKS = "<ul><li><a href='/s'>Source one</a></li><li><a href='/t'>Source two</a></li></ul>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_linked_lists_inside_an_article_stay(tag):
+    page = f"<ul><li><a href=/x>Elsewhere</a></li></ul><{tag}>{LONG}<h2>Sources</h2>{LINKS}</{tag}>"
+    assert main_text(FRAME.format(page)) == WANT + "\nSources\nSource one\nSource two"
+    assert main_text(FRAME.format(f"<div>{LINKS}{LONG}</div>")) == WANT
+
+
+@pytest.mark.parametrize("name", ["discussion", "notice", "related-work", "social", "share", "toc", "header", "hidden-costs", "menu"])
+def test_names_of_parts_of_an_article_stay(name):
+    part = f"<section id='{name}'><p>A part of the text.</p></section>"
+    assert main_text(FRAME.format(f"<article>{LONG}{part}</article>")) == WANT + "\nA part of the text."
+    assert main_text(FRAME.format(f"<div>{LONG}</div>{part}")) == WANT
+
+
 def test_smoothing_and_clusters():
     flat = smoothed([3.0] * 9)
     assert len(flat) == 9 and abs(flat - 3).max() < 1e-9 and regions(flat).all()
