@@ -10,12 +10,10 @@ _E = """raw AS (
   FROM (SELECT *, CASE event_type WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END AS s FROM events) WHERE s IS NOT NULL
 ), users AS (SELECT DISTINCT user_id FROM events),
 posts AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS post_id FROM events)"""
-_L = """raw0 AS (
+_L = """raw AS (
   SELECT o_custkey AS user_id, l_partkey AS post_id, s AS signal, 1700000000 + 60 * date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS ts,
     ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 4 + s AS seq
-  FROM (SELECT *, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 WHEN 'R' THEN 3 END AS s FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 0
-), raw AS (
-  SELECT user_id, post_id, signal, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq, ts) AS rn FROM raw0) WHERE user_id % 10 <> 1 OR rn <= 5
+  FROM (SELECT *, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 WHEN 'R' THEN 3 END AS s FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
 ), users AS (SELECT c_custkey AS user_id FROM customer),
 posts AS (SELECT p_partkey AS post_id FROM part)"""
 
