@@ -2,75 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithgraph.llm.shared import written
-from kithgraph.llm.shingles import link_documents
+from kithgraph.llm.shared import BROADCAST_KEYS, discard, matched, written
 
 #: Registers of a sketch as a power of two; its standard error is 1.04 / 2^(LOG_REGISTERS / 2).
 LOG_REGISTERS = 12
 
 
-def _key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+def _occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(id, text_hash, line, pos, site) of every line that isn't blank; line is a hash, pos counts from 1."""
+    text = F.col(text_col)
+    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(site_col).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "l"))
+    return lines.where(F.trim("l") != "").select("id", "text_hash", F.xxhash64(F.trim("l")).alias("line"), (F.col("pos") + 1).alias("pos"), "site")
 
 
-def wide_lines(df: DataFrame, min_sites: int, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """`line`, the hash of each line that is found on at least min_sites distinct sites.
+def wide_lines(df: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", most: int = BROADCAST_KEYS) -> DataFrame:
+    """`line`, the hash of each line found on at least min_sites distinct sites and in as many distinct texts.
 
-    A HyperLogLog sketch of the sites of each line hash is built before and merged after the
-    shuffle.  Lines whose estimate is further from min_sites than three standard errors and one
-    are decided by it; those between get an exact distinct count.  Null sites don't count.
+    As equal texts count once, a text that many sites copy doesn't make its lines boilerplate.  Of
+    each line hash, HyperLogLog sketches of its sites and of its texts are built before and merged
+    after the shuffle.  A line whose estimates both exceed min_sites by more than three standard
+    errors and one is wide; one that falls short by as much isn't; those between get exact
+    distinct counts.  Null sites don't count.  Written to the shared folder.
     """
-    lines = df.select(F.explode(F.split(F.col(text_col), "\n")).alias("l"), F.col(site_col).alias("site")).where(F.trim("l") != "").select(_key(F.col("l")).alias("line"), "site")
-    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("sites"))
+    lines = _occurrences(df, id_col, text_col, site_col)
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_REGISTERS)))
+    least = F.least(sketch("site"), sketch("text_hash"))
     margin = 1 + 3 * 1.04 / 2 ** (LOG_REGISTERS / 2) * min_sites
-    sure = spread.where(F.col("sites") > min_sites + margin).select("line")
-    near = spread.where(F.col("sites").between(min_sites - margin, min_sites + margin)).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
-    return sure.unionByName(exact)
-
-
-def remove_boilerplate(df: DataFrame, min_sites: int = 6, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """df with its texts cleared of lines found on at least min_sites distinct sites, and n_lines, n_removed.
-
-    Lines are compared without spaces at their ends; blank lines stay.  A document that consists of
-    such lines by more than half of its line characters stays whole, for near-duplicate removal to
-    judge, if it is a copy: another row has the same text, or one with 0.8 or more of five-word shingles.
-    All other documents lose these lines, whatever their share.  Null texts stay null with 0
-    lines, an empty text has 1 line.  Every row gives one row, repeated ones too; columns
-    named n_lines or n_removed are replaced.
+    spread = lines.groupBy("line").agg(least.alias("least")).where(F.col("least") >= min_sites - margin)
+    spread = written(spread.select("line", (F.col("least") > min_sites + margin).alias("sure")))
+    near = written(spread.where("not sure").select("line"))
+    counts = matched(lines.select("line", "site", "text_hash", "id"), near, "line", "id", most=most).groupBy("line")
+    exact = counts.agg(F.countDistinct("site").alias("sites"), F.countDistinct("text_hash").alias("texts")).where((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites))
+    wide = written(spread.where("sure").select("line").unionByName(exact.select("line")))
+    discard(spread, near)
+    return wide
+
+
+def remove_boilerplate(df: DataFrame, min_sites: int = 6, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", most: int = BROADCAST_KEYS) -> DataFrame:
+    """df with its texts cleared of the lines of wide_lines, and n_lines, n_removed.
+
+    Lines are compared without spaces at their ends; blank lines stay.  Every wide line goes,
+    whatever is left of a text.  Null texts stay null with 0 lines, an empty text has 1 line.  Every
+    row gives one row, repeated ones too; columns named n_lines or n_removed are replaced.  The
+    lines of very long texts are filtered in time linear in their number.
     """
-    text = F.col(text_col)
-    docs = df.drop("n_lines", "n_removed").withColumn("__tie", F.md5(text))
-    wide = wide_lines(df, min_sites, text_col, site_col)
-    lines = F.split(text, "\n")
-    size = lambda x: F.char_length(F.trim(x))
-    each = F.posexplode(F.filter(lines, lambda x: F.trim(x) != "")).alias("pos", "x")
-    own = docs.select(F.col(id_col).alias("__id"), "__tie", F.aggregate(lines, F.lit(0), lambda n, x: n + size(x)).alias("all"), each)
-    own = own.select("__id", "__tie", "all", _key(F.col("x")).alias("line"), "pos", size(F.col("x")).alias("chars"))
-    found = own.join(wide, "line", "left_semi").groupBy("__id", F.col("__tie").alias("__t")).agg(F.collect_set(F.struct("line", "pos", "chars")).alias("at"), F.first("all").alias("all"))
-    most = 2 * F.aggregate("at", F.lit(0), lambda n, x: n + x["chars"]) > F.col("all")
-    found = written(found.select("__id", "__t", F.array_distinct(F.col("at")["line"]).alias("__wide"), most.alias("__most")))
-    same = lambda f: docs[id_col].eqNullSafe(f["__id"]) & (docs["__tie"] == f["__t"])
-    suspects = found.where("__most")
-    copies = _copies(docs.join(suspects, same(suspects), "left_semi").select("__tie", text.alias("text")))
-    found = found.join(copies, F.col("__most") & (F.col("__t") == F.col("__copy")), "left_anti")
-    docs = docs.join(found, same(found), "left")
-    kept = F.filter(lines, lambda x: ~((F.trim(x) != "") & F.array_contains(F.col("__wide"), _key(x))))
-    docs = docs.withColumn("__cut", F.col("__wide").isNotNull()).withColumn("__kept", F.when(F.col("__cut"), kept))
-    docs = docs.withColumns({"n_lines": F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long"), "n_removed": F.when(F.col("__cut"), F.size(lines) - F.size("__kept")).otherwise(0).cast("long"), text_col: F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(text)})
-    return docs.select(*df.drop("n_lines", "n_removed").columns, F.greatest("n_lines", F.lit(0)).alias("n_lines"), "n_removed")
-
-
-def _copies(texts: DataFrame) -> DataFrame:
-    """`__copy`, the __tie of each text of (__tie, text) that several rows have or that links with another."""
-    held = written(texts.groupBy("__tie").agg(F.count("*").alias("rows"), F.first("text").alias("text")).withColumn("key", F.xxhash64("__tie")))
-    linked = link_documents(held, "key", "text", words=5, link=80).select("key", "component_id")
-    several = linked.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1")
-    near = linked.join(several, "component_id", "left_semi").select("key")
-    return held.where("rows > 1").select("__tie").unionByName(held.join(near, "key", "left_semi").select("__tie")).distinct().withColumnRenamed("__tie", "__copy")
+    text, lines = F.col(text_col), F.split(F.col(text_col), "\n")
+    docs = df.drop("n_lines", "n_removed").withColumn("__hash", F.xxhash64(text))
+    wide = wide_lines(df, min_sites, id_col, text_col, site_col, most)
+    found = matched(_occurrences(df, id_col, text_col, site_col), wide, "line", "pos", most=most)
+    found = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.collect_set("pos").alias("__gone"))
+    docs = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (docs["__hash"] == F.col("__h")), "left")
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__gone"))
+    cleared = F.array_join(F.transform(kept, lambda k: F.element_at(lines, k)), "\n")
+    cut = F.col("__gone").isNotNull()
+    docs = docs.withColumns({
+        "n_lines": F.when(text.isNotNull(), F.size(lines)).otherwise(0).cast("long"), "n_removed": F.when(cut, F.size("__gone")).otherwise(0).cast("long"),
+        text_col: F.when(cut, cleared).otherwise(text),
+    })
+    return docs.select(*df.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
@@ -80,19 +72,16 @@ def digests(cleaned: DataFrame) -> DataFrame:
 #: DuckDB SQL for digests(remove_boilerplate(documents)).
 SQL = """
 WITH l AS (
-  SELECT doc_id, source, pos, string_split(text, chr(10))[pos] AS line
-  FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
+  SELECT doc_id, source, t, pos, string_split(text, chr(10))[pos] AS line
+  FROM (SELECT doc_id, source, text, md5(text) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
 ), wide AS (
-  SELECT trim(line) AS k FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 6
+  SELECT trim(line) AS k FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 6 AND count(DISTINCT t) >= 6
 ), m AS (
   SELECT l.*, wide.k IS NOT NULL AS hit FROM l LEFT JOIN wide ON trim(l.line) = wide.k
 ), d AS (
-  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS hits,
-    2 * sum(CASE WHEN hit THEN 0 ELSE length(trim(line)) END) >= sum(length(trim(line))) AS cut,
-    string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS kept, string_agg(line, chr(10) ORDER BY pos) AS whole
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS text
   FROM m GROUP BY doc_id
-), t AS (
-  SELECT doc_id, n, CASE WHEN cut THEN hits ELSE 0 END AS n_removed, CASE WHEN cut THEN coalesce(kept, '') ELSE whole END AS text FROM d
 )
-SELECT doc_id, n AS n_lines, n_removed, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM t
+SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM d
 """
