@@ -36,8 +36,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003)).alias("h")).first()
-    return row["n"], row["h"]
+    """Rows, and sums of both halves of their 64-bit hashes."""
+    h = F.xxhash64("u", "v")
+    row = edges.agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright(h, 32)).alias("high")).first()
+    return row["n"], row["low"], row["high"]
 
 
 def labels(adjacent: np.ndarray) -> np.ndarray:

@@ -4,9 +4,14 @@ Shingles are 64-bit hashes; everything is exact but for their collisions.  Texts
 are one class.  Two linked classes share one of the rarest shingles of each (the prefix of a
 fixed order), so classes meet in the bucket of such a shingle.  In a bucket, a tree over the
 classes' group counts rules out pairs whose summed coordinate minima cannot reach the overlap
-that a link takes.  Survivors connect candidates; inside a connected candidate group the sets
-themselves decide, and only pairs that are not connected yet are looked at, so a group of mutual
-copies costs its size and not its square.
+that a link takes.  Survivors connect candidates; inside a connected candidate group a tree again
+rules out pairs, the sets themselves decide, and only pairs that are not connected yet are looked
+at, so a group of mutual copies costs its size and not its square.
+
+The order comes from counters that are shared by shingles and so never count too few: a prefix
+shingle whose counter is below FLAG has a bucket of less than FLAG classes.  Classes with a prefix
+shingle above it take new prefixes among themselves, from exact counts.  What is left in a
+large bucket then has nearly all of its shingles in large buckets, as the variants of one text do.
 """
 
 from __future__ import annotations
@@ -15,30 +20,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from kithgraph.llm.components import connected
 from kithgraph.llm.rows import slices
-from kithgraph.llm.shared import discard, written
+from kithgraph.llm.shared import discard, matched, written
 
 #: Words of a shingle, and the percentage of a link, LINK * |A or B| <= 100 * |A and B|, unless others are given.
 WORDS = 4
 LINK = 85
 #: Groups that a point counts (a power of two); counts above a byte's range make the bound void.
 GROUPS = 256
-#: Counters, as a power of two, of how many rows hold the shingles of a counter; a fixed size, in
-#: segments of SEGMENT counters.
-COUNTERS, SEGMENT = 22, 1 << 16
+#: Counters of how many rows hold the shingles of a counter, in segments of SEGMENT counters: one for
+#: LOAD bytes of text, and up to MOST_COUNTERS, a byte each when broadcast.  Beyond that more classes are flagged.
+SEGMENT, LOAD, MOST_COUNTERS = 1 << 16, 96, 1 << 26
+#: Binary magnitude from which a counter flags its shingles: a task's counters stop at 255.
+FLAG = 8
 #: Members of a bucket that are compared without a tree.
 FEW = 12
-#: Classes of one bucket or candidate group that one task compares directly.
+#: Classes of an exactly counted bucket, and of a candidate group, that one task compares directly.
 BUCKET, MEMBERS = 1024, 2048
+#: Bytes of sets that one task of a candidate group is dealt, but for a single larger set.
+MEMBER_BYTES = 1 << 26
 #: Leaves of the tree.
 LEAF = 32
 
+#: Public constants of the golden-ratio and splitmix64 hash steps.
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -201,11 +211,16 @@ def exact_pairs(sets: list[np.ndarray], points: np.ndarray, labels: list[int] |
 _FACTS = StructType([StructField("doc_id", LongType()), StructField("cls", LongType()), StructField("n", LongType()), StructField("point", BinaryType()), StructField("segment", LongType())])
 
 
-def _counter(own: np.ndarray) -> np.ndarray:
-    return (own & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)
+def _counter(own: np.ndarray, counters: int) -> np.ndarray:
+    return (own & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _facts(docs: DataFrame, words: int) -> DataFrame:
+def counters_for(text_bytes: int) -> int:
+    """A power of two in proportion to the input."""
+    return min(MOST_COUNTERS, max(SEGMENT, 1 << (text_bytes // LOAD).bit_length()))
+
+
+def _facts(docs: DataFrame, words: int, counters: int) -> DataFrame:
     """A row for each document (segment is null), and for each task the segments of its counters in
     point: n places and counts, or all counters where n is -1; a task's counter stops at 255."""
     arrow = to_arrow_schema(_FACTS)
@@ -214,15 +229,15 @@ def _facts(docs: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, counters = Hasher(words), np.zeros(1 << COUNTERS, np.uint32)
+        hashed, held = Hasher(words), np.zeros(counters, np.uint8)
         for batch in batches:
             for start, texts in slices(batch, 1):
                 sets = [hashed(t) for t in texts]
                 ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                at, counts = np.unique(_counter(np.concatenate(sets)), return_counts=True)
-                counters[at] += counts.astype(np.uint32)
+                at, counts = np.unique(_counter(np.concatenate(sets), counters), return_counts=True)
+                held[at] = np.minimum(held[at] + counts, 255).astype(np.uint8)
                 yield batch_of([ids, [digest(s) if len(s) else None for s in sets], [len(s) for s in sets], [point(s) for s in sets], [None] * len(sets)])
-        parts = np.minimum(counters, 255).astype(np.uint8).reshape(-1, SEGMENT)
+        parts = held.reshape(-1, SEGMENT)
         for k in np.flatnonzero(parts.any(axis=1)).tolist():
             at = np.flatnonzero(parts[k])
             few = 3 * len(at) < SEGMENT  # then places and counts take less room than all counters
@@ -231,8 +246,8 @@ def _facts(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, _FACTS)
 
 
-def _magnitudes(facts: DataFrame) -> np.ndarray:
-    """For each counter, the binary magnitude of its sum over all tasks: 2^COUNTERS bytes, whatever the input."""
+def _magnitudes(facts: DataFrame, counters: int) -> np.ndarray:
+    """For each counter, the binary magnitude of its sum over all tasks: MOST_COUNTERS bytes at most."""
     schema = StructType([StructField("segment", LongType()), StructField("sums", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,34 +264,37 @@ def _magnitudes(facts: DataFrame) -> np.ndarray:
             out = [np.ceil(np.log2(v + 1.0)).astype(np.uint8).tobytes() for v in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(out, pa.binary())], names=["segment", "sums"])
 
-    found = facts.where("segment is not null").select("segment", "n", "point").repartition("segment").mapInArrow(run, schema).collect()
-    out = np.zeros(((1 << COUNTERS) // SEGMENT, SEGMENT), np.uint8)
+    found = facts.where("segment is not null").select("segment", "n", "point").repartition("segment").mapInArrow(run, schema).toLocalIterator()
+    out = np.zeros((counters // SEGMENT, SEGMENT), np.uint8)
     for row in found:
         out[row["segment"]] = np.frombuffer(row["sums"], np.uint8)
     return out.ravel()
 
 
 def _prefixes(docs: DataFrame, magnitudes: np.ndarray, words: int, link: int) -> DataFrame:
-    """(shingle, cls, n) of each document's rarest shingles: those of small counters first, by hash
-    among equals.  Any fixed order gives the same links; this one keeps buckets small."""
-    shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
-    schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType())])
+    """(shingle, cls, n, flagged) of each document's rarest shingles: those of small counters first, by
+    hash among equals.  Any fixed order gives the same links; this one keeps buckets small."""
+    shared, counters = docs.sparkSession.sparkContext.broadcast(magnitudes), len(magnitudes)
+    schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("flagged", BooleanType())])
+
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, magnitude = Hasher(words), shared.value
         for batch in batches:
             for _, texts in slices(batch, 1):
-                shingle, cls, n = [], [], []
+                shingle, cls, n, flagged = [], [], [], []
                 for own in map(hashed, texts):
                     if not len(own):
                         continue
-                    take = prefix_size(len(own), link)
-                    chosen = own[np.argsort(magnitude[_counter(own)], kind="stable")[:take]]
-                    shingle.append(chosen.view(np.int64))
+                    take, sizes = prefix_size(len(own), link), magnitude[_counter(own, counters)]
+                    order = np.argsort(sizes, kind="stable")[:take]
+                    flagged.append(sizes[order] >= FLAG)
+                    shingle.append(own[order].view(np.int64))
                     cls.append(np.full(take, digest(own), np.int64))
                     n.append(np.full(take, len(own), np.int32))
                 if shingle:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingle, cls, n)], names=["shingle", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingle, cls, n, flagged)], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -352,7 +370,7 @@ def _bucket_edges(rows: DataFrame, link: int) -> DataFrame:
 
 
 def _group_edges(rows: DataFrame, link: int) -> DataFrame:
-    """Exact edges from (grp, block, cls, label, set) sorted by grp and block."""
+    """Exact edges from (grp, block, other, cls, label, set) sorted by grp, block and other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, a, b = None, {}, [], []
@@ -365,10 +383,10 @@ def _group_edges(rows: DataFrame, link: int) -> DataFrame:
                     a.append(names[x]), b.append(names[y])
 
         for batch in batches:
-            for grp, block, cls, label, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (grp, block) != key:
+            for *task, cls, label, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != key:
                     close()
-                    key, held = (grp, block), {}
+                    key, held = task, {}
                 held[cls] = (label, own)
             if a:
                 yield _edge_batch(a, b)
@@ -383,26 +401,106 @@ def _group_edges(rows: DataFrame, link: int) -> DataFrame:
 def _resolved(groups: DataFrame, link: int) -> DataFrame:
     """Exact edges between the classes of (grp, cls, set).
 
-    A group of up to MEMBERS is one task.  A larger one is dealt to blocks: first each block by
-    itself; then every class that isn't in its group's largest component meets all blocks.  Two
-    classes in that component need no look, and of any other two one is dealt everywhere.
+    A group of up to MEMBERS classes and MEMBER_BYTES is one task.  A larger one is dealt to
+    blocks of less than half of that, and first each block is compared by itself.  Two classes in the group's
+    largest component then need no look, and of any other two one is outside of it: the classes
+    outside are dealt to chunks, and every chunk meets every block and every other chunk in a task of its own.
     """
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    dealt = groups.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    columns = ["grp", "block", "cls", "label", "set"]
-    sort = lambda d: d.select(*columns).repartition("grp", "block").sortWithinPartitions("grp", "block")
+    half = F.lit(int(0.44 * MEMBERS))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"), F.sum(F.length("set")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("members") / half), F.ceil(F.col("bytes") / (0.44 * MEMBER_BYTES)))
+    large = written(sizes.where((F.col("members") > MEMBERS) | (F.col("bytes") > MEMBER_BYTES)).select("grp", parts.cast("int").alias("blocks")))
+    dealt = matched(groups, large, "grp", "cls", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumns({"block": F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), "other": F.lit(-1)})
+    columns = ["grp", "block", "other", "cls", "label", "set"]
+    sort = lambda d: d.select(*columns).repartition("grp", "block", "other").sortWithinPartitions("grp", "block", "other")
     edges = written(_group_edges(sort(dealt.withColumn("label", F.col("cls"))), link))
-    large = dealt.where("blocks > 1")
     if large.isEmpty():
         return edges
-    found = written(connected(edges))
-    large = large.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
-    main = large.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    large = large.join(main, "grp")
-    everywhere = large.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    more = written(_group_edges(sort(large.where("label = main").select(*columns).unionByName(everywhere.select(*columns))), link))
-    return edges.unionByName(more)
+    found = connected(edges)
+    rest = dealt.where("blocks > 1").drop("other").join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
+    rest = written(rest.select("grp", "blocks", "block", "cls", "label", "set"))
+    counts = rest.groupBy("grp", "label").agg(F.count("*").alias("c"), F.sum(F.length("set")).alias("bytes"))
+    main = counts.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.sum("bytes").alias("bytes"))
+    chunks = F.greatest(F.ceil((F.col("all") - F.col("most")) / half), F.ceil(F.col("bytes") * (F.col("all") - F.col("most")) / F.col("all") / (0.44 * MEMBER_BYTES)))
+    main = written(main.select("grp", "main", chunks.cast("int").alias("chunks")).where("chunks > 0"))
+    rest = matched(rest, main, "grp", "cls", "inner")
+    number = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = rest.where("label = main").withColumn("other", F.explode(number(F.col("chunks"))))
+    outside = rest.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int"))
+    to_blocks = outside.withColumn("block", F.explode(number(F.col("blocks")))).withColumn("other", F.col("chunk"))
+    # Chunks meet each other in blocks numbered below zero.
+    to_chunks = outside.withColumn("k", F.explode(number(F.col("chunks")))).withColumns({"block": -1 - F.least("chunk", "k"), "other": F.greatest("chunk", "k")})
+    more = inside.select(*columns).unionByName(to_blocks.select(*columns)).unionByName(to_chunks.select(*columns))
+    return edges.unionByName(written(_group_edges(sort(more), link)))
+
+
+def _exact_prefixes(docs: DataFrame, flagged: DataFrame, words: int, link: int) -> DataFrame:
+    """(shingle, cls, n, large) of the flagged classes, by exact counts among them: first the shingles
+    of buckets up to BUCKET classes, by hash among equals."""
+    rows = _sets(docs.join(flagged.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).dropDuplicates(["cls"])
+    rows = written(rows.join(flagged.select("cls").distinct(), "cls", "left_semi"))
+    each = _members(rows)
+    large = written(each.groupBy("shingle").agg(F.count("*").alias("met")).where(F.col("met") > BUCKET).select("shingle", F.lit(True).alias("large")))
+    each = matched(each, large, "shingle", "cls", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("large", "shingle"))
+    take = F.col("n") - F.ceil(F.lit(link) * F.col("n") / 100) + 1
+    return each.withColumn("rank", rank).where(F.col("rank") <= take).select("shingle", "cls", "n", "large")
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(shingle, cls, n) of every member of (cls, set)."""
+    schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), cls, np.int64)), pa.array(np.full(len(own), len(own), np.int32))], names=["shingle", "cls", "n"])
+
+    return sets.select("cls", "set").mapInArrow(run, schema)
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, link: int, one_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n) of every row, and (cls, component_id); one_id: rows with the same id are linked."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    counters = counters_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    facts = written(_facts(docs, words, counters))
+    base = facts.where("segment is null").select("doc_id", "cls", "n")
+    sound = facts.where("segment is null and doc_id is not null and n > 0")
+    magnitudes = _magnitudes(facts, counters)
+    classes = written(sound.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
+    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes, words, link).groupBy("shingle", "cls").agg(F.first("n").alias("n"), F.first("flagged").alias("flagged"))
+    # Flagged shingles may be hot: each of their rows is a partition of its own here.
+    bucket = Window.partitionBy("shingle", F.when(F.col("flagged"), F.col("cls")))
+    prefixes = written(prefixes.withColumn("met", F.count("*").over(bucket)).where("met > 1 or flagged").drop("met"))
+    small = prefixes.where("not flagged").select("shingle", "cls", "n")
+    flagged = written(prefixes.where("flagged").select("cls").distinct().join(classes.select("cls", "first"), "cls"))
+    stars = None
+    if not flagged.isEmpty():
+        exact = written(_exact_prefixes(docs, flagged, words, link))
+        met = F.count("*").over(Window.partitionBy("shingle"))
+        small = small.unionByName(exact.where("not large").withColumn("met", met).where("met > 1").select("shingle", "cls", "n"))
+        # What stays large connects all its classes as candidates; a tree looks at them in their group.
+        hubs = written(exact.where("large").groupBy("shingle").agg(F.min("cls").alias("b")))
+        stars = matched(exact.where("large").select("shingle", "cls"), hubs, "shingle", "cls", "inner").where("cls <> b").select(F.col("cls").alias("a"), "b")
+    met = small.join(classes.select("cls", "point"), "cls").select("shingle", "cls", "n", "point")
+    pairs = _bucket_edges(met.repartition("shingle").sortWithinPartitions("shingle"), link)
+    pairs = written((pairs if stars is None else pairs.unionByName(stars)).distinct())
+    groups = written(connected(pairs))
+    discard(pairs, prefixes)
+    wanted = groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
+    texts = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(_sets(texts, words).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
+    edges = _resolved(sets, link)
+    if one_id:
+        same = sound.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("z")).where("b <> z")
+        edges = edges.unionByName(sound.join(same.select("doc_id", "b"), "doc_id").where("cls <> b").select(F.col("cls").alias("a"), "b"))
+    component = connected(edges)
+    discard(sets, groups)
+    known = classes.join(component, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
+    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    return base, known.join(least, "component").select("cls", "component_id")
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
@@ -414,42 +512,31 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blank texts have no shingles and link with nothing; rows with a null id have a null component
     and link with nothing.  Repeated rows give repeated results.  Other columns are ignored.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(_facts(docs, words))
-    base = facts.where("segment is null").select("doc_id", "cls", "n", "point")
-    sound = base.where("doc_id is not null and n > 0")
-    magnitudes = _magnitudes(facts)
-    classes = written(sound.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
-    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes, words, link).groupBy("shingle", "cls").agg(F.first("n").alias("n"))
-    from pyspark.sql import Window
-
-    met = prefixes.withColumn("met", F.count("*").over(Window.partitionBy("shingle"))).where("met > 1")
-    met = written(met)
-    small = met.where(F.col("met") <= BUCKET).join(classes.select("cls", "point"), "cls").select("shingle", "cls", "n", "point")
-    pairs = _bucket_edges(small.repartition("shingle").sortWithinPartitions("shingle"), link)
-    # A bucket beyond BUCKET classes connects all of them as candidates, without a look.
-    wide = met.where(F.col("met") > BUCKET)
-    hubs = wide.groupBy("shingle").agg(F.min("cls").alias("b"))
-    stars = wide.join(hubs, "shingle").where("cls <> b").select(F.col("cls").alias("a"), "b")
-    groups = written(connected(pairs.unionByName(stars).distinct()))
-    discard(met)
-    wanted = groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
-    texts = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(_sets(texts, words).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
-    component = connected(_resolved(sets, link))
-    known = classes.join(component, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
-    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "component").select("cls", "component_id")
+    base, known = _classes(df, id_col, text_col, words, link, False)
     out = base.join(known, "cls", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
-    """The rows of df that are the first of their component: one document of each group stays.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK, also: DataFrame | None = None) -> DataFrame:
+    """One row of df for each component of linked rows, with the smallest id (nulls last), then text digest.
 
-    Rows with a null id stay.
+    also: (id, text) of further versions of the rows' texts, such as they were before a cleaning
+    step; two rows link if any version of one links with any of the other.  Rows without shingles
+    in any version (null, empty, blank) stay.  Of rows that are equal in id and text one stays.
     """
-    found = link_documents(df, id_col, text_col, words, link)
-    first = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__id")).distinct()
-    kept = df.join(first, df[id_col] == first["__id"], "left_semi")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    key = F.xxhash64(F.col(id_col), F.md5(F.col(text_col)))
+    narrow = written(df.select(key.alias("__key"), F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__tie")))
+    texts = df.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    if also is not None:
+        before = also.select(F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__was"), F.col(text_col).alias("__text"))
+        changed = before.join(narrow, "__id").where(~F.col("__was").eqNullSafe(F.col("__tie")))
+        texts = texts.unionByName(changed.select("__key", "__text"))
+    base, known = _classes(texts, "__key", "__text", words, link, also is not None)
+    members = written(base.join(known, "cls").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("component")).distinct())
+    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__tie"), F.col("__key"))
+    stays = members.join(narrow, "__key").groupBy("component").agg(F.min(order).alias("o")).select("o.__key")
+    gone = written(members.select("__key").join(stays, "__key", "left_anti"))
+    repeated = written(narrow.groupBy("__key").agg(F.count("*").alias("rows")).where("rows > 1").select("__key"))
+    kept = matched(df.withColumn("__key", key), gone, "__key", "__key", "left_anti")
+    once = matched(kept, repeated, "__key", "__key", "left_semi").dropDuplicates(["__key"])
+    return matched(kept, repeated, "__key", "__key", "left_anti").unionByName(once).select(*df.columns)

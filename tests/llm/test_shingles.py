@@ -54,8 +54,9 @@ def corpus(seed):
     return rows + [(7, out[9]), (None, out[3]), (3, out[3])]
 
 
-@pytest.mark.parametrize("seed,bucket,members", [(1, 1024, 2048), (2, 3, 4)])
-def test_against_brute_force(spark, monkeypatch, seed, bucket, members):
+@pytest.mark.parametrize("seed,bucket,members,flag", [(1, 1024, 2048, 8), (2, 3, 4, 8), (3, 3, 4, 0), (4, 1024, 2048, 2), (5, 3, 4, 3)])
+def test_against_brute_force(spark, monkeypatch, seed, bucket, members, flag):
+    monkeypatch.setattr(shingles, "FLAG", flag)
     monkeypatch.setattr(shingles, "BUCKET", bucket)
     monkeypatch.setattr(shingles, "MEMBERS", members)
     monkeypatch.setattr(shingles, "FEW", 12 if bucket > 3 else 2)
@@ -67,12 +68,75 @@ def test_against_brute_force(spark, monkeypatch, seed, bucket, members):
 
 def test_one_of_each(spark):
     t = " ".join(f"w{k}" for k in range(50))
-    df = spark.createDataFrame([(3, t, "s"), (1, t, "s"), (2, t + " more", "s"), (4, "other text", "s"), (5, "", "s"), (6, None, "s"), (None, t, "s")], "doc_id long, text string, source string")
+    rows = [(3, t, "s"), (1, t, "s"), (1, t, "s"), (1, "another text under that id", "s"), (2, t + " more", "s"), (4, "other text", "s"), (5, "", "s"), (6, None, "s"), (None, t, "s"), (None, "its own text", "s"), (None, "its own text", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = shingles.one_of_each(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6]
+    want = [(1, t), (1, "another text under that id"), (4, "other text"), (5, ""), (6, None), (None, "its own text")]
+    order = lambda r: (r[0] or 99, r[1] or "")
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(want, key=order)
     assert shingles.one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_link_by_earlier_versions(spark):
+    story = [f"w{k}" for k in range(60)]
+    before = [(1, " ".join(story)), (2, " ".join(story[:-1])), (3, " ".join(f"v{k}" for k in range(60))), (4, "footer " + "same rest of it here"), (9, " ".join(story))]
+    now = [(1, "w1"), (2, ""), (3, before[2][1]), (4, "same rest of it here"), (5, "same rest of it here")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.one_of_each(frame(now), also=frame(before)).collect()) == [1, 3, 4]
+
+
+def test_common_shingles_are_not_candidates(spark, monkeypatch):
+    """Texts that share half of their shingles with thousands: no group holds them once counts are exact."""
+    monkeypatch.setattr(shingles, "FLAG", 0)
+    groups = []
+    resolved = shingles._resolved
+    monkeypatch.setattr(shingles, "_resolved", lambda sets, link: groups.append(sets.count()) or resolved(sets, link))
+    common = " ".join(f"c{k}" for k in range(33))
+    rows = [(k, common + " " + " ".join(f"d{k}x{j}" for j in range(30))) for k in range(3000)] + [(5000, common + " " + " ".join(f"d7x{j}" for j in range(30)) + " end")]
+    got = shingles.link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.where("component_id <> doc_id").collect()) == [5000] and groups == [2]
+
+
+def test_large_groups_are_dealt(spark, monkeypatch):
+    """Chains of variants in one candidate group: no task holds many more than MEMBERS (dealt by hash), and no link is lost."""
+    monkeypatch.setattr(shingles, "MEMBERS", 40)
+    seen = spark.sparkContext.accumulator(0)
+    edges = shingles._group_edges
+
+    def watched(rows, link):
+        most = rows.groupBy("grp", "block", "other").count().agg({"count": "max"}).first()[0] or 0
+        seen.add(int(most > 60))
+        return edges(rows, link)
+
+    monkeypatch.setattr(shingles, "_group_edges", watched)
+    rng = random.Random(9)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(40)]
+        for k in range(50):
+            own = list(base)
+            own[rng.randrange(40)] = f"e{family}x{k % 20}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [(k, np.sort(np.array([hash(x) & ((1 << 62) - 1) for x in shingle_set(t)], np.uint64))) for k, t in rows]
+    frame = spark.createDataFrame([(0, k, bytearray(own.tobytes())) for k, own in sets], "grp long, cls long, set binary")
+    found = shingles.connected(shingles._resolved(frame, 70)).collect()
+    got = {r.node: r.component for r in found}
+    own = {k: set(s.tolist()) for k, s in sets}
+    root = {k: k for k in own}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in own:
+        for b in range(a):
+            if 170 * len(own[a] & own[b]) >= 70 * (len(own[a]) + len(own[b])):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert all(got.get(k, k) == top(k) for k in own) and seen.value == 0
+
+
 def test_prefix_and_tree_lose_no_pair():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
@@ -100,7 +164,7 @@ def test_sets_beyond_a_byte_per_group_are_compared():
     assert (points == 255).all() and shingles.exact_pairs(sets, points) == [(0, 1)]
 
 
-def test_stage_links_at_five_words_and_four_fifths(spark):
+def test_stage_links_at_five_words_and_four_fifths(spark, tmp_path):
     import corpus_pipeline
 
     own = [f"w{k}" for k in range(104)]
@@ -118,5 +182,6 @@ def test_stage_links_at_five_words_and_four_fifths(spark):
 
     pairs = brute_pairs(5, 80)
     assert pairs != brute_pairs(4, 85)
-    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect())
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect())
     assert kept == [i for i, _ in rows if i not in {b for _, b in pairs}]
