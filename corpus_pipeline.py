@@ -15,22 +15,34 @@ from kithgraph.llm.shared import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest-neighbour classifier rejects go."""
+    """Documents that the nearest-neighbour classifier rejects go.
+
+    Learns from `labels` joined to docs.  A null or empty text has the score of the sample's share of
+    good documents; equal rows get equal decisions; an empty table stays empty.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites go; no document does."""
+    """Lines found on many sites go; no document does.
+
+    n_chars becomes the length of the new text, null for a null text.
+    """
     cleaned = lines.remove_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: links at five words and a similarity of 0.8 and more."""
-    return shingles.one_of_each(docs, words=5, link=80)
+    """One document of each group of near copies stays: links at five words and a similarity of 0.8 and more.
+
+    Two documents are also near copies if their texts in `documents` were so, before lines were
+    removed.  Null and empty texts link only by those.
+    """
+    return shingles.one_of_each(docs, words=5, link=80, also=table(spark, sf_dir, "documents"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of all documents; a null or empty text is packed as its end token alone."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
