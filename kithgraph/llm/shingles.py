@@ -517,20 +517,23 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK, also: DataFrame | None = None) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, link: int = LINK, also: DataFrame | None = None, lost: float = 0.25) -> DataFrame:
     """One row of df for each component of linked rows, with the smallest id (nulls last), then text digest.
 
-    also: (id, text) of further versions of the rows' texts, such as they were before a cleaning
-    step; two rows link if any version of one links with any of the other.  Rows without shingles
+    also: (id, text) of the rows' texts before a cleaning step.  A row that lost the share `lost`
+    or more of its characters then is judged by that version too: two rows link if any version of
+    one links with any of the other.  Rows without shingles
     in any version (null, empty, blank) stay.  Of rows that are equal in id and text one stays.
     """
     key = F.xxhash64(F.col(id_col), F.md5(F.col(text_col)))
-    narrow = written(df.select(key.alias("__key"), F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__tie")))
+    size = F.coalesce(F.char_length(text_col), F.lit(0))
+    narrow = written(df.select(key.alias("__key"), F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__tie"), size.alias("__size")))
     texts = df.select(key.alias("__key"), F.col(text_col).alias("__text"))
     if also is not None:
-        before = also.select(F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__was"), F.col(text_col).alias("__text"))
-        changed = before.join(narrow, "__id").where(~F.col("__was").eqNullSafe(F.col("__tie")))
-        texts = texts.unionByName(changed.select("__key", "__text"))
+        # Only ids and lengths are joined; the texts of the rows that lost enough are looked up then.
+        shrunk = also.select(F.col(id_col).alias("__id"), size.alias("__was")).join(narrow, "__id").where((F.col("__was") > 0) & (F.col("__size") <= (1 - lost) * F.col("__was")))
+        shrunk = written(shrunk.groupBy("__id").agg(F.min("__key").alias("__key")))
+        texts = texts.unionByName(matched(also.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), shrunk, "__id", "__id", "inner").select("__key", "__text"))
     base, known = _classes(texts, "__key", "__text", words, link, also is not None)
     members = written(base.join(known, "cls").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("component")).distinct())
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__tie"), F.col("__key"))
