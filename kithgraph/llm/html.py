@@ -16,13 +16,20 @@ from kithgraph.llm.rows import map_texts
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never content.
-NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea label form nav aside footer dialog menu".split())
+#: Elements whose text is never content, and elements that surround it; these may be wrapped around it.
+NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea label".split())
+AROUND, WRAPPERS = frozenset("nav aside footer dialog menu".split()), frozenset("form header".split())
 #: Roles, and words of class and id names, of what surrounds an article.
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside widget footer header masthead topbar toolbar comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toc skip hidden".split())
 #: Those of the names that mean the same inside an article; the others may name a part of its text.
 INNER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsored navbar breadcrumb breadcrumbs sidebar sidenav comments disqus".split())
+#: Names of readers' remarks, words that turn a name round, and words of layout beside a name.
+REMARKS = frozenset("comment comments disqus reply replies respond".split())
+TURNED = frozenset("no not non has with without is".split())
+LAYOUT = frozenset("site page main top left right bottom box bar area wrapper wrap container block section list links link item items slot unit widget inner outer row col column global primary secondary post user reader form buttons button icons group panel region content module".split())
+#: Factor on the text-to-tag ratio of a block for each box around it whose name holds a furniture word among others.
+DOUBT = 0.25
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 #: Elements of an unclosed frame of the page that the start of an article ends.
 FRAME = frozenset("nav header footer".split())
@@ -33,10 +40,13 @@ FEED = 1 << 16
 @dataclass
 class Block:
     """A run of text between block boundaries; box: the container it lies in; item: in a
-    list item outside of any article or main element; linked: characters in links."""
+    list item outside of any article or main element; heading: in h1 to h6; marks: the marked
+    boxes around it; linked: characters in links."""
 
     box: int
     item: bool
+    heading: bool
+    marks: tuple[int, ...]
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0
@@ -46,38 +56,54 @@ class Block:
 
 
 class Events(HTMLParser):
-    """Blocks outside of page furniture, from a stream of parser events.
+    """Blocks of text, from a stream of parser events.
 
-    stack holds the open block elements and furniture; boxes holds (parent, element) of containers.
+    stack holds (tag, kind, container, mark) of the open block elements and marked boxes; boxes
+    holds (parent, element) of containers.  kinds: "never" holds no content; "around" is
+    furniture; "wrapper" is so unless it holds most of the text; "doubt" lowers its blocks' ratios.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.boxes: list[tuple[int, str]] = [(-1, "page")]
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, str, int, int]] = []
+        self.marks: list[str] = []
         self.skipping = self.links = self.items = self.articles = 0
         self.block: Block | None = None
 
     def _box(self) -> int:
-        return next((b for _, _, b in reversed(self.stack) if b >= 0), 0)
+        return next((b for _, _, b, _ in reversed(self.stack) if b >= 0), 0)
 
     def _break(self) -> None:
         self.block = None
 
-    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if tag in NEVER:
-            return True
-        if tag == "header":
-            return not self.articles
+            return "never"
+        if tag in AROUND:
+            return "around"
+        if tag in WRAPPERS:
+            return "" if tag == "header" and self.articles else "wrapper"
         if tag in ("body", "html", "article", "main"):
-            return False
+            return ""
         own = {k: (v or "").lower() for k, v in attrs}
         if own.get("role") in ROLES or own.get("aria-hidden") == "true" or "hidden" in own or "display:none" in own.get("style", "").replace(" ", ""):
-            return True
+            return "around"
         if self.articles and re.fullmatch("h[1-6]", tag):
-            return False
-        return any(w in (INNER_NAMES if self.articles else NAMES) for w in WORD.findall(f"{own.get('class', '')} {own.get('id', '')}"))
+            return ""
+        names, kind = INNER_NAMES if self.articles else NAMES, ""
+        for token in f"{own.get('class', '')} {own.get('id', '')}".split():
+            words = WORD.findall(token)
+            if not any(w in names for w in words) or words[0] in TURNED:
+                continue
+            if any(w not in NAMES and w not in LAYOUT for w in words):
+                kind = kind or "doubt"
+            elif self.articles or any(w in REMARKS for w in words):
+                return "around"
+            else:
+                kind = "wrapper"
+        return kind
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.block:
@@ -90,21 +116,24 @@ class Events(HTMLParser):
                     self._break()
                 return
         if tag in ("article", "main"):
-            while self.stack and self.skipping and self.stack[-1][0] in FRAME:
+            while self.stack and self.stack[-1][0] in FRAME:
                 self._pop()
         if tag == "a":
             self.links += 1
-        furniture = self._furniture(tag, attrs)
-        if tag in BLOCKS or furniture:
+        kind = self._kind(tag, attrs)
+        if tag in BLOCKS or kind:
             self._break()
             if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or re.fullmatch("h[1-6]", tag):
                 self._close_open(tag)
-            box = -1
-            if tag in CONTAINERS and not furniture:
+            box = mark = -1
+            if tag in CONTAINERS or kind == "wrapper":
                 box = len(self.boxes)
                 self.boxes.append((self._box(), tag))
-            self.stack.append((tag, furniture, box))
-            self.skipping += furniture
+            if kind and kind != "never":
+                mark = len(self.marks)
+                self.marks.append(kind)
+            self.stack.append((tag, kind, box, mark))
+            self.skipping += kind == "never"
             self.items += tag == "li"
             self.articles += tag in ("article", "main")
             self.links = 0 if tag in BLOCKS else self.links
@@ -121,8 +150,8 @@ class Events(HTMLParser):
                 return
 
     def _pop(self) -> None:
-        tag, furniture, _ = self.stack.pop()
-        self.skipping -= furniture
+        tag, kind, _, _ = self.stack.pop()
+        self.skipping -= kind == "never"
         self.items -= tag == "li"
         self.articles -= tag in ("article", "main")
 
@@ -131,7 +160,7 @@ class Events(HTMLParser):
             self.block.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if any(name == tag for name, _, _ in self.stack):
+        if any(entry[0] == tag for entry in self.stack):
             self._break()
             while self.stack[-1][0] != tag:
                 self._pop()
@@ -145,7 +174,8 @@ class Events(HTMLParser):
         if not self.block:
             if not data.strip():
                 return
-            self.block = Block(self._box(), self.items > 0 and not self.articles)
+            heading = any(re.fullmatch("h[1-6]", entry[0]) for entry in self.stack)
+            self.block = Block(self._box(), self.items > 0 and not self.articles, heading, tuple(m for *_, m in self.stack if m >= 0))
             self.blocks.append(self.block)
         self.block.parts.append(data)
         if self.links:
@@ -155,7 +185,8 @@ class Events(HTMLParser):
 def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+    mode = "reflect" if len(ratios) > reach else "edge"
+    return np.convolve(np.pad(ratios, reach, mode=mode), kernel / kernel.sum(), mode="valid")
 
 
 def regions(values: np.ndarray) -> np.ndarray:
@@ -173,26 +204,54 @@ def regions(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
+def _furniture(events: Events, free: np.ndarray) -> set[int]:
+    """Marked boxes whose text goes: all of kind "around", and each "wrapper" but for one that holds
+    more than half of the text outside of the former while no article or main element outside of
+    it holds text."""
+    gone = {m for m, kind in enumerate(events.marks) if kind == "around"}
+    outside = [not gone.intersection(b.marks) for b in events.blocks]
+    total = sum(n for n, ok in zip(free, outside, strict=True) if ok)
+    for m, kind in enumerate(events.marks):
+        if kind != "wrapper":
+            continue
+        held = sum(n for n, ok, b in zip(free, outside, events.blocks, strict=True) if ok and m in b.marks)
+        if 2 * held <= total or any(ok and m not in b.marks and _named(b.box, events.boxes) for ok, b in zip(outside, events.blocks, strict=True)):
+            gone.add(m)
+    return gone
+
+
+def _named(box: int, boxes: list[tuple[int, str]]) -> bool:
+    while box >= 0:
+        if boxes[box][1] in ("article", "main"):
+            return True
+        box = boxes[box][0]
+    return False
+
+
 def main_text(html: str) -> str:
     """Text of the main content, one line for each block.
 
-    Blocks outside of furniture get the ratio of their unlinked text to their tags; the ratios are
-    smoothed over neighbours and clustered.  The containers of blocks in content regions, weighed
-    by their text, select the article: the innermost article or main element that holds most of
-    it, or else the innermost container that does.  All of its blocks are kept, short ones too,
-    except list items outside of any article or main element that are links.
+    Blocks outside of furniture get the ratio of their unlinked text to their tags, lowered by
+    DOUBT for doubtful names; the ratios are smoothed over neighbours and clustered.  The
+    containers of blocks in content regions, weighed by their text, select the article: the
+    innermost article or main element that holds most of it, or else the innermost container that
+    does.  Of an article or main element all blocks are kept, short ones too.  Of another
+    container those before the first and after the last content region go, but for headings next
+    to it, and list items that are links.
     """
     events = Events()
     for at in range(0, len(html), FEED):
         events.feed(html[at : at + FEED])
     events.close()
     texts = [b.text() for b in events.blocks]
-    keep = [k for k, b in enumerate(events.blocks) if texts[k] and not (b.item and b.linked * 2 > len(texts[k]))]
+    free = np.array([max(0, len(t) - b.linked) for b, t in zip(events.blocks, texts, strict=True)], float)
+    gone = _furniture(events, free)
+    keep = [k for k, b in enumerate(events.blocks) if texts[k] and not gone.intersection(b.marks) and not (b.item and b.linked * 2 > len(texts[k]))]
     if not keep:
         return ""
-    blocks, texts = [events.blocks[k] for k in keep], [texts[k] for k in keep]
-    free = np.array([max(0, len(t) - b.linked) for b, t in zip(blocks, texts, strict=True)], float)
-    chosen = regions(smoothed(free / np.array([b.tags + 1 for b in blocks])))
+    blocks, texts, free = [events.blocks[k] for k in keep], [texts[k] for k in keep], free[keep]
+    doubt = np.array([DOUBT ** sum(events.marks[m] == "doubt" for m in b.marks) for b in blocks])
+    chosen = regions(smoothed(doubt * free / np.array([b.tags + 1 for b in blocks])))
     weight = np.where(chosen, free, 0.0)
     if not weight.any():
         weight = free + 1.0
@@ -208,13 +267,19 @@ def main_text(html: str) -> str:
     if not named:
         best = _widened(best, held, events.boxes)
     inside = []
-    for b, t in zip(blocks, texts, strict=True):
+    for k, b in enumerate(blocks):
         box = b.box
         while box > best:
             box = events.boxes[box][0]
         if box == best:
-            inside.append(t)
-    return "\n".join(inside)
+            inside.append(k)
+    if not named and chosen[inside].any():
+        content = [k for k in range(len(inside)) if chosen[inside[k]]]
+        first, last = content[0], content[-1]
+        while first and blocks[inside[first - 1]].heading:
+            first -= 1
+        inside = inside[first : last + 1]
+    return "\n".join(texts[k] for k in inside)
 
 
 def _widened(box: int, held: dict[int, float], boxes: list[tuple[int, str]]) -> int:

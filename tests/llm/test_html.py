@@ -58,3 +58,63 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in extract(df).collect())
     assert got == [(0, 0), (1, len(WANT)), (1, len(WANT)), (2, 0), (3, 499_999)]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='page no-sidebar'>{}</div>",
+        "<form id='aspnetForm'>{}</form>",
+        "<div class='has-comments'>{}</div>",
+        "<article><div class='social-science'>{}</div></article>",
+        "<section class='related-work'>{}</section>",
+        "<div class='overlay'>{}</div>",
+    ],
+)
+def test_names_around_the_text_keep_it(page):
+    assert main_text(FRAME.format(NAV + page.format(LONG) + "<footer>me</footer>")) == WANT
+
+
+def brute_regions(blocks, sigma=1.5):
+    """Ratios (text, tags) of blocks, smoothed by definition, split at a moving threshold."""
+    import math
+
+    ratios, n, reach = [t / (g + 1) for t, g in blocks], len(blocks), int(3 * sigma)
+    weights = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)}
+
+    def at(k):
+        if n <= reach:
+            return ratios[min(max(k, 0), n - 1)]
+        return ratios[-k if k < 0 else 2 * (n - 1) - k if k >= n else k]
+
+    smooth = [sum(w * at(k + d) for d, w in weights.items()) / sum(weights.values()) for k in range(n)]
+    cut = sum(smooth) / n
+    for _ in range(30):
+        high, low = [x for x in smooth if x >= cut], [x for x in smooth if x < cut]
+        if not low or sum(low) / len(low) > 0.5 * sum(high) / len(high):
+            return [True] * n
+        cut = (sum(high) / len(high) + sum(low) / len(low)) / 2
+    return [x >= cut for x in smooth]
+
+
+def test_regions_against_definitions_and_their_effect(monkeypatch):
+    import random
+
+    from kithgraph.llm import html
+
+    rng, changed = random.Random(4), 0
+    for _ in range(60):
+        blocks = [(rng.choice([3, 8, 200, 300, 400]), rng.choice([0, 0, 1, 5])) for _ in range(rng.randint(1, 25))]
+        values = smoothed([t / (g + 1) for t, g in blocks])
+        assert regions(values).tolist() == brute_regions(blocks)
+        page = "".join("<div>x" + "<i></i>" * g + "x" * (t - 1) + "</div>" for t, g in blocks)
+        kept = main_text(FRAME.format(page))
+        with monkeypatch.context() as m:
+            m.setattr(html, "regions", lambda v: v >= v.min())
+            changed += main_text(FRAME.format(page)) != kept
+    assert changed > 9  # of 60
+
+
+def test_unnamed_frames_go_by_their_ratios():
+    page = "<div><div>Home</div><div>News</div><div>Us</div></div><div>" + LONG + "</div><div>a</div><div>b</div><div>c 2024</div>"
+    assert main_text(FRAME.format("<div>" + page + "</div>")) == WANT
