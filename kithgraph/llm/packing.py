@@ -19,6 +19,8 @@ from kithgraph.llm.tokens import ByteTokenizer
 
 #: Windows that are balanced against each other.
 BLOCK_WINDOWS = 64
+#: Share of a block that is set aside to be cut into the room that whole pieces leave.
+FILLER = 0.12
 #: Sequence ids of one partition.
 ID_SPAN = 1 << 36
 
@@ -70,12 +72,48 @@ def whole_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def cut_windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Full windows of pieces (document, start, length) that may be cut; `capacity` divides their total.
+Piece = tuple[int, int, int]
+
+
+def filled_windows(pieces: list[Piece], filler: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece]] | None:
+    """Full windows of pieces (document, start, length), none of them cut, and filler; and what is left of the filler.
+
+    Differencing deals the pieces to as few windows as their total asks for, and to one more for as
+    long as it leaves a window above capacity.  The room of each window is filled with filler, cut
+    where it must be.  None where the windows have more room than there is filler.
+    """
+    sizes = [p[2] for p in pieces]
+    total, spare = sum(sizes), sum(p[2] for p in filler)
+    k = max(1, -(-total // capacity))
+    while k * capacity - total <= spare:
+        parts = differencing(sizes, k)
+        if all(sum(sizes[i] for i in p) <= capacity for p in parts):
+            left, windows = filler[::-1], []
+            for part in parts:
+                own = [pieces[i] for i in part]
+                windows.append(own + _taken(left, capacity - sum(p[2] for p in own)))
+            return windows, left[::-1]
+        k += 1
+    return None
+
+
+def _taken(left: list[Piece], room: int) -> list[Piece]:
+    """`room` tokens from the end of the list of pieces, which loses them."""
+    own = []
+    while room:
+        doc, start, length = left.pop()
+        own.append((doc, start, min(length, room)))
+        if length > room:
+            left.append((doc, start + room, length - room))
+        room -= min(length, room)
+    return own
+
+
+def cut_windows(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
+    """Full windows of pieces where whole ones can't fit; `capacity` divides their total.
 
     Differencing gives windows near the mean, which is the capacity.  What exceeds a window is cut
-    from its smallest pieces and fills the windows that fall short.  As the total is a multiple of
-    the capacity, the count need not rise further.
+    from its smallest pieces and fills the windows that fall short.
     """
     k = sum(p[2] for p in pieces) // capacity
     windows, spare, short = [], [], []
@@ -95,67 +133,67 @@ def cut_windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[
         if over < 0:
             short.append((own, -over))
     for own, room in short:
-        while room:
-            doc, start, length = spare.pop()
-            own.append((doc, start, min(length, room)))
-            if length > room:
-                spare.append((doc, start + room, length - room))
-            room -= min(length, room)
+        own.extend(_taken(spare, room))
     return windows
 
 
-def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+def powers(pieces: list[Piece]) -> list[list[Piece]]:
     """Windows whose lengths are distinct powers of two, of all that is in pieces."""
     left, windows, pieces = sum(p[2] for p in pieces), [], pieces[::-1]
     while left:
-        size = room = 1 << (left.bit_length() - 1)
-        own = []
-        while room:
-            doc, start, length = pieces.pop()
-            own.append((doc, start, min(length, room)))
-            if length > room:
-                pieces.append((doc, start + room, length - room))
-            room -= min(length, room)
-        windows.append(own)
+        size = 1 << (left.bit_length() - 1)
+        windows.append(_taken(pieces, size))
         left -= size
     return windows
 
 
 class Packer:
-    """Deals documents of one partition, in their order, to windows."""
+    """Deals documents of one partition, in their order, to windows.
+
+    A document of a window and more gives full windows of its own; its rest is a piece, and so is a
+    shorter document.  Of a block of pieces, rests first and then the latest documents are set
+    aside as filler; the others are packed whole wherever differencing finds room.
+    """
 
     def __init__(self, capacity: int, block_windows: int = BLOCK_WINDOWS):
         self.capacity, self.goal = capacity, capacity * block_windows
-        self.pieces: list[tuple[int, int, int]] = []
-        self.held = 0
+        self.pieces: list[Piece] = []
+        self.held = self.cut_blocks = 0
 
-    def add(self, doc: int, length: int) -> Iterator[list[tuple[int, int, int]]]:
+    def add(self, doc: int, length: int) -> Iterator[list[Piece]]:
         start = 0
         while length - start >= self.capacity:
             yield [(doc, start, self.capacity)]
             start += self.capacity
         if length > start:
-            rest = min(length - start, self.goal - self.held)
-            self.pieces.append((doc, start, rest))
-            self.held += rest
-            if self.held == self.goal:
-                yield from cut_windows(self.pieces, self.capacity)
-                self.pieces = [(doc, start + rest, length - start - rest)] if length > start + rest else []
-                self.held = length - start - rest
-
-    def end(self) -> Iterator[list[tuple[int, int, int]]]:
+            self.pieces.append((doc, start, length - start))
+            self.held += length - start
+            if self.held >= self.goal:
+                yield from self._block()
+
+    def _block(self) -> list[list[Piece]]:
+        """Full windows of the pieces; what doesn't fill one stays."""
+        filler, whole, aside = [], [], 0
+        for p in sorted(self.pieces, key=lambda p: (p[1] == 0, -p[0])):
+            if aside < FILLER * self.held:
+                filler.append(p)
+                aside += p[2]
+            else:
+                whole.append(p)
+        found = filled_windows(whole[::-1], filler, self.capacity)
+        if found is None:
+            self.cut_blocks += 1
+            left = self.pieces[::-1]
+            found = cut_windows(_taken(left, self.held - self.held % self.capacity), self.capacity), left[::-1]
+        windows, self.pieces = found
+        self.held = sum(p[2] for p in self.pieces)
+        return windows
+
+    def end(self) -> Iterator[list[Piece]]:
         """What is left: full windows, then one window for each power of two in the remainder."""
-        over, tail = self.held % self.capacity, []
-        while over:
-            doc, start, length = self.pieces.pop()
-            take = min(length, over)
-            tail.append((doc, start + length - take, take))
-            if length > take:
-                self.pieces.append((doc, start, length - take))
-            over -= take
-        if self.pieces:
-            yield from cut_windows(self.pieces, self.capacity)
-        yield from powers(tail)
+        while self.held >= self.capacity:
+            yield from self._block()
+        yield from powers(self.pieces)
         self.pieces, self.held = [], 0
 
 
@@ -164,7 +202,8 @@ def pack(df: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, id_col
 
     A document's ids are those of its whole text (null: empty) and end_id, so that every row has at
     least one piece; repeated rows are packed as often as they occur, and other columns of df are
-    ignored.  A partition packs its rows in their order and blocks of BLOCK_WINDOWS windows; no row
+    ignored.  A text longer than a window is cut into full windows and a rest, however long it is.
+    A partition packs its rows in their order and blocks of BLOCK_WINDOWS windows; no row
     moves and only one block of pieces is held.  A sequence is full, or is as long as a power of
     two, so nothing is padded.  sequence_id is unique within one run.
     """

@@ -1,8 +1,9 @@
 """Byte-pair encoding, decoding and token counts over whole texts.
 
-Text is cut only where the tokenizer itself always cuts (white space), so each distinct
-unit is encoded once for as long as a worker's bounded table remembers it.  Units longer than
-`leaf` code points go through tree concatenation.
+For encoding, a text is halved anywhere down to HALF code points; the halves are encoded together
+and joined upwards, each join through a window that grows until both sides agree with it.  The tokenizer always
+cuts at white space, so a run without it is a unit whose ids a worker's bounded table remembers;
+units longer than `leaf` code points are halved and joined token by token.
 """
 
 from __future__ import annotations
@@ -24,8 +25,25 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 ODD = re.compile(r"[\x1c-\x1f]")
 #: Fixed value: the word pattern of the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Units that a worker remembers at most; then it starts again.
-TABLE_UNITS = 400_000
+#: Bytes of units, ids and names (about) that a worker remembers; then it starts again.
+TABLE_BYTES = 100_000_000
+#: Code points of a text's part that is encoded by itself, and of the first window around a join.
+HALF, WINDOW = 1024, 24
+
+
+class Table(dict):
+    """A dict that counts the bytes of what is put in."""
+
+    held = 0
+
+    def put(self, unit: str, value: object, size: int) -> None:
+        self[unit] = value
+        self.held += 150 + 2 * len(unit) + size
+
+    def trim(self) -> None:
+        if self.held > TABLE_BYTES:
+            self.clear()
+            self.held = 0
 
 
 # ---------------------------------------------------------------- tree concatenation
@@ -96,12 +114,12 @@ class WordTokenizer:
     def __init__(self, path: str, leaf: int = 64):
         from tokenizers import Tokenizer
 
-        self.tok, self.leaf, self.table = Tokenizer.from_file(path), leaf, {}
+        self.tok, self.leaf, self.table, self.joins = Tokenizer.from_file(path), leaf, Table(), 0
         self.tok.no_truncation()
         self.tok.no_padding()
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.space = re.compile(f"[{WHITE}]+")
+        self.space, self.unit, self.white = re.compile(f"[{WHITE}]+"), re.compile(f"[^{WHITE}]+"), re.compile(f"[{WHITE}]")
         self.text_of = {k: t.encode() for t, k in self.tok.get_vocab(with_added_tokens=True).items()}
 
     def _triples(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -120,19 +138,54 @@ class WordTokenizer:
                 self._keep(u, self.tok.encode(u, add_special_tokens=False).ids if whole else [t for t, _, _ in encode_by_halves(self._triples, u, self.leaf)])
 
     def _keep(self, unit: str, ids: list[int]) -> None:
-        self.table[unit] = (np.array(ids, "<u4").tobytes(), b" ".join(map(self.text_of.__getitem__, ids)))
+        own = np.array(ids, "<u4").tobytes(), b" ".join(map(self.text_of.__getitem__, ids))
+        self.table.put(unit, own, len(own[0]) + len(own[1]))
 
     def split(self, text: str) -> list[str]:
         return [u for u in self.space.split(text) if u] if ODD.search(text) else text.split()
 
+    def halves(self, text: str) -> list[str]:
+        """Units of a text: its halves are halved on down to HALF code points and joined upwards."""
+        cuts = [0, len(text)]
+        while cuts[1] > HALF:
+            cuts = [c for a, b in zip(cuts, cuts[1:], strict=False) for c in (a, (a + b) // 2)] + [len(text)]
+        parts = [self.split(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        while len(parts) > 1:
+            parts = [self.join(text, parts[k], parts[k + 1], cuts[k], cuts[k + 1], cuts[k + 2]) for k in range(0, len(parts), 2)]
+            cuts = cuts[::2]
+        return parts[0]
+
+    def join(self, text: str, left: list[str], right: list[str], low: int, at: int, high: int) -> list[str]:
+        """Units of text[low:high] from those of its two parts.
+
+        The window around the join is split again and grows until one of its units ends before
+        `at` and is the left part's there, and one begins after it and is the right part's; units at
+        an inner edge of the window don't count.
+        """
+        self.joins += 1
+        if self.white.match(text, at) or self.white.match(text, at - 1):  # no unit straddles the cut
+            left.extend(right)
+            return left
+        width = WINDOW
+        while True:
+            a, b = max(low, at - width), min(high, at + width)
+            found = [(m.start() + a, m.end() + a, m[0]) for m in self.unit.finditer(text[a:b])]
+            before = [u for u in found if u[1] < at and (u[0] > a or a == low)]
+            after = [u for u in found if u[0] > at and (u[1] < b or b == high)]
+            begin, end = before[-1:] or ([(low, low, None)] if a == low else []), after[:1] or ([(high, high, None)] if b == high else [])
+            if begin and end and (begin[0][2] is None or left[-2] == begin[0][2]) and (end[0][2] is None or right[1] == end[0][2]):
+                left[-1:] = [u for x, y, u in found if x >= begin[0][1] and y <= end[0][0]]
+                left.extend(right[1:])
+                return left
+            width *= 2
+
     def rows(self, texts: list[str]) -> list[list]:
         """n_tokens, ids_sha256, decoded_sha256 of each text.
 
         The library decodes a vocabulary without a decoder to its tokens' names with spaces between.
         """
-        units = [self.split(t) for t in texts]
-        if len(self.table) > TABLE_UNITS:
-            self.table.clear()
+        units = list(map(self.halves, texts))
+        self.table.trim()
         self._learn(list(set().union(*units) - self.table.keys()))
         n, ids_hex, text_hex, get = [], [], [], self.table.__getitem__
         for own in units:
@@ -144,7 +197,7 @@ class WordTokenizer:
         return [n, ids_hex, text_hex]
 
     def ids(self, text: str) -> list[int]:
-        units = self.split(text)
+        units = self.halves(text)
         self._learn(list(set(units) - self.table.keys()))
         return np.frombuffer(b"".join(self.table[u][0] for u in units), "<u4").tolist()
 
@@ -152,8 +205,9 @@ class WordTokenizer:
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 64) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of every whole text; one row for each input row.
 
-    Null and empty texts have no tokens and the digests of empty strings.  Repeated rows give
-    repeated results; other columns of df are ignored.  `path` must exist on every node.
+    Null and empty texts have no tokens and the digests of empty strings.  A very long text is
+    encoded in halves and takes memory in proportion to its length, with or without white space.
+    Repeated rows give repeated results; other columns of df are ignored.  `path` must exist on every node.
     """
     return map_texts(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: WordTokenizer(path, leaf).rows)
 
@@ -186,17 +240,17 @@ class ByteTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.table: dict[str, bytes] = {}
+        self.table = Table()
         self.unit = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         plain = [not any(s in t for s in self.special) for t in texts]
         units = [self.unit.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        if len(self.table) > TABLE_UNITS:
-            self.table.clear()
+        self.table.trim()
         table, fast = self.table, self.fast
         for u in set().union(*units) - table.keys():
-            table[u] = np.array(fast(u), "<u4").tobytes()
+            own = np.array(fast(u), "<u4").tobytes()
+            table.put(u, own, len(own))
         get = table.__getitem__
         return [b"".join(map(get, own)) if ok else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, own in zip(texts, plain, units, strict=True)]
 
@@ -221,7 +275,7 @@ class PieceCounter:
         self.rank = {model.id_to_piece(k): r for r, k in enumerate(by_score)}
         if any(model.is_unused(k) for k in ids):
             raise ValueError("a model with unused pieces is not supported")
-        self.table: dict[str, int] = {}
+        self.table = Table()
         # No piece holds a space mark after another character, so words never merge with each other.
         apart = not any("▁" in p.lstrip("▁") for p in self.rank)
         lines = not any("\n" in p for p in self.rank)
@@ -256,10 +310,9 @@ class PieceCounter:
 
     def rows(self, texts: list[str], limit: int) -> list[list]:
         units = [self.unit.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-        if len(self.table) > TABLE_UNITS:
-            self.table.clear()
+        self.table.trim()
         for u in set().union(*units) - self.table.keys():
-            self.table[u] = self.merge(u)
+            self.table.put(u, self.merge(u), 0)
         n = [sum(map(self.table.__getitem__, own)) for own in units]
         return [[len(t.encode()) for t in texts], n, [x > limit for x in n]]
 
@@ -267,8 +320,8 @@ class PieceCounter:
 def count_tokens(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every whole text; one row for each input row.
 
-    Null and empty texts have 0 bytes and 0 tokens.  Repeated rows give repeated results; other
-    columns of df are ignored.
+    Null and empty texts have 0 bytes and 0 tokens.  A very long unsplit text takes time n log n and
+    memory in proportion to its length.  Repeated rows give repeated results; other columns of df are ignored.
     """
 
     def make():

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kithgraph.llm.packing import Packer, differencing, whole_windows
+from kithgraph.llm.packing import Packer, differencing, filled_windows, pack
 
 
 @given(st.lists(st.integers(1, 300), max_size=60), st.integers(1, 9))
@@ -22,7 +22,23 @@ def test_known_two_way_case():
 
 
 def test_count_rises_when_capacity_is_exceeded():
-    assert len(whole_windows([6, 6, 6], 10)) == 3 and len(whole_windows([5, 5, 5, 5], 10)) == 2 and whole_windows([], 10) == []
+    windows, left = filled_windows([(k, 0, 6) for k in range(3)], [(9, 0, 15)], 10)
+    assert len(windows) == 3 and sorted(map(len, windows)) == [2, 2, 2] and left == [(9, 12, 3)]
+    assert filled_windows([(k, 0, 6) for k in range(3)], [(9, 0, 11)], 10) is None  # two windows can't hold them whole
+    assert filled_windows([], [(9, 0, 3)], 10) is None and filled_windows([], [(9, 0, 13)], 10) == ([[(9, 0, 10)]], [(9, 10, 3)])
+
+
+def test_most_documents_stay_whole():
+    packer, windows = Packer(2048, 64), []
+    lengths = [(k * 7919) % 1500 + 20 for k in range(2000)]
+    for doc, n in enumerate(lengths):
+        windows += packer.add(doc, n)
+    windows += packer.end()
+    parts = [0] * len(lengths)
+    for w in windows:
+        for d, _, _ in w:
+            parts[d] += 1
+    assert packer.cut_blocks <= 1 and sum(n == 1 for n in parts) > 0.8 * len(parts)
 
 
 @given(st.lists(st.integers(1, 9000), max_size=80))
@@ -44,3 +60,35 @@ def test_windows_hold_each_token_once_without_padding(lengths):
             assert start == at and length > 0
             at += length
         assert at == n
+
+
+def test_rows_against_the_library(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = [f"Document {k} says {'some more words of its own ' * (k % 60)}" for k in range(200)] + ["", None, "many words " * 9000]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, "no id")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, length string, offset int").repartition(2)
+    got = pack(df, path).toPandas()
+    whole = {}
+    for i, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        whole.setdefault(-1 if i is None else i, []).append(ids)
+    assert got.doc_id.nunique() == len(texts)
+    for i, own in got.fillna({"doc_id": -1}).groupby("doc_id"):
+        ids = whole[int(i)][0]
+        assert (own.doc_tokens == len(ids)).all() and own.length.sum() == len(ids) * len(whole[int(i)])
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+        if len(whole[int(i)]) == 1:
+            spans = sorted(zip(own.start, own.length, strict=True))
+            assert [s for s, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()]
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        total = own.length.sum()
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and (total == 2048 or total & (total - 1) == 0)
+    assert pack(df.limit(0), path).count() == 0
