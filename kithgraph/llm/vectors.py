@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import ceil, log2, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from kithgraph.llm.components import connected, labels
-from kithgraph.llm.shared import written
+from kithgraph.llm.shared import discard, matched, written
 
 #: Parts that a vector is cut into; a filter direction takes one code word of each.
 PARTS = 4
@@ -22,6 +22,10 @@ PARTS = 4
 CODES = 2
 #: Vectors of one filter that are compared in one task at most, against as many of another block.
 BLOCK = 768
+#: Rows that are decoded together.
+DECODED = 1024
+#: Rows of one vector from which it is joined by itself, and the most such vectors that are broadcast.
+COMMON, COMMON_VECTORS = 4096, 20_000
 
 
 class ProductCode:
@@ -31,12 +35,14 @@ class ProductCode:
     `least` has a lower cap of its own, at which it passes that many.
 
     The cap is set so that two vectors at the threshold share `shared` filters on average, with
-    inner products taken as normal.
+    inner products taken as normal.  That gets less true as words are added, so `shared` and `least`
+    grow with their logarithm, and `least` is larger in few dimensions.
     """
 
-    def __init__(self, dimension: int, words: int, threshold: float, shared: float = 4.0, least: int = 10, seed: int = 20):
+    def __init__(self, dimension: int, words: int, threshold: float, seed: int = 20):
         rng = np.random.default_rng([seed, dimension, words])
-        self.parts, self.least = min(PARTS, dimension), least
+        shared = 1 + log2(words)
+        self.parts, self.least = min(PARTS, dimension), ceil((5 * log2(words) - 5) * (1.5 if dimension < 16 else 1))
         self.words, self.width = words, ceil(dimension / self.parts)
         size = self.width * self.parts
         self.rotation = np.linalg.qr(rng.standard_normal((size, size)))[0][:dimension]
@@ -58,7 +64,12 @@ class ProductCode:
         return low
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each row of unit.
+        """Sorted filter numbers of each row of unit, DECODED rows at a time at most."""
+        step = max(1, min(DECODED, (1 << 22) // max(1, self.words ** ceil(self.parts / 2))))
+        return [f for at in range(0, len(unit), step) for f in self._decode(unit[at : at + step])]
+
+    def _decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """As decode().
 
         Inner products of the two halves of a filter are kept apart; a half's product is extended
         only by those of the other half that lift it to the cap.
@@ -116,10 +127,11 @@ def _filters(vectors: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n) from rows sorted by (filter, i, j): b null: class a has links to n vectors of other
-    classes; else a and b are connected.
+    """(a, b, n) from rows (filter, i, j, cls, size, vec, lower, block) sorted by the first three: b null:
+    class a has links to n vectors of other classes; else a and b are connected.
 
-    A pair is counted only at the lowest filter that both pass, so each is counted once.
+    lower holds the vector's filters below this one.  A pair is counted only at the lowest filter
+    that both pass, so each is counted once.
     """
     schema = "a long, b long, n long"
     names = ["a", "b", "n"]
@@ -151,7 +163,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 for x, y in zip(cls[at][moved].tolist(), cls[at][root[moved]].tolist(), strict=True):
                     made[0].append(x), made[1].append(y), made[2].append(0)
-                lower = [held[k][3][held[k][3] < key[0]] for k in own]
+                lower = [held[k][3] for k in own]
                 common = np.unique(np.concatenate(lower), return_counts=True)
                 common = common[0][common[1] > 1]
                 if len(common):
@@ -205,18 +217,29 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     base = df.select(F.col(id_col).alias("id"), F.when(sound, v).alias("vec"))
     classes = written(base.where(F.col("vec").isNotNull()).groupBy("vec").agg(F.min("id").alias("cls"), F.count("*").alias("size")).select("cls", "size", "vec"))
     if words is None:
-        words = max(8, min(64, ceil(classes.count() ** 0.25)))
-    marked = _filters(classes, words, threshold).select("cls", "size", "vec", "filters", F.explode("filters").alias("filter"))
-    hot = _filters(classes, words, threshold).select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > BLOCK)
+        words = max(8, ceil(classes.count() ** 0.25))
+    marked = written(_filters(classes, words, threshold))
+    hot = marked.select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > BLOCK)
     hot = written(hot.select("filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    dealt = marked.join(hot, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = marked.select("cls", "size", "vec", "filters", F.posexplode("filters").alias("lower", "filter"))
+    dealt = matched(each, hot, "filter", "cls", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "size", "vec", "filters", "block")
+    dealt = dealt.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "size", "vec", F.slice("filters", F.lit(1), F.col("lower")).alias("lower"), "block")
     found = written(_verified(dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j"), threshold))
+    discard(marked, hot)
     degree = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     component = connected(found.where("b is not null"))
     facts = classes.join(degree, "cls", "left").join(component, F.col("cls") == F.col("node"), "left")
-    facts = facts.select("vec", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
-    out = base.join(facts, "vec", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    facts = facts.select("vec", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    # A vector that many rows hold would be one task of the join.
+    facts = written(facts)
+    common = written(facts.where(F.col("size") >= COMMON).select("vec", F.lit(True).alias("common")))
+    if not common.isEmpty():
+        base = matched(base, common, "vec", "id", "left", COMMON_VECTORS)
+        apart = matched(base.where("common").drop("common"), facts.where(F.col("size") >= COMMON), "vec", "id", "inner", COMMON_VECTORS)
+        joined = base.where("common is null").drop("common").join(facts, "vec", "left").unionByName(apart)
+    else:
+        joined = base.join(facts, "vec", "left")
+    out = joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
