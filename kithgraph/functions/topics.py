@@ -43,21 +43,29 @@ FNV_HIGH, FNV_LOW, FNV_PRIME = 3_421_674_724, 2_216_829_733, 435
 MASK = 0xFFFFFFFF
 
 
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, A-Z in lower case."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(_ascii_lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
 
 
-def _table(words: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for t, own in words.items() for w in own.split() for x in (w, t)))
+def _topic_of(token: Column, words: dict[str, str]) -> Column:
+    """The token's topic, by one set lookup for each topic; null for other tokens."""
+    out = None
+    for t, own in words.items():
+        hit = token.isin(*own.split())
+        out = F.when(hit, t) if out is None else out.when(hit, t)
+    return out
 
 
 def first_match(text: Column, words: dict[str, str]) -> Column:
     """Topic of the first token that is a known word."""
-    table = _table(words)
-    found = F.filter(F.transform(tokens(text), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull())
-    return F.try_element_at(found, F.lit(1))
+    known = [w for own in words.values() for w in own.split()]
+    found = F.try_element_at(F.filter(tokens(text), lambda t: t.isin(*known)), F.lit(1))
+    return _topic_of(found, words)
 
 
 def uri_topic(uri: Column) -> Column:
@@ -66,7 +74,7 @@ def uri_topic(uri: Column) -> Column:
 
 def seed_topic(author: Column) -> Column:
     """By the author's seed prefixes in order, then by the words of the author's name."""
-    lower = F.lower(author)
+    lower = _ascii_lower(author)
     out = None
     for t in TOPICS[:5]:
         hit = F.lit(False)
@@ -110,8 +118,7 @@ def resolve(stored: Column, author: Column, uri: Column, post_id: Column) -> Col
 def weighted_topic(parts: list[tuple[Column, int]]) -> Column:
     """Topic with the largest weighted count of known words over arrays of texts; ties go to the first
     topic, no known word gives null."""
-    table = _table(WORDS)
-    found = [F.transform(F.filter(F.transform(F.flatten(F.transform(F.coalesce(texts, F.array().cast("array<string>")), tokens)), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()), _weigh(w)) for texts, w in parts]
+    found = [F.transform(F.filter(F.transform(F.flatten(F.transform(F.coalesce(texts, F.array().cast("array<string>")), tokens)), lambda t: _topic_of(t, WORDS)), lambda x: x.isNotNull()), _weigh(w)) for texts, w in parts]
     hits = F.concat(*found)
     totals = F.array(*(F.struct(F.aggregate(hits, F.lit(0), _total(t)).alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("topic")) for k, t in enumerate(TOPICS[:5])))
     best = F.array_max(totals)
@@ -126,13 +133,20 @@ def _total(topic: str):
     return lambda n, h: n + F.when(h["topic"] == topic, h["w"]).otherwise(0)
 
 
+#: Parts of a post record that tell its topic.
+_EXTERNAL = "struct<uri:string,title:string,description:string>"
+CONTENT = f"text string, tags array<string>, facets array<struct<features:array<struct<tag:string,uri:string>>>>, embed struct<external:{_EXTERNAL},media:struct<external:{_EXTERNAL}>>"
+
+
 def content_topic(record: Column) -> Column:
     """Topic of a post record in JSON: tags count twice; links, text and external embeds once."""
-    at = lambda path: F.get_json_object(record, path)
-    facets = F.from_json(at("$.facets"), "array<struct<features:array<struct<tag:string,uri:string>>>>")
-    features = F.flatten(F.transform(F.coalesce(facets, F.array().cast("array<struct<features:array<struct<tag:string,uri:string>>>>")), lambda f: F.coalesce(f["features"], F.array().cast("array<struct<tag:string,uri:string>>"))))
+    return record_topic(F.from_json(record, CONTENT))
+
+
+def record_topic(r: Column) -> Column:
+    no_features = F.array().cast("array<struct<tag:string,uri:string>>")
+    features = F.coalesce(F.flatten(F.transform(r["facets"], lambda f: F.coalesce(f["features"], no_features))), no_features)
     present = lambda a: F.filter(a, lambda x: x.isNotNull())
-    tags = F.from_json(at("$.tags"), "array<string>")
-    nested = at("$.embed.external").isNull()
-    external = [F.when(nested, at(f"$.embed.media.external.{k}")).otherwise(at(f"$.embed.external.{k}")) for k in ("uri", "title", "description")]
-    return weighted_topic([(present(tags), 2), (present(F.transform(features, lambda f: f["tag"])), 2), (present(F.transform(features, lambda f: f["uri"])), 1), (present(F.array(at("$.text"), *external)), 1)])
+    external = F.coalesce(r["embed"]["external"], r["embed"]["media"]["external"])
+    texts = F.array(r["text"], *(external[k] for k in ("uri", "title", "description")))
+    return weighted_topic([(present(r["tags"]), 2), (present(F.transform(features, lambda f: f["tag"])), 2), (present(F.transform(features, lambda f: f["uri"])), 1), (present(texts), 1)])

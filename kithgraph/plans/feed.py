@@ -10,7 +10,7 @@ from kithgraph.operators import impressions as I
 from kithgraph.operators import ranking as R
 from kithgraph.operators.graph import cardinality, mutual_blocks, neighbours, now_of, tail, user_posts, velocity
 from kithgraph.plans.dials import Dials
-from kithgraph.schemas import FOLLOW_BOOST, NEIGHBOUR_EDGES, SCORED, TIER1_POSTS, Graph
+from kithgraph.schemas import EPOCH, FOLLOW_BOOST, NEIGHBOUR_EDGES, SCORED, TIER1_POSTS, Graph
 
 SOURCES = {1: "tier1_interaction_walk", 2: "tier2_follow_walk", 3: "tier3_velocity_pool"}
 
@@ -110,7 +110,10 @@ def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None)
 
 
 def preview_clock(latest: int, wall: int) -> int:
-    """The data's clock where it is ahead of the wall clock or more than six hours behind it."""
+    """The data's clock where it is ahead of the wall clock or more than six hours behind it; the wall
+    clock where there is no data after EPOCH."""
+    if latest <= EPOCH:
+        return wall
     return latest if latest > wall or wall - latest > 21_600 else wall
 
 

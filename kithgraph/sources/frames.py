@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithgraph.functions.topics import content_topic
+from kithgraph.functions.topics import CONTENT, record_topic
 from kithgraph.operators.graph import distinct_edges
 from kithgraph.schemas import EPOCH
 
@@ -35,10 +35,14 @@ def key_seconds(key: Column) -> Column:
 
 
 def adult(record: Column) -> Column:
-    """Whether a self-label, an object or a bare string, is one of ADULT."""
-    values = F.coalesce(F.from_json(F.get_json_object(record, "$.labels.values"), "array<string>"), F.array().cast("array<string>"))
-    name = lambda x: F.lower(F.trim(F.coalesce(F.get_json_object(x, "$.val"), x)))
-    return F.exists(F.filter(values, lambda x: x.isNotNull()), lambda x: F.coalesce(name(x).isin(*ADULT), F.lit(False)))
+    """Whether a self-label of a record in JSON is one of ADULT."""
+    return adult_labels(F.from_json(F.get_json_object(record, "$.labels.values"), "array<string>"))
+
+
+def adult_labels(values: Column) -> Column:
+    """Whether a self-label, an object's JSON or a bare string, is one of ADULT."""
+    name = lambda x: F.lower(F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.val")).otherwise(x)))
+    return F.coalesce(F.exists(F.filter(values, lambda x: x.isNotNull()), lambda x: F.coalesce(name(x).isin(*ADULT), F.lit(False))), F.lit(False))
 
 
 def wanted(frames: DataFrame, collections: list[str], column: str = "value") -> DataFrame:
@@ -51,23 +55,29 @@ def heartbeat(frames: DataFrame, column: str = "value") -> DataFrame:
     return frames.withColumn("time_us", F.get_json_object(column, "$.time_us").try_cast("long"))
 
 
+#: What parse() reads of a frame.  A string field that holds an object is that object's JSON.
+_LINK = "struct<uri:string>"
+_RECORD = f"subject:string,reply:struct<root:{_LINK},parent:{_LINK}>,labels:struct<values:array<string>>,{CONTENT.replace(' array', ':array').replace(' string', ':string').replace('embed struct<', 'embed:struct<`$type`:string,record:struct<uri:string,record:' + _LINK + '>,')}"
+FRAME = f"did string, time_us string, kind string, commit struct<operation:string,collection:string,rkey:string,record:struct<{_RECORD}>>"
+
+
 def parse(frames: DataFrame, column: str = "value") -> DataFrame:
     """One row for each event of a JSON frame, in columns of schemas.EVENT_SCHEMA; others of frames stay.
 
-    A post with an embedded record is its metadata and, after it, a quote.  Malformed frames,
-    other collections and other operations give no rows.
+    A frame is parsed once, into FRAME.  A post with an embedded record is its metadata and, after
+    it, a quote.  Malformed frames, other collections and other operations give no rows.
     """
-    at = lambda path: F.get_json_object(F.col(column), path)
-    f = heartbeat(frames, column)
-    f = f.withColumns({"__did": at("$.did"), "__op": F.lower(at("$.commit.operation")), "__in": at("$.commit.collection"), "__key": at("$.commit.rkey"), "__rec": at("$.commit.record")})
-    f = f.where((at("$.kind") == "commit") & (F.col("__did") != "") & F.col("__op").isin("create", "delete"))
-    rec = lambda path: F.get_json_object(F.col("__rec"), path)
-    is_object = lambda x: x.startswith("{")
-    subject = F.when(is_object(F.coalesce(rec("$.subject"), F.lit(""))), F.coalesce(rec("$.subject.uri"), rec("$.subject.did"))).otherwise(rec("$.subject"))
+    f = frames.withColumn("__f", F.from_json(column, FRAME))
+    commit = F.col("__f.commit")
+    f = f.withColumns({"time_us": F.col("__f.time_us").try_cast("long"), "__did": F.col("__f.did"), "__op": F.lower(commit["operation"]), "__in": commit["collection"], "__key": commit["rkey"], "__rec": commit["record"]})
+    f = f.where((F.col("__f.kind") == "commit") & (F.col("__did") != "") & F.col("__op").isin("create", "delete"))
+    r = F.col("__rec")
+    is_object = F.coalesce(r["subject"], F.lit("")).startswith("{")
+    subject = F.when(is_object, F.coalesce(F.get_json_object(r["subject"], "$.uri"), F.get_json_object(r["subject"], "$.did"))).otherwise(r["subject"])
     own = F.concat(F.lit("at://"), F.col("__did"), F.lit("/"), F.col("__in"), F.lit("/"), F.col("__key"))
     ts = F.greatest(F.floor(F.coalesce("time_us", F.lit(0)) / 1_000_000), F.lit(EPOCH)).cast("long")
-    kind = rec("$.embed.$type")
-    quoted = F.coalesce(rec("$.embed.record.record.uri"), rec("$.embed.record.uri"))
+    kind = r["embed"]["$type"]
+    quoted = F.coalesce(r["embed"]["record"]["record"]["uri"], r["embed"]["record"]["uri"])
     no = F.lit(None)
 
     def event(name: str, post: Column = no, other: Column = no, signal: int | None = None, **more: Column) -> Column:
@@ -76,9 +86,9 @@ def parse(frames: DataFrame, column: str = "value") -> DataFrame:
             more.get("root", no).cast("string").alias("root"), more.get("parent", no).cast("string").alias("parent"), more.get("nsfw", no).cast("boolean").alias("nsfw"), more.get("topic", no).cast("string").alias("topic"),
         )
 
-    created, has = F.col("__op") == "create", F.col("__rec").isNotNull()
+    created, has = F.col("__op") == "create", r.isNotNull()
     post_like = subject.isNotNull() & ~subject.rlike("|".join(NOT_POSTS))
-    meta = event("post", own, root=rec("$.reply.root.uri"), parent=rec("$.reply.parent.uri"), nsfw=adult(F.col("__rec")), topic=content_topic(F.col("__rec")))
+    meta = event("post", own, root=r["reply"]["root"]["uri"], parent=r["reply"]["parent"]["uri"], nsfw=adult_labels(r["labels"]["values"]), topic=record_topic(r))
     quote = F.when(kind.rlike(r"app\.bsky\.embed\.record(WithMedia)?(#.*)?$") & quoted.isNotNull(), event("interaction", quoted, signal=2))
     events = (
         F.when(F.col("__op") == "delete", F.array(event("delete", own)))

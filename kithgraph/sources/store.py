@@ -17,8 +17,13 @@ class DamagedSnapshot(Exception):
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-")).rstrip("/")
+    """The folder of spark.checkpoint.dir or the session's checkpoint folder; a temporary one only for a local session."""
+    found, given = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and given.isDefined():
+        found = given.get()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+    return (found or tempfile.mkdtemp(prefix="graph-")).rstrip("/")
 
 
 def _facts(df: DataFrame, name: str) -> DataFrame:
