@@ -33,7 +33,7 @@ DOUBT = 0.25
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 #: Elements of an unclosed frame of the page that the start of an article ends.
 FRAME = frozenset("nav header footer".split())
-WORD = re.compile(r"[a-z]+")
+WORD, HEADING = re.compile(r"[a-z]+"), frozenset("h1 h2 h3 h4 h5 h6".split())
 FEED = 1 << 16
 
 
@@ -90,7 +90,7 @@ class Events(HTMLParser):
         own = {k: (v or "").lower() for k, v in attrs}
         if own.get("role") in ROLES or own.get("aria-hidden") == "true" or "hidden" in own or "display:none" in own.get("style", "").replace(" ", ""):
             return "around"
-        if self.articles and re.fullmatch("h[1-6]", tag):
+        if self.articles and tag in HEADING:
             return ""
         names, kind = INNER_NAMES if self.articles else NAMES, ""
         for token in f"{own.get('class', '')} {own.get('id', '')}".split():
@@ -123,7 +123,7 @@ class Events(HTMLParser):
         kind = self._kind(tag, attrs)
         if tag in BLOCKS or kind:
             self._break()
-            if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or re.fullmatch("h[1-6]", tag):
+            if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or tag in HEADING:
                 self._close_open(tag)
             box = mark = -1
             if tag in CONTAINERS or kind == "wrapper":
@@ -174,7 +174,7 @@ class Events(HTMLParser):
         if not self.block:
             if not data.strip():
                 return
-            heading = any(re.fullmatch("h[1-6]", entry[0]) for entry in self.stack)
+            heading = any(entry[0] in HEADING for entry in self.stack)
             self.block = Block(self._box(), self.items > 0 and not self.articles, heading, tuple(m for *_, m in self.stack if m >= 0))
             self.blocks.append(self.block)
         self.block.parts.append(data)
@@ -209,15 +209,17 @@ def _furniture(events: Events, free: np.ndarray) -> set[int]:
     more than half of the text outside of the former while no article or main element outside of
     it holds text."""
     gone = {m for m, kind in enumerate(events.marks) if kind == "around"}
-    outside = [not gone.intersection(b.marks) for b in events.blocks]
-    total = sum(n for n, ok in zip(free, outside, strict=True) if ok)
-    for m, kind in enumerate(events.marks):
-        if kind != "wrapper":
+    total = articles = 0
+    held, inner = dict.fromkeys(range(len(events.marks)), 0.0), dict.fromkeys(range(len(events.marks)), 0)
+    for n, b in zip(free, events.blocks, strict=True):
+        if gone.intersection(b.marks):
             continue
-        held = sum(n for n, ok, b in zip(free, outside, events.blocks, strict=True) if ok and m in b.marks)
-        if 2 * held <= total or any(ok and m not in b.marks and _named(b.box, events.boxes) for ok, b in zip(outside, events.blocks, strict=True)):
-            gone.add(m)
-    return gone
+        named = _named(b.box, events.boxes)
+        total, articles = total + n, articles + named
+        for m in b.marks:
+            held[m] += n
+            inner[m] += named
+    return gone | {m for m, kind in enumerate(events.marks) if kind == "wrapper" and (2 * held[m] <= total or articles > inner[m])}
 
 
 def _named(box: int, boxes: list[tuple[int, str]]) -> bool:
