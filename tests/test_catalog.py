@@ -32,8 +32,25 @@ def test_equals_duckdb(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-def test_entry_imports_without_the_llm_folder(tmp_path):
+CODE = "import __spark_entry__ as e; q = e.queries(); assert 'velocity_pool' in q and not any(x.startswith('op') for x in q) and 'pipeline' not in q; e.oracle_sql()"
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+@pytest.mark.parametrize("leftover", [True, False])
+def test_entry_imports_without_the_llm_folder(tmp_path, pipeline, leftover):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copytree(ROOT / "kithgraph", tmp_path / "kithgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    if leftover:
+        (tmp_path / "kithgraph/llm/__pycache__").mkdir(parents=True)
+    assert subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, timeout=60).returncode == 0
+
+
+def test_a_broken_llm_folder_is_an_error(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     shutil.copytree(ROOT / "kithgraph", tmp_path / "kithgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'velocity_pool' in q and not any(x.startswith('op') for x in q) and 'pipeline' not in q; e.oracle_sql()"
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=60).returncode == 0
+    (tmp_path / "kithgraph/llm").mkdir()
+    (tmp_path / "kithgraph/llm/__init__.py").touch()
+    (tmp_path / "kithgraph/llm/queries.py").write_text("import no_such_module")
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, timeout=60, stderr=subprocess.DEVNULL).returncode != 0
