@@ -97,12 +97,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, id_col: str
     """Fits on at most `most_rows` labelled documents whose crc32 remainder isn't 0.
 
     They are those with the lowest hash of their id; ids without a document, null ids and null
-    labels are left out.  At most most_rows term vectors come to the driver.
+    labels are left out, and of an id that several rows have one text counts.  At most most_rows
+    term vectors come to the driver.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     chosen = chosen.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(most_rows)
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    found = found.select(F.struct("__id", "__y").alias("key"), "text").limit(most_rows)
+    # One text for each label: ids may repeat in docs.
+    found = found.groupBy(F.struct("__id", "__y").alias("key")).agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
     rows = map_texts(found, "key", "text", "shares array<double>", lambda: lambda texts: [[terms(t).tolist() for t in texts]]).collect()
     rows.sort(key=lambda r: (r["key"]["__id"], r["key"]["__y"], r["shares"]))
     return fit(np.array([r["shares"] for r in rows]).reshape(-1, TERMS), np.array([r["key"]["__y"] for r in rows]))
@@ -111,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, id_col: str
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for every row, from its whole text alone.
 
-    A text without terms (null, empty) has the sample's share of label 1 as its score.  The model
+    A text without terms (null, empty) has the sample's share of label 1 as its score; equal texts
+    have equal scores, and very long ones are read whole in memory in proportion to their length.  The model
     holds at most the sample's rows, so its broadcast does not grow with the input.
     """
     out = map_texts(docs, id_col, text_col, "score double", _scores(docs, model))
@@ -119,7 +122,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least `threshold`."""
+    """The rows of docs, with all their columns, whose text scores at least `threshold`.
+
+    Texts without terms (null, empty) have the sample's share of label 1; repeated rows are decided alike.
+    """
     columns = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text_col).alias("text"))
     scored = map_texts(packed, "row", "text", "score double", _scores(docs, model))
