@@ -131,6 +131,24 @@ def topic_named(name: Column) -> Column:
     return choose(F.lower(F.trim(name)), {alias: t for t, names in ALIASES.items() for alias in names.split()})
 
 
+def topic_code(topic: Column) -> Column:
+    """Number of a topic, null for other names."""
+    return choose(topic, {t: k for k, t in enumerate(TOPICS)})
+
+
+def topic_of_code(code: Column) -> Column:
+    return choose(code, dict(enumerate(TOPICS)))
+
+
+def topic_flag(topic: Column) -> Column:
+    """Bits 1 to 3 of a metadata byte: the topic's number plus one, 0 without a topic."""
+    return F.shiftleft(F.coalesce(topic_code(topic) + 1, F.lit(0)), 1)
+
+
+def topic_of_flag(flags: Column) -> Column:
+    return topic_of_code(F.shiftright(flags, 1).bitwiseAND(F.lit(7)) - 1)
+
+
 def bytes_text(n: Column) -> Column:
     d = n.cast("double")
     scaled = lambda unit, digits, name: F.concat(F.format_string(f"%.{digits}f", d / float(unit)), F.lit(f" {name}"))

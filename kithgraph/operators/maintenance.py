@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.operators.graph import distinct_edges
 from kithgraph.schemas import Graph
 
 #: Bytes of a value by type, for estimates.
@@ -24,6 +25,21 @@ def prune(graph: Graph, cutoff: int) -> Graph:
     return replace(graph, raw=graph.raw.where(F.col("ts") >= cutoff), edges=edges, meta=meta, topics=graph.topics.join(alive, "post_id", "left_semi"))
 
 
+def undone(log: DataFrame, removals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a log with arrival order seq that no later removal of the same keys takes back.
+
+    Removals are reduced to one row a key before they are joined.
+    """
+    gone = removals.groupBy(*keys).agg(F.max("seq").alias("__gone"))
+    return log.join(gone, keys, "left").where("__gone is null or seq > __gone").drop("__gone")
+
+
+def without_interactions(graph: Graph, removals: DataFrame) -> Graph:
+    """graph after removals (user_id, post_id, signal, seq); a later interaction makes the edge anew."""
+    raw = undone(graph.raw, removals, ["user_id", "post_id", "signal"])
+    return replace(graph, raw=raw, edges=distinct_edges(raw))
+
+
 def referenced(graph: Graph) -> DataFrame:
     """Every number that a table refers to, as `id`; users and posts share one space."""
     columns = [(graph.edges, "user_id"), (graph.edges, "post_id"), (graph.meta, "post_id"), (graph.meta, "author_id"), (graph.meta, "root_id"), (graph.meta, "parent_id"), (graph.follows, "follower_id"), (graph.follows, "followed_id"), (graph.blocks, "blocker_id"), (graph.blocks, "blocked_id"), (graph.impressions, "viewer_id"), (graph.impressions, "post_id")]

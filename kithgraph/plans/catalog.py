@@ -16,9 +16,10 @@ from kithgraph.operators import maintenance as M
 from kithgraph.operators import ranking as R
 from kithgraph.plans import feed as P
 from kithgraph.plans import oracle as O
-from kithgraph.plans import telemetry, twins
-from kithgraph.plans.dials import Dials, precedence
-from kithgraph.plans.explain import explain
+from kithgraph.plans import responses, telemetry, twins
+from kithgraph.plans.dials import Dials, precedence, saved_after
+from kithgraph.plans.explain import explain, step_rows
+from kithgraph.schemas import TOPICS
 from kithgraph.sources import frames, store
 from kithgraph.sources.tables import dense, read, seconds, sparse, spread
 from kithgraph.streaming import streams
@@ -238,28 +239,28 @@ def author_cap(spark, d):
 
 @query(O.FEED + " " + O.FEED_ROWS)
 def feed_all_viewers(spark, d):
-    return P.feed(sparse(spark, d), DIALS).select("viewer_id", "pos", "post_id", "score", "tier", "source")
+    return P.feed(store.shared(sparse(spark, d)), DIALS).select("viewer_id", "pos", "post_id", "score", "tier", "source")
 
 
 @query(O.FEED + f" SELECT source, CAST(tier AS INTEGER) AS tier, count(*) AS n FROM (SELECT *, {O.TAGGED} AS source FROM final) GROUP BY 1, 2")
 def serendipity_tags(spark, d):
-    return P.feed(sparse(spark, d), DIALS).groupBy("source", "tier").agg(F.count("*").alias("n"))
+    return P.feed(store.shared(sparse(spark, d)), DIALS).groupBy("source", "tier").agg(F.count("*").alias("n"))
 
 
 @query(O.FEED + " SELECT viewer_id, post_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n > 10 THEN '10' END AS next_cursor FROM final WHERE pos <= 10")
 def page_1(spark, d):
-    return R.page(P.feed(sparse(spark, d), DIALS), 10).select("viewer_id", "post_id", "pos", "next_cursor")
+    return R.page(P.feed(store.shared(sparse(spark, d)), DIALS), 10).select("viewer_id", "post_id", "pos", "next_cursor")
 
 
 @query(O.FEED + " SELECT viewer_id, post_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n > 20 THEN '20' END AS next_cursor FROM final WHERE pos BETWEEN 11 AND 20")
 def page_2(spark, d):
-    return R.page(P.feed(sparse(spark, d), DIALS), 10, "MTA").select("viewer_id", "post_id", "pos", "next_cursor")
+    return R.page(P.feed(store.shared(sparse(spark, d)), DIALS), 10, "MTA").select("viewer_id", "post_id", "pos", "next_cursor")
 
 
 @query(O.FEED + " " + O.FEED_ROWS + " WHERE viewer_id = 12")
 def feed_one_viewer(spark, d):
     one = spark.createDataFrame([(12,)], "user_id long")
-    return P.feed(sparse(spark, d), DIALS, viewers=one).select("viewer_id", "pos", "post_id", "score", "tier", "source")
+    return P.feed(store.shared(sparse(spark, d)), DIALS, viewers=one).select("viewer_id", "pos", "post_id", "score", "tier", "source")
 
 
 @query(O.E + O.T3.replace(O.WEIGHT, "1.0") + """, p AS (SELECT *, pos AS p0 FROM t3),
@@ -281,6 +282,27 @@ def preview_attribution(spark, d):
     return P.preview(sparse(spark, d)).select("viewer_id", "post_id", "twin_id", F.round("twin_sim", 6).alias("twin_sim"), "twin_signal", "seed_post")
 
 
+def _preview_tiers(spark, d, **more) -> DataFrame:
+    return P.preview_tiers(store.shared(sparse(spark, d)), Dials(**more))
+
+
+@query(O.PREVIEW_TIERS + """ SELECT viewer_id, CAST(pos AS INTEGER) AS pos, post_id, CAST(tier AS INTEGER) AS tier, round(time_decay, 6) AS time_decay, round(taste_similarity, 6) AS taste_similarity, round(mult, 6) AS fatigue, d AS final_score,
+  coalesce(twin_id, -1) AS twin_id, coalesce(seed_post, -1) AS seed_post, coalesce(followed_id, -1) AS followed_id, CAST(coalesce(followed_signal, -1) AS INTEGER) AS followed_signal FROM final""")
+def preview_all_tiers(spark, d):
+    c = _preview_tiers(spark, d)
+    return c.select("viewer_id", "pos", "post_id", "tier", F.round("time_decay", 6).alias("time_decay"), F.round("taste_similarity", 6).alias("taste_similarity"), F.round("mult", 6).alias("fatigue"), F.col("score").alias("final_score"), *(F.coalesce(k, F.lit(-1)).alias(k) for k in ("twin_id", "seed_post", "followed_id", "followed_signal")))
+
+
+_VERBS = ", verbs AS (SELECT unnest([1, 2, 3]) AS s, unnest(['liked', 'quoted', 'reposted']) AS verb)"
+
+
+@query(O.PREVIEW_TIERS + _VERBS + """, ls AS (SELECT user_id, post_id, arg_max(signal, seq) AS signal FROM edges GROUP BY 1, 2),
+src AS (SELECT viewer_id, final.post_id, CASE WHEN twin_id IS NOT NULL THEN 'twin' WHEN followed_id IS NOT NULL THEN 'follow' ELSE 'trend' END AS chain, twin_id AS twin, twin_sim AS conf, tv.verb AS twin_verb, seed_post AS seed, sv.verb AS seed_verb, followed_id AS friend, fv.verb AS friend_verb, topic
+  FROM final LEFT JOIN ls ON ls.user_id = viewer_id AND ls.post_id = seed_post LEFT JOIN verbs sv ON sv.s = ls.signal LEFT JOIN verbs tv ON tv.s = twin_signal LEFT JOIN verbs fv ON fv.s = followed_signal) """ + O.proof_steps("src", "' this ' || topic || ' post'"))
+def preview_proofs(spark, d):
+    return step_rows(_preview_tiers(spark, d, explain=True))
+
+
 # ---------------------------------------------------------------- topics and explanations
 
 
@@ -323,7 +345,7 @@ def topic_content(spark, d):
     return read(spark, d, "documents").select("doc_id", T.content_topic(record).alias("topic"))
 
 
-_EXPLAIN = O.L + f""", asked AS (SELECT user_id AS viewer_id, (user_id * 7 + k) % (SELECT max(post_id) + 3 FROM posts) AS post_id FROM users, (SELECT unnest([0, 11]) AS k)),
+_ASKED = O.L + f""", asked AS (SELECT user_id AS viewer_id, (user_id * 7 + k) % (SELECT max(post_id) + 3 FROM posts) AS post_id FROM users, (SELECT unnest([0, 11]) AS k)),
 near_edges AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY seq DESC) <= 500),
 r AS (SELECT viewer_id AS u, a.post_id, e.user_id AS v, signal, seq FROM asked a JOIN near_edges e ON e.post_id = a.post_id AND e.user_id <> viewer_id WHERE NOT EXISTS (SELECT 1 FROM barred WHERE barred.a = viewer_id AND barred.b = e.user_id)),
 ov AS (SELECT x.user_id AS u, y.user_id AS v, count(*) AS shared, min(x.post_id) AS seed FROM up x JOIN up y ON x.post_id = y.post_id AND x.user_id <> y.user_id GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -331,22 +353,34 @@ tw AS (SELECT r.u, r.post_id, r.v, signal, {O.conf("shared", "cu.posts", "cv.pos
   QUALIFY row_number() OVER (PARTITION BY r.u, r.post_id ORDER BY conf * signal DESC, seq) = 1),
 fr AS (SELECT u, r.post_id, v, signal FROM r JOIN follows ON follower_id = u AND followed_id = v QUALIFY row_number() OVER (PARTITION BY u, r.post_id ORDER BY seq) = 1),
 verbs AS (SELECT unnest([1, 2, 3]) AS s, unnest(['liked', 'quoted', 'reposted']) AS verb),
-sg AS (SELECT user_id, post_id, arg_min(signal, seq) AS signal FROM edges GROUP BY 1, 2)
-SELECT a.viewer_id, a.post_id, CASE WHEN m.post_id IS NULL THEN 'unindexed' WHEN tw.v IS NOT NULL THEN 'twin' WHEN fr.v IS NOT NULL THEN 'follow' ELSE 'trend' END AS chain,
-  CASE WHEN m.post_id IS NULL THEN format('Post ''{{}}'' not found in the current graph store.', a.post_id)
-    WHEN tw.v IS NOT NULL THEN format('Recommended because you {{}} an earlier post, and taste twin @{{}} (', sv.verb, tw.v) || CAST(CAST(round(conf * 100) AS INTEGER) AS VARCHAR) || format('% taste match) {{}} this {{}} post.', tv.verb, m.topic)
-    WHEN fr.v IS NOT NULL THEN format('Recommended because you follow @{{}}, who {{}} this {{}} post.', fr.v, fv.verb, m.topic)
-    ELSE format('Recommended as a trending high-velocity post in the {{}} topic domain.', m.topic) END AS summary
-FROM asked a LEFT JOIN meta m ON m.post_id = a.post_id LEFT JOIN tw ON tw.u = a.viewer_id AND tw.post_id = a.post_id LEFT JOIN fr ON fr.u = a.viewer_id AND fr.post_id = a.post_id
+sg AS (SELECT user_id, post_id, arg_min(signal, seq) AS signal FROM edges GROUP BY 1, 2)"""
+_FOUND = """FROM asked a LEFT JOIN meta m ON m.post_id = a.post_id LEFT JOIN tw ON tw.u = a.viewer_id AND tw.post_id = a.post_id LEFT JOIN fr ON fr.u = a.viewer_id AND fr.post_id = a.post_id
 LEFT JOIN sg ON sg.user_id = a.viewer_id AND sg.post_id = tw.seed LEFT JOIN verbs sv ON sv.s = sg.signal LEFT JOIN verbs tv ON tv.s = tw.signal LEFT JOIN verbs fv ON fv.s = fr.signal"""
+_EXPLAIN = _ASKED + """
+SELECT a.viewer_id, a.post_id, CASE WHEN m.post_id IS NULL THEN 'unindexed' WHEN tw.v IS NOT NULL THEN 'twin' WHEN fr.v IS NOT NULL THEN 'follow' ELSE 'trend' END AS chain,
+  CASE WHEN m.post_id IS NULL THEN format('Post ''{}'' not found in the current graph store.', a.post_id)
+    WHEN tw.v IS NOT NULL THEN format('Recommended because you {} an earlier post, and taste twin @{} (', sv.verb, tw.v) || CAST(CAST(round(conf * 100) AS INTEGER) AS VARCHAR) || format('% taste match) {} this {} post.', tv.verb, m.topic)
+    WHEN fr.v IS NOT NULL THEN format('Recommended because you follow @{}, who {} this {} post.', fr.v, fv.verb, m.topic)
+    ELSE format('Recommended as a trending high-velocity post in the {} topic domain.', m.topic) END AS summary
+""" + _FOUND
 
 
-@query(_EXPLAIN)
-def explain_chain(spark, d):
+def _explained(spark, d) -> DataFrame:
     g = sparse(spark, d)
     most = g.meta.agg((F.max("post_id") + 3).alias("m"))
     asked = g.users.crossJoin(F.broadcast(most)).select(F.col("user_id").alias("viewer_id"), F.explode(F.array(F.lit(0), F.lit(11))).alias("k"), "m").select("viewer_id", ((F.col("viewer_id") * 7 + F.col("k")) % F.col("m")).alias("post_id"))
-    return explain(g, asked).select("viewer_id", "post_id", "chain", "summary")
+    return explain(g, asked)
+
+
+@query(_EXPLAIN)
+def explain_chain(spark, d):
+    return _explained(spark, d).select("viewer_id", "post_id", "chain", "summary")
+
+
+@query(_ASKED + """, src AS (SELECT a.viewer_id, a.post_id, CASE WHEN m.post_id IS NULL THEN 'unindexed' WHEN tw.v IS NOT NULL THEN 'twin' WHEN fr.v IS NOT NULL THEN 'follow' ELSE 'trend' END AS chain,
+  tw.v AS twin, conf, tv.verb AS twin_verb, tw.seed, sv.verb AS seed_verb, fr.v AS friend, fv.verb AS friend_verb, m.topic """ + _FOUND + ") " + O.proof_steps("src", "' this post'"))
+def explain_steps(spark, d):
+    return step_rows(_explained(spark, d))
 
 
 # ---------------------------------------------------------------- events
@@ -437,6 +471,35 @@ def retention_prune(spark, d):
     return M.prune(g, G.now_of(g.edges) - 7 * 86_400).edges.select("user_id", "post_id", "signal", "ts")
 
 
+@query(O.E + """, gone AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS post_id, event_id % 3 + 1 AS signal, max(event_id * 4) AS gone FROM events WHERE event_type = 'error' GROUP BY 1, 2, 3)
+SELECT user_id, post_id, CAST(signal AS INTEGER) AS signal, arg_min(ts, seq) AS ts FROM raw LEFT JOIN gone USING (user_id, post_id, signal) WHERE gone IS NULL OR seq > gone GROUP BY 1, 2, 3""")
+def remove_interactions(spark, d):
+    undo = read(spark, d, "events").where("event_type = 'error'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("post_id"), (F.col("event_id") % 3 + 1).cast("int").alias("signal"), (F.col("event_id") * 4).alias("seq"))
+    return M.without_interactions(dense(spark, d), undo).edges.select("user_id", "post_id", "signal", "ts")
+
+
+_LINKS = """WITH e AS (SELECT event_id, event_type, user_id, user_id * 7 % 40 AS other, event_id % 2 AS kind FROM events), gone AS (SELECT user_id, other, kind, max(event_id) AS gone FROM e WHERE event_type = 'error' GROUP BY 1, 2, 3),
+kept AS (SELECT e.* FROM e LEFT JOIN gone USING (user_id, other, kind) WHERE event_type = 'signup' AND (gone IS NULL OR event_id > gone))"""
+
+
+def _links(spark, d, kind: int) -> tuple[DataFrame, DataFrame]:
+    """Follows (0) or blocks (1) made by signups and undone by errors."""
+    e = read(spark, d, "events").where(F.col("event_id") % 2 == kind).select("user_id", (F.col("user_id") * 7 % 40).alias("other"), F.col("event_id").alias("seq"), "event_type")
+    return e.where("event_type = 'signup'"), e.where("event_type = 'error'")
+
+
+@query(_LINKS + " SELECT user_id, other, min(event_id) AS seq FROM kept WHERE kind = 0 GROUP BY 1, 2")
+def remove_follows(spark, d):
+    made, undone = _links(spark, d, 0)
+    return M.undone(made, undone, ["user_id", "other"]).groupBy("user_id", "other").agg(F.min("seq").alias("seq"))
+
+
+@query(_LINKS + " SELECT user_id AS a, other AS b FROM kept WHERE kind = 1 UNION SELECT other, user_id FROM kept WHERE kind = 1")
+def remove_blocks(spark, d):
+    made, undone = _links(spark, d, 1)
+    return G.mutual_blocks(M.undone(made, undone, ["user_id", "other"]).select(F.col("user_id").alias("blocker_id"), F.col("other").alias("blocked_id")))
+
+
 @query(O.E + """, ids AS (SELECT user_id AS id FROM edges UNION SELECT post_id FROM edges UNION SELECT post_id FROM meta UNION SELECT author_id FROM meta UNION SELECT root_id FROM meta UNION SELECT parent_id FROM meta
   UNION SELECT follower_id FROM follows UNION SELECT followed_id FROM follows UNION SELECT a FROM blocks UNION SELECT b FROM blocks UNION SELECT viewer_id FROM imp UNION SELECT post_id FROM imp),
 m AS (SELECT id AS old, (row_number() OVER (PARTITION BY id % 64 ORDER BY id) - 1) * 64 + id % 64 AS new FROM ids WHERE id IS NOT NULL)
@@ -445,10 +508,24 @@ def compact_ids(spark, d):
     return M.compact(dense(spark, d)).edges.select("user_id", "post_id", "signal", "ts")
 
 
-@query("SELECT count(DISTINCT url) AS n, count(DISTINCT url) AS ids FROM pages")
+_IDS = f"""WITH u AS (SELECT DISTINCT url AS value FROM pages WHERE url IS NOT NULL), h AS (SELECT value, CAST({O.fnv('value')} % 64 AS BIGINT) AS shard FROM u),
+ids AS (SELECT value, (row_number() OVER (PARTITION BY shard ORDER BY value) - 1) * 64 + shard AS id FROM h)"""
+
+
+@query(_IDS + " SELECT value, id FROM ids")
 def dictionary_ids(spark, d):
-    """Numbers of distinct strings: as many as strings, and none twice."""
-    return frames.dictionary(read(spark, d, "pages"), "url").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return frames.dictionary(read(spark, d, "pages"), "url")
+
+
+@query(_IDS + """, asked AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '?' ELSE url END AS url, page_id % 50 AS number FROM pages)
+SELECT page_id, coalesce(x.id, -1) AS id, coalesce(y.value, '') AS value FROM asked LEFT JOIN ids x ON x.value = url LEFT JOIN ids y ON y.id = number""")
+def dictionary_lookup(spark, d):
+    pages = read(spark, d, "pages")
+    known = frames.dictionary(pages, "url")
+    p = F.col("page_id")
+    asked = pages.select("page_id", F.when(p % 3 == 0, F.concat("url", F.lit("?"))).otherwise(F.col("url")).alias("url"), (p % 50).alias("number"))
+    out = frames.resolved(frames.looked_up(asked, known, "url", "id"), known, "number", "value")
+    return out.select("page_id", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("value", F.lit("")).alias("value"))
 
 
 @query(O.E + " SELECT user_id, post_id, CAST(signal AS INTEGER) AS signal, ts FROM edges")
@@ -497,6 +574,49 @@ def latency_percentiles(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+_OFTEN = "(o_orderkey % 11) / 2.0"
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS user_id, 3600.0 * (1 + o_orderkey % 200) AS half_life_s, (o_orderkey % 60) / 100.0 AS explore, {', '.join(f"{_OFTEN} AS {t}" for t in TOPICS[:5])},
+  o_orderkey % 2 = 0 AS include_replies, o_orderkey % 3 = 0 AS no_nsfw, CAST(o_orderkey % 110 AS INTEGER) AS min_likes, o_orderkey % 7 = 0 AS deleted, o_orderkey AS seq FROM orders),
+v AS (SELECT * FROM c WHERE deleted OR (half_life_s <= 604800 AND explore <= 0.5 AND min_likes <= 100 AND art <= 5))
+SELECT user_id, half_life_s, explore, {', '.join(TOPICS[:5])}, include_replies, no_nsfw, min_likes FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1) WHERE NOT deleted""")
+def saved_dials(spark, d):
+    k = F.col("o_orderkey")
+    dials = {"half_life_s": 3600.0 * (1 + k % 200), "explore": (k % 60) / 100.0, **{t: (k % 11) / 2.0 for t in TOPICS[:5]}, "include_replies": k % 2 == 0, "no_nsfw": k % 3 == 0, "min_likes": (k % 110).cast("int")}
+    log = read(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), *(v.alias(n) for n, v in dials.items()), (k % 7 == 0).alias("deleted"), k.alias("seq"))
+    return saved_after(log)
+
+
+@query(O.L + """ SELECT * FROM (SELECT 'users' AS store, count(DISTINCT user_id) AS keys, count(*) AS rows FROM edges UNION ALL SELECT 'posts', count(DISTINCT post_id), count(*) FROM edges UNION ALL SELECT 'bitmaps', count(DISTINCT user_id), count(*) FROM up
+  UNION ALL SELECT 'follows', count(DISTINCT follower_id), count(*) FROM follows UNION ALL SELECT 'blocks', count(DISTINCT a), count(*) FROM blocks UNION ALL SELECT 'metadata', count(DISTINCT post_id), count(*) FROM meta
+  UNION ALL SELECT 'impressions', count(DISTINCT viewer_id), count(*) FROM imp)""")
+def store_counts(spark, d):
+    return telemetry.store_counts(sparse(spark, d))
+
+
+@query(O.E + O.STATE + " SELECT viewer_id, count(*) AS posts, (SELECT count(DISTINCT viewer_id) FROM state) AS viewers FROM state GROUP BY 1")
+def impression_counts(spark, d):
+    return telemetry.impression_counts(I.state(dense(spark, d).impressions))
+
+
+@query("SELECT event_id, CAST(event_id % 8 AS INTEGER) AS code, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TOPICS)) + " END AS topic, CAST(CASE WHEN event_id % 8 < 6 THEN (event_id % 8 + 1) * 2 ELSE 0 END AS INTEGER) AS flag FROM events")
+def topic_codes(spark, d):
+    code = (F.col("event_id") % 8).cast("int")
+    rows = read(spark, d, "events").select("event_id", code.alias("code"), S.topic_of_code(code).alias("topic"))
+    return rows.withColumn("flag", S.topic_flag(F.col("topic"))).select("event_id", F.coalesce(S.topic_code(S.topic_of_flag(F.col("flag"))), F.col("code")).alias("code"), "topic", "flag")
+
+
+@query(O.FEED + """ SELECT viewer_id, '{"feed":[' || string_agg('{"post":"' || post_id || '"}', ',' ORDER BY pos) || ']' || CASE WHEN max(n) > 30 THEN ',"cursor":"30"' ELSE '' END || '}' AS body FROM final WHERE pos <= 30 GROUP BY viewer_id""")
+def skeleton_json(spark, d):
+    return responses.skeletons(R.page(P.feed(store.shared(sparse(spark, d)), DIALS), 30))
+
+
+@query(O.L + O.TWINS + """ SELECT u AS viewer_id, '{"viewer":"' || u || '","twins":[' || string_agg('{"user":"' || v || '","sharedCount":' || shared || '}', ',' ORDER BY rank) || ']}' AS body FROM near GROUP BY u""")
+def twins_json(spark, d):
+    return responses.twins(twins.taste_twins(sparse(spark, d)))
+
+
 # ---------------------------------------------------------------- streams and extras
 
 

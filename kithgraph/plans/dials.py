@@ -135,6 +135,28 @@ def valid_row() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def to_row(user_id: int, d: Dials) -> dict:
+    """A user_dials row; raises where the dials can't be saved."""
+    if wrong := problem(d):
+        raise ValueError(f"{wrong} is out of range")
+    return {"user_id": user_id, "half_life_s": d.tau, "explore": d.explore, **{t: d.weights[t] for t in TOPICS[:5]}, "include_replies": d.include_replies, "no_nsfw": d.no_nsfw, "min_likes": d.min_likes}
+
+
+def from_row(row: dict) -> Dials:
+    return Dials(tau=row["half_life_s"], explore=row["explore"], weights={t: row[t] for t in TOPICS[:5]}, include_replies=row["include_replies"], no_nsfw=row["no_nsfw"], min_likes=row["min_likes"])
+
+
+def saved_after(log: DataFrame) -> DataFrame:
+    """user_dials after a log of rows with `deleted` and `seq`: each user's last change, if it isn't a
+    deletion.  Rows that fail valid_row() never count.
+
+    One map-side aggregate; a saved table joins the log as rows of seq -1.
+    """
+    fields = [c for c in log.columns if c not in ("user_id", "deleted", "seq")]
+    last = log.where(F.col("deleted") | valid_row()).groupBy("user_id").agg(F.max(F.struct("seq", "deleted", *fields)).alias("x"))
+    return last.where(~F.col("x.deleted")).select("user_id", *(F.col(f"x.{c}") for c in fields))
+
+
 def precedence(requests: DataFrame, saved: DataFrame, key: str, fields: dict[str, object]) -> DataFrame:
     """Left join of requests to saved rows: request, else saved, else default, for every field."""
     s = saved.select(key, *(F.col(f).alias(f"__s_{f}") for f in fields))

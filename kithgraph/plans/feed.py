@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scalars as S
@@ -10,7 +10,9 @@ from kithgraph.operators import impressions as I
 from kithgraph.operators import ranking as R
 from kithgraph.operators.graph import cardinality, mutual_blocks, neighbours, now_of, tail, user_posts, velocity
 from kithgraph.plans.dials import Dials
+from kithgraph.plans.explain import proofs
 from kithgraph.schemas import EPOCH, FOLLOW_BOOST, NEIGHBOUR_EDGES, SCORED, TIER1_POSTS, Graph
+from kithgraph.sources.store import written
 
 SOURCES = {1: "tier1_interaction_walk", 2: "tier2_follow_walk", 3: "tier3_velocity_pool"}
 
@@ -35,16 +37,19 @@ def tier1(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None
     return c.withColumn("score", F.round(score, 6))
 
 
-def tier2(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
-    """What followed accounts interacted with."""
-    follows = graph.follows.select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("user_id"))
+def _followed(graph: Graph, viewers: DataFrame | None) -> DataFrame:
+    """(viewer_id, user_id, seq) of follows without a block between the two."""
+    follows = graph.follows.select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("user_id"), "seq")
     if viewers is not None:
         follows = follows.join(viewers.select(F.col("user_id").alias("viewer_id")), "viewer_id", "left_semi")
-    barred = mutual_blocks(graph.blocks)
-    follows = follows.join(barred, (F.col("viewer_id") == F.col("a")) & (F.col("user_id") == F.col("b")), "left_anti")
+    return follows.join(mutual_blocks(graph.blocks), (F.col("viewer_id") == F.col("a")) & (F.col("user_id") == F.col("b")), "left_anti")
+
+
+def tier2(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+    """What followed accounts interacted with."""
     worth = S.decay(F.col("signal"), F.col("ts"), F.lit(now), dials.tau)
     per_user = graph.edges.groupBy("user_id", "post_id").agg(F.sum(worth).alias("w"))
-    walked = follows.join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum("w").alias("d"))
+    walked = _followed(graph, viewers).join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum("w").alias("d"))
     c = R.with_facts(walked, graph)
     score = FOLLOW_BOOST * F.col("d") * S.social_proof(F.col("degree")) * S.topic_weight(F.col("topic"), dials.weights)
     return c.withColumn("score", F.round(score, 6))
@@ -67,15 +72,25 @@ def tier3(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None
 KEEP = ("viewer_id", "post_id", "score", "degree", "author_id", "root_id", "parent_id", "is_nsfw", "topic")
 
 
-def cascade(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
-    """Filtered candidates of the first tier that leaves a viewer any, with tier and source."""
+def first_filled(walks: list, viewers: DataFrame) -> DataFrame:
+    """Rows of the first walk that leaves a viewer any, with its number in tier.
+
+    A walk runs for the viewers that the ones before left empty, so each but the last is written.
+    """
     own = None
-    for k, walk in enumerate((tier1, tier2, tier3), 1):
-        c = R.filtered(walk(graph, dials, now, viewers), graph, dials).select(*KEEP).withColumn("tier", F.lit(k))
+    for k, walk in enumerate(walks, 1):
+        c = walk(viewers).withColumn("tier", F.lit(k))
+        if k < len(walks):
+            c = written(c)
+            viewers = viewers.join(c.select(F.col("viewer_id").alias("user_id")), "user_id", "left_anti")
         own = c if own is None else own.unionByName(c)
-    first = F.min("tier").over(Window.partitionBy("viewer_id"))
-    own = own.withColumn("__t", first).where("tier = __t").drop("__t")
-    return own.withColumn("source", S.choose(F.col("tier"), SOURCES))
+    return own
+
+
+def cascade(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+    """Filtered candidates of the first tier that leaves a viewer any, with tier and source."""
+    walks = [lambda v, walk=walk: R.filtered(walk(graph, dials, now, v), graph, dials).select(*KEEP) for walk in (tier1, tier2, tier3)]
+    return first_filled(walks, _of(graph, viewers)).withColumn("source", S.choose(F.col("tier"), SOURCES))
 
 
 def feed(graph: Graph, dials: Dials | None = None, now: int | None = None, viewers: DataFrame | None = None) -> DataFrame:
@@ -117,14 +132,23 @@ def preview_clock(latest: int, wall: int) -> int:
     return latest if latest > wall or wall - latest > 21_600 else wall
 
 
-def preview(graph: Graph, dials: Dials | None = None, now: int | None = None, viewers: DataFrame | None = None) -> DataFrame:
-    """Tier-1 preview with its score's parts and the twin and seed that each post is owed to.
+PARTS = ("viewer_id", "post_id", "score", "author_id", "root_id", "topic", "time_decay", "taste_similarity", "topic_boost", "twin_id", "twin_sim", "twin_signal", "seed_post", "followed_id", "followed_signal")
+
+
+def _parts(c: DataFrame, graph: Graph, dials: Dials, similarity: Column, decay: Column, score: Column) -> DataFrame:
+    """Filtered candidates with facts, the parts of their score and whom they are owed to (PARTS)."""
+    c = R.filtered(R.with_facts(c, graph), graph, dials).withColumn("topic_boost", S.topic_weight(F.col("topic"), dials.weights))
+    c = c.withColumns({"taste_similarity": similarity, "time_decay": decay, "score": F.round(score * F.col("topic_boost"), 6)})
+    owed = {"twin_id": "long", "twin_sim": "double", "twin_signal": "int", "seed_post": "long", "followed_id": "long", "followed_signal": "int"}
+    return c.withColumns({k: F.lit(None).cast(t) for k, t in owed.items() if k not in c.columns}).select(*PARTS)
+
+
+def preview_twins(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+    """PARTS of the first tier.
 
     Unlike the feed, a neighbour counts with its last NEIGHBOUR_EDGES edges, posts seen are
     skipped on the way, and SCORED posts are scored at most, by affinity.
     """
-    dials = dials or Dials()
-    now = now_of(graph.edges) if now is None else now
     ready = cardinality(graph.edges).where(F.col("posts") >= TIER1_POSTS)
     if viewers is not None:
         ready = ready.join(viewers.select("user_id"), "user_id", "left_semi")
@@ -142,10 +166,56 @@ def preview(graph: Graph, dials: Dials | None = None, now: int | None = None, vi
     )
     top = F.row_number().over(Window.partitionBy("viewer_id").orderBy(F.round("affinity", 9).desc(), "post_id"))
     walked = walked.withColumn("__r", top).where(F.col("__r") <= SCORED).drop("__r")
-    c = R.filtered(R.with_facts(walked, graph), graph, dials)
-    boost, proof = S.consensus(F.col("curators")), S.social_proof(F.col("degree"))
-    c = c.withColumns({"taste_similarity": F.col("sim") * boost * proof, "topic_boost": S.topic_weight(F.col("topic"), dials.weights), "time_decay": F.coalesce(F.try_divide("affinity", "sim"), "latest")})
-    c = c.withColumn("score", F.round(F.col("affinity") * boost * proof * F.col("topic_boost"), 6))
-    c = I.damped(c, I.state(graph.impressions), now).withColumn("score", F.round("damped", 9)).drop("damped")
-    c = R.dense_positions(R.author_cap(R.thread_cap(R.positions(c))))
-    return c.withColumns({"twin_id": -F.col("twin.u"), "twin_sim": F.col("twin.conf"), "twin_signal": F.col("twin.signal"), "seed_post": F.col("twin.seed_post")}).drop("twin", "sim", "affinity", "latest")
+    walked = walked.withColumns({"twin_id": -F.col("twin.u"), "twin_sim": F.col("twin.conf"), "twin_signal": F.col("twin.signal"), "seed_post": F.col("twin.seed_post")})
+    factor = S.consensus(F.col("curators")) * S.social_proof(F.col("degree"))
+    return _parts(walked, graph, dials, F.col("sim") * factor, F.coalesce(F.try_divide("affinity", "sim"), "latest"), F.col("affinity") * factor)
+
+
+def preview_follows(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+    """PARTS of the second tier; a post is owed to the first followed account that has it, with the
+    first of its signals."""
+    worth = S.decay(F.col("signal"), F.col("ts"), F.lit(now), dials.tau)
+    per_user = graph.edges.groupBy("user_id", "post_id").agg(F.sum(worth).alias("w"), F.min_by("signal", "seq").alias("signal"))
+    first = F.min(F.struct("seq", "user_id", "signal"))
+    walked = _followed(graph, viewers).join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum("w").alias("d"), first.alias("f"))
+    walked = walked.select("viewer_id", "post_id", "d", F.col("f.user_id").alias("followed_id"), F.col("f.signal").alias("followed_signal"))
+    similarity = FOLLOW_BOOST * S.social_proof(F.col("degree"))
+    return _parts(walked, graph, dials, similarity, F.col("d"), similarity * F.col("d"))
+
+
+def preview_trend(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+    """PARTS of the third tier: the pool in its own order for every viewer; its size is fixed."""
+    pool = F.broadcast(velocity(graph.edges, now).select("post_id", "rank"))
+    c = _of(graph, viewers).select(F.col("user_id").alias("viewer_id")).crossJoin(pool)
+    return _parts(c, graph, dials, 100.0 / F.col("rank"), F.lit(1.0), 100.0 / F.col("rank"))
+
+
+def _previewed(c: DataFrame, graph: Graph, now: int) -> DataFrame:
+    """Ranks PARTS like the feed; posts without any weight left by fatigue go."""
+    c = I.damped(c, I.state(graph.impressions), now).where("mult > 0").withColumn("score", F.round("damped", 9)).drop("damped")
+    return R.dense_positions(R.author_cap(R.thread_cap(R.positions(c))))
+
+
+def preview(graph: Graph, dials: Dials | None = None, now: int | None = None, viewers: DataFrame | None = None) -> DataFrame:
+    """Tier-1 preview with its score's parts and the twin and seed that each post is owed to."""
+    dials = dials or Dials()
+    now = now_of(graph.edges) if now is None else now
+    return _previewed(preview_twins(graph, dials, now, viewers), graph, now)
+
+
+def preview_tiers(graph: Graph, dials: Dials | None = None, now: int | None = None, viewers: DataFrame | None = None) -> DataFrame:
+    """The preview of every viewer by the first tier that leaves any post: PARTS, tier, mult, score, pos.
+
+    With dials.explain also chain, steps and summary, from what each post is owed to; the viewer's
+    last signal to the seed post names the verb.
+    """
+    dials = dials or Dials()
+    now = now_of(graph.edges) if now is None else now
+    walks = [lambda v, walk=walk: walk(graph, dials, now, v) for walk in (preview_twins, preview_follows, preview_trend)]
+    c = _previewed(first_filled(walks, _of(graph, viewers)), graph, now)
+    if not dials.explain:
+        return c
+    own = graph.edges.groupBy(F.col("user_id").alias("viewer_id"), F.col("post_id").alias("seed_post")).agg(F.max_by("signal", "seq").alias("seed_signal"))
+    c = c.join(own, ["viewer_id", "seed_post"], "left")
+    names = {"twin": "twin_id", "conf": "twin_sim", "seed": "seed_post", "friend": "followed_id", "friend_signal": "followed_signal"}
+    return proofs(c.withColumns({k: F.col(v) for k, v in names.items()}), F.lit(True), named_topic=True).drop(*names)

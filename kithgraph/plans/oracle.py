@@ -152,6 +152,32 @@ cand AS (SELECT w.*, degree, {FACTS}, round(affinity * {boost("curators")} * {pr
   FROM walked w JOIN deg USING (post_id) JOIN meta m USING (post_id) WHERE degree >= 3 AND parent_id IS NULL AND author_id <> viewer_id AND NOT EXISTS (SELECT 1 FROM barred WHERE a = viewer_id AND b = author_id))""" + STATE + damped("cand") + capped("damped")
 
 
+PREVIEW_TIERS = PREVIEW[: PREVIEW.index(", kept AS (")] + POOL + f""", fs AS (SELECT user_id AS follower_id, (user_id + 100 * f) % n AS followed_id, min(f) AS seq FROM users, nu, (SELECT unnest([1, 2, 3, 4, 5]) AS f) GROUP BY 1, 2),
+walked2 AS (SELECT follower_id AS viewer_id, post_id, sum({decay("signal", "ts")}) AS d, first(followed_id ORDER BY fs.seq, e.seq) AS followed_id, first(signal ORDER BY fs.seq, e.seq) AS followed_signal FROM fs JOIN edges e ON e.user_id = followed_id
+  WHERE NOT EXISTS (SELECT 1 FROM barred WHERE a = follower_id AND b = followed_id) GROUP BY 1, 2),
+parts AS (
+  SELECT 1 AS tier, viewer_id, post_id, score, degree, author_id, root_id, parent_id, topic, time_decay, taste_similarity, twin_id, twin_sim, twin_signal, seed_post, NULL AS followed_id, NULL AS followed_signal FROM cand
+  UNION ALL SELECT 2, viewer_id, post_id, round(1.5 * {proof("degree")} * d, 6), degree, author_id, root_id, parent_id, topic, d, 1.5 * {proof("degree")}, NULL, NULL, NULL, NULL, followed_id, followed_signal FROM walked2 JOIN deg USING (post_id) JOIN meta USING (post_id)
+  UNION ALL SELECT 3, user_id, post_id, round(100.0 / rank, 6), degree, author_id, root_id, parent_id, topic, 1.0, 100.0 / rank, NULL, NULL, NULL, NULL, NULL, NULL FROM users, pool JOIN deg USING (post_id) JOIN meta USING (post_id)),
+left_over AS (SELECT * FROM parts c WHERE degree >= 3 AND parent_id IS NULL AND author_id <> viewer_id
+  AND NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = viewer_id AND up.post_id = c.post_id) AND NOT EXISTS (SELECT 1 FROM barred WHERE a = viewer_id AND b = author_id)),
+chosen AS (SELECT * FROM left_over QUALIFY tier = min(tier) OVER (PARTITION BY viewer_id))""" + STATE + damped("chosen") + capped("damped")
+
+
+def proof_steps(source: str, followed: str) -> str:
+    """Rows of steps from `source` (viewer_id, post_id, chain, twin, conf, twin_verb, seed, seed_verb,
+    friend, friend_verb, topic); `followed` ends the sentence on a followed account."""
+    kinds = """CASE chain WHEN 'unindexed' THEN ['unindexed_post'] WHEN 'twin' THEN ['viewer_interaction', 'taste_similarity', 'recommendation_signal']
+    WHEN 'follow' THEN ['follow_graph', 'followed_interaction', 'follow_affinity_boost'] ELSE ['cold_start_onboarding', 'velocity_trending', 'topic_diversity_interleaving'] END"""
+    nodes = "CASE chain WHEN 'unindexed' THEN [p] WHEN 'twin' THEN [CAST(seed AS VARCHAR), CAST(twin AS VARCHAR), p] WHEN 'follow' THEN [CAST(friend AS VARCHAR), p, p] ELSE [topic, p, p] END"
+    texts = f"""CASE chain WHEN 'unindexed' THEN ['Post ''' || p || ''' is not yet indexed in the graph']
+    WHEN 'twin' THEN ['You ' || seed_verb || ' seed post ''' || seed || '''', 'Taste twin @' || twin || ' has a ' || format('{{:.1f}}', round(conf * 100, 1)) || '% taste match with you based on shared likes', 'Taste twin @' || twin || ' ' || twin_verb || ' this ' || topic || ' post']
+    WHEN 'follow' THEN ['You follow @' || friend, 'Followed user @' || friend || ' ' || friend_verb || {followed}, 'Boosted by 1.5x follow graph affinity multiplier']
+    ELSE ['Classified under ' || topic || ' topic domain', 'High interaction velocity in the last 6-hour sliding window', 'Selected via balanced topic diversity round-robin interleaving'] END"""
+    return f"""SELECT viewer_id, post_id, CAST(n AS INTEGER) AS n, {kinds}[n] AS step_type, {nodes}[n] AS node_id, {texts}[n] AS description
+  FROM (SELECT *, CAST(post_id AS VARCHAR) AS p FROM {source}), (SELECT unnest([1, 2, 3]) AS n) WHERE chain <> 'unindexed' OR n = 1"""
+
+
 def _words(table: dict[str, str]) -> str:
     keys = [w for words in table.values() for w in words.split()]
     values = [t for t, words in table.items() for _ in words.split()]
@@ -174,9 +200,13 @@ def seeds_of(author: str) -> str:
     return f"coalesce(CASE {' '.join(whens)} END, {first_match(author, AUTHOR_WORDS)})"
 
 
-def hash_topic(post: str, text: str) -> str:
-    """FNV-1a over the bytes in wide integers, one more round for the number, modulo five."""
+def fnv(text: str) -> str:
+    """FNV-1a over the bytes in wide integers."""
     codes = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: CAST(CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS UHUGEINT))"
-    state = f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), {codes}), lambda a, b: (CAST(xor(a, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616)"
+    return f"list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), {codes}), lambda a, b: (CAST(xor(a, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616)"
+
+
+def hash_topic(post: str, text: str) -> str:
+    """One more round for the number, modulo five."""
     names = "[" + ", ".join(f"'{t}'" for t in TOPICS[:5]) + "]"
-    return f"{names}[CAST(((CAST(xor({state}, CAST({post} AS UHUGEINT)) AS UHUGEINT) * 1099511628211) % 18446744073709551616) % 5 AS INTEGER) + 1]"
+    return f"{names}[CAST(((CAST(xor({fnv(text)}, CAST({post} AS UHUGEINT)) AS UHUGEINT) * 1099511628211) % 18446744073709551616) % 5 AS INTEGER) + 1]"

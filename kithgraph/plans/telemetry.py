@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.operators.graph import user_posts
+from kithgraph.schemas import Graph
+
 #: Windows of active users, seconds.
 ACTIVE = (60, 300, 900)
 
@@ -39,3 +42,20 @@ def low_watermark(cursors: DataFrame, slices: int) -> DataFrame:
 def percentiles(df: DataFrame, column: str) -> DataFrame:
     at = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
     return df.agg(*(F.percentile(column, p).alias(n) for n, p in at.items()))
+
+
+def store_counts(graph: Graph) -> DataFrame:
+    """(store, keys, rows) of each table; keys are those with rows."""
+    tables = {"users": (graph.edges, "user_id"), "posts": (graph.edges, "post_id"), "bitmaps": (user_posts(graph.edges), "user_id"), "follows": (graph.follows, "follower_id"), "blocks": (graph.blocks, "blocker_id"), "metadata": (graph.meta, "post_id"), "impressions": (graph.impressions, "viewer_id")}
+    out = None
+    for name, (df, key) in tables.items():
+        # Rows are summed by key first, so no distinct set is held in one task.
+        own = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit(name).alias("store"), "keys", "rows")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def impression_counts(state: DataFrame) -> DataFrame:
+    """(viewer_id, posts, viewers): distinct posts shown to each viewer, and viewers tracked."""
+    per = state.groupBy("viewer_id").agg(F.count("*").alias("posts"))
+    return per.crossJoin(F.broadcast(per.agg(F.count("*").alias("viewers"))))

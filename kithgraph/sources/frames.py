@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithgraph.functions.topics import CONTENT, record_topic
+from kithgraph.functions.topics import CONTENT, record_topic, shard
 from kithgraph.operators.graph import distinct_edges
 from kithgraph.schemas import EPOCH
 
@@ -139,8 +139,16 @@ def with_orphans(edges: DataFrame, meta: DataFrame) -> DataFrame:
 
 def dictionary(values: DataFrame, column: str = "value") -> DataFrame:
     """Numbers for distinct strings: value, id = local * 64 + shard, dense inside each of 64 shards."""
-    from kithgraph.functions.topics import shard
-
     d = values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("shard", shard(F.col("value")))
     local = F.row_number().over(Window.partitionBy("shard").orderBy("value")) - 1
     return d.select("value", (local.cast("long") * 64 + F.col("shard")).alias("id"))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the number of a string column in `name`, null for strings without one."""
+    return rows.join(known.select(F.col("value").alias(column), F.col("id").alias(name)), column, "left")
+
+
+def resolved(rows: DataFrame, known: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the string of a number column in `name`, null for unknown numbers."""
+    return rows.join(known.select(F.col("id").alias(column), F.col("value").alias(name)), column, "left")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import time
-from dataclasses import fields
+import uuid
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def scratch(spark: SparkSession) -> str:
     return (found or tempfile.mkdtemp(prefix="graph-")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into a table of the shared folder."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared(graph: Graph) -> Graph:
+    """graph with its edges and impressions written once, for plans that read them many times."""
+    return replace(graph, edges=written(graph.edges), impressions=written(graph.impressions))
+
+
 def _facts(df: DataFrame, name: str) -> DataFrame:
     """Name, rows and an order-independent checksum."""
     h = F.xxhash64(*(F.col(c).cast("string") for c in sorted(df.columns)), F.lit(1))
