@@ -21,18 +21,32 @@ def _of(graph: Graph, viewers: DataFrame | None) -> DataFrame:
     return graph.users if viewers is None else viewers.select("user_id").distinct()
 
 
-def tier1(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+def _walked(near: DataFrame, graph: Graph, dials: Dials, now: int, share: Column, passing: bool) -> DataFrame:
+    """Posts of near (viewer_id, user_id ...) with facts, the sum of share times decayed weight as
+    `affinity`, and the users it comes from as `curators`.
+
+    Edges of a user to a post are summed, and facts joined to them, before the walk multiplies rows
+    by viewers; `passing` drops the posts that the dials don't allow there too.  Facts ride along as
+    numbers, which hash aggregates take.
+    """
+    worth = S.decay(F.col("signal"), F.col("ts"), F.lit(now), dials.tau)
+    per_user = R.with_facts(graph.edges.groupBy("user_id", "post_id").agg(F.sum(worth).alias("w")), graph)
+    if passing:
+        per_user = per_user.where(R.allowed(dials))
+    facts = ("degree", "author_id", "root_id", "parent_id", "is_nsfw")
+    per_user = per_user.select("user_id", "post_id", "w", *facts, S.topic_code(F.col("topic")).alias("code"))
+    c = near.join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum(share * F.col("w")).alias("affinity"), F.count("*").alias("curators"), *(F.max(k).alias(k) for k in (*facts, "code")))
+    return c.withColumn("topic", F.coalesce(S.topic_of_code(F.col("code")), F.lit("general"))).drop("code")
+
+
+def tier1(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None, passing: bool = False) -> DataFrame:
     """(viewer_id, post_id, score) and facts: what like-minded users interacted with, for viewers
     with TIER1_POSTS posts and more."""
     ready = cardinality(graph.edges).where(F.col("posts") >= TIER1_POSTS)
     if viewers is not None:
         ready = ready.join(viewers.select("user_id"), "user_id", "left_semi")
     near = neighbours(graph, ready).select(F.col("u").alias("viewer_id"), F.col("v").alias("user_id"), "conf")
-    worth = S.decay(F.col("signal"), F.col("ts"), F.lit(now), dials.tau)
-    # A neighbour's edges to one post are summed before the walk multiplies them by viewers.
-    per_user = graph.edges.groupBy("user_id", "post_id").agg(F.sum(worth).alias("w"))
-    walked = near.join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum(F.col("conf") * F.col("w")).alias("affinity"), F.count("*").alias("curators"))
-    c = R.with_facts(walked, graph)
+    c = _walked(near, graph, dials, now, F.col("conf"), passing)
     score = F.col("affinity") * S.consensus(F.col("curators")) * S.social_proof(F.col("degree")) * S.topic_weight(F.col("topic"), dials.weights)
     return c.withColumn("score", F.round(score, 6))
 
@@ -45,13 +59,10 @@ def _followed(graph: Graph, viewers: DataFrame | None) -> DataFrame:
     return follows.join(mutual_blocks(graph.blocks), (F.col("viewer_id") == F.col("a")) & (F.col("user_id") == F.col("b")), "left_anti")
 
 
-def tier2(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
+def tier2(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None, passing: bool = False) -> DataFrame:
     """What followed accounts interacted with."""
-    worth = S.decay(F.col("signal"), F.col("ts"), F.lit(now), dials.tau)
-    per_user = graph.edges.groupBy("user_id", "post_id").agg(F.sum(worth).alias("w"))
-    walked = _followed(graph, viewers).join(per_user, "user_id").groupBy("viewer_id", "post_id").agg(F.sum("w").alias("d"))
-    c = R.with_facts(walked, graph)
-    score = FOLLOW_BOOST * F.col("d") * S.social_proof(F.col("degree")) * S.topic_weight(F.col("topic"), dials.weights)
+    c = _walked(_followed(graph, viewers), graph, dials, now, F.lit(1.0), passing)
+    score = FOLLOW_BOOST * F.col("affinity") * S.social_proof(F.col("degree")) * S.topic_weight(F.col("topic"), dials.weights)
     return c.withColumn("score", F.round(score, 6))
 
 
@@ -63,8 +74,8 @@ def tier3_pool(graph: Graph, dials: Dials, now: int) -> DataFrame:
     return R.interleave(c)
 
 
-def tier3(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
-    """The pool for every viewer; its size is fixed, so it is broadcast."""
+def tier3(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None, passing: bool = True) -> DataFrame:
+    """The pool, which holds only allowed posts, for every viewer; its size is fixed, so it is broadcast."""
     pool = tier3_pool(graph, dials, now).drop("pos")
     return _of(graph, viewers).select(F.col("user_id").alias("viewer_id")).crossJoin(F.broadcast(pool))
 
@@ -89,7 +100,7 @@ def first_filled(walks: list, viewers: DataFrame) -> DataFrame:
 
 def cascade(graph: Graph, dials: Dials, now: int, viewers: DataFrame | None = None) -> DataFrame:
     """Filtered candidates of the first tier that leaves a viewer any, with tier and source."""
-    walks = [lambda v, walk=walk: R.filtered(walk(graph, dials, now, v), graph, dials).select(*KEEP) for walk in (tier1, tier2, tier3)]
+    walks = [lambda v, walk=walk: R.filtered(walk(graph, dials, now, v, passing=True), graph, dials).select(*KEEP) for walk in (tier1, tier2, tier3)]
     return first_filled(walks, _of(graph, viewers)).withColumn("source", S.choose(F.col("tier"), SOURCES))
 
 
