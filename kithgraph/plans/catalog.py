@@ -647,12 +647,13 @@ def stream_velocity(spark, d):
     return last.select(F.unix_timestamp("window.start").alias("window_start"), "post_id", "x.weight", "x.n")
 
 
-@query(O.E + O.STATE.replace("QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY seq DESC) <= 1000", "") + " SELECT viewer_id, post_id, last_served, count FROM state")
+@query(O.E + O.STATE + " SELECT viewer_id, post_id, last_served, count FROM state")
 def stream_impressions(spark, d):
     e = streams.table_stream(spark, d, "events", per_trigger=1000).where("event_type = 'view'")
     log = e.select(F.col("user_id").alias("viewer_id"), F.get_json_object("props", "$.k").cast("long").alias("post_id"), seconds("ts").alias("served_at"), F.col("event_id").alias("seq"))
     out = _streamed(spark, streams.impression_state(log), "update")
-    return out.groupBy("viewer_id", "post_id").agg(F.max_by(F.struct("last_served", "count"), "__batch").alias("x")).select("viewer_id", "post_id", "x.last_served", "x.count")
+    last = out.groupBy("viewer_id", "post_id").agg(F.max_by(F.struct("last_served", "count"), "__batch").alias("x"))
+    return last.where("x.count > 0").select("viewer_id", "post_id", "x.last_served", "x.count")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -9,7 +9,7 @@ from kithgraph.functions import scalars as S
 from kithgraph.operators import impressions as I
 from kithgraph.operators import ranking as R
 from kithgraph.operators.graph import cardinality, mutual_blocks, neighbours, now_of, tail, user_posts, velocity
-from kithgraph.plans.dials import Dials
+from kithgraph.plans.dials import Dials, Sessions
 from kithgraph.plans.explain import proofs
 from kithgraph.schemas import EPOCH, FOLLOW_BOOST, NEIGHBOUR_EDGES, SCORED, TIER1_POSTS, Graph
 from kithgraph.sources.store import written
@@ -126,13 +126,24 @@ def anonymous_feed(graph: Graph, dials: Dials | None = None, now: int | None = N
     return R.serendipity(R.dense_positions(R.author_cap(R.thread_cap(c))), dials.explore)
 
 
-def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A page, and the impression rows to append for it."""
+def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None, sessions: Sessions | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page, and the impression rows to append for it, numbered after those that the graph holds.
+
+    With sessions, a request without a cursor ranks anew and keeps the ranking as a table; later
+    pages of equal dials are cut from it, so the impressions appended between them shift no post.
+    """
     now = now_of(graph.edges) if now is None else now
     spark = graph.edges.sparkSession
-    ranked = feed(graph, dials, now, spark.createDataFrame([(viewer,)], "user_id long"))
+    ranked = sessions.get(viewer, dials, now) if sessions and dials.cursor is not None else None
+    if ranked is None:
+        ranked = feed(graph, dials, now, spark.createDataFrame([(viewer,)], "user_id long"))
+        if sessions is not None:
+            ranked = written(ranked)
+            sessions.put(viewer, dials, now, ranked)
     shown = R.page(ranked, dials.limit, dials.cursor)
-    return shown, shown.select("viewer_id", "post_id", F.lit(now).cast("long").alias("served_at"), F.col("pos").cast("long").alias("seq"))
+    last = graph.impressions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    seq = (F.greatest("last", F.lit(0)) + F.col("pos")).cast("long").alias("seq")
+    return shown, shown.crossJoin(F.broadcast(last)).select("viewer_id", "post_id", F.lit(now).cast("long").alias("served_at"), seq)
 
 
 def preview_clock(latest: int, wall: int) -> int:

@@ -45,14 +45,20 @@ def _facts(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("checksum")).select(F.lit(name).alias("name"), "rows", "checksum")
 
 
-def save(graph: Graph, root: str, cursor: int = 0) -> int:
-    """Writes all tables, then the manifest with the stream cursor; returns the version."""
+def save(graph: Graph, root: str, cursor: int = 0, sections: dict[str, DataFrame] | None = None) -> int:
+    """Writes all tables, then the manifest with the stream cursor; returns the version.
+
+    `sections` are further tables of the version, such as a dictionary or saved dials.
+    """
     spark = graph.edges.sparkSession
     version, facts = time.time_ns(), None
-    for f in fields(Graph):
-        path = f"{root}/v{version}/{f.name}"
-        getattr(graph, f.name).write.parquet(path)
-        own = _facts(spark.read.parquet(path), f.name)
+    tables = {f.name: getattr(graph, f.name) for f in fields(Graph)}
+    if clash := tables.keys() & (sections or {}).keys():
+        raise ValueError(f"{sorted(clash)} are tables of the graph")
+    for name, df in {**tables, **(sections or {})}.items():
+        path = f"{root}/v{version}/{name}"
+        df.write.parquet(path)
+        own = _facts(spark.read.parquet(path), name)
         facts = own if facts is None else facts.unionByName(own)
     facts.withColumns({"version": F.lit(version), "cursor": F.lit(cursor).cast("long"), "saved_at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return version
@@ -63,15 +69,28 @@ def status(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/manifest").groupBy("version", "cursor").agg(F.min("saved_at").alias("saved_at"), F.sum("rows").alias("rows"))
 
 
-def load(spark: SparkSession, root: str, version: int | None = None) -> tuple[Graph, int]:
-    """The graph and cursor of a version, the latest by default; columns that an older version lacks
-    are null."""
+def _checked(spark: SparkSession, root: str, version: int | None, names: list[str]) -> tuple[dict[str, DataFrame], int]:
+    """Tables of a version, the latest by default, that agree with the manifest, and its cursor."""
     manifest = spark.read.parquet(f"{root}/manifest")
     version = version or manifest.agg(F.max("version")).first()[0]
     known = {r["name"]: r for r in manifest.where(F.col("version") == version).collect()}
-    tables = {f.name: spark.read.option("mergeSchema", "true").parquet(f"{root}/v{version}/{f.name}") for f in fields(Graph)}
-    for name, df in tables.items():
-        found = _facts(df, name).first()
+    tables = {}
+    for name in names:
+        if name not in known:
+            raise DamagedSnapshot(f"version {version} has no {name}")
+        tables[name] = spark.read.option("mergeSchema", "true").parquet(f"{root}/v{version}/{name}")
+        found = _facts(tables[name], name).first()
         if (found["rows"], found["checksum"]) != (known[name]["rows"], known[name]["checksum"]):
             raise DamagedSnapshot(f"{name} of version {version}")
-    return Graph(**tables), next(iter(known.values()))["cursor"]
+    return tables, next(iter(known.values()))["cursor"]
+
+
+def load(spark: SparkSession, root: str, version: int | None = None) -> tuple[Graph, int]:
+    """The graph and cursor of a version; columns that an older version lacks are null."""
+    tables, cursor = _checked(spark, root, version, [f.name for f in fields(Graph)])
+    return Graph(**tables), cursor
+
+
+def section(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A further table of a version."""
+    return _checked(spark, root, version, [name])[0][name]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kithgraph.functions import scalars as S
 from kithgraph.operators.graph import distinct_edges
-from kithgraph.schemas import FATIGUE_WINDOW, IMPRESSION_COUNT, VELOCITY_WINDOW
+from kithgraph.schemas import FATIGUE_WINDOW, IMPRESSION_COUNT, IMPRESSION_ENTRIES, VELOCITY_WINDOW
 from kithgraph.sources import frames
 
 
@@ -22,10 +23,28 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parq*t")
 
 
-def frame_stream(spark: SparkSession, folder: str, collections: list[str] = (), per_trigger: int = 100) -> DataFrame:
-    """Events of JSON-lines files as they arrive; unwanted collections are dropped before parsing."""
-    lines = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder)
-    return frames.parse(frames.wanted(lines, list(collections)))
+def frame_stream(spark: SparkSession, folder: str, collections: list[str] = (), start: int | None = None, per_trigger: int = 100) -> DataFrame:
+    """Events of JSON-lines files as they arrive, from the cursor `start` (microseconds) on.
+
+    Unwanted collections and frames before the cursor are dropped before parsing.  A query's
+    checkpoint is the cursor that it resumes from.
+    """
+    lines = frames.wanted(spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder), list(collections))
+    if start is not None:
+        lines = frames.heartbeat(lines).where(F.col("time_us") >= start).drop("time_us")
+    return frames.parse(lines)
+
+
+def sliced_stream(spark: SparkSession, folders: dict[str, list[str]], start: int | None = None, per_trigger: int = 100) -> DataFrame:
+    """Events of several folders, each read for its own collections, with the folder in `slice`.
+
+    A collection in two slices would be read twice, so that is refused.
+    """
+    named = [c for own in folders.values() for c in own]
+    if not folders or len(set(named)) < len(named) or not all(folders.values()):
+        raise ValueError("each slice needs collections of its own")
+    parts = [frame_stream(spark, f, own, start, per_trigger).withColumn("slice", F.lit(f)) for f, own in folders.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -71,27 +90,46 @@ def last_seen(events: DataFrame, delay: str = "15 minutes") -> DataFrame:
 
 
 IMPRESSION_OUT = "viewer_id long, post_id long, last_served long, count long"
+IMPRESSION_HELD = "seqs array<long>, posts array<long>, served array<long>"
+
+
+def _runs(held: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """(last_served, count) by post of entries (seq, post, served) in order of seq."""
+    runs: dict[int, tuple[int, int]] = {}
+    for _, post, served in held:
+        last, count = runs.get(post, (served, 0))
+        runs[post] = served, 1 if abs(served - last) >= FATIGUE_WINDOW else min(IMPRESSION_COUNT, count + 1)
+    return runs
 
 
 def _impressions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Run length of one viewer and post: restarts after FATIGUE_WINDOW, capped; expires when idle."""
+    """Changes of one viewer's runs; the state is the newest IMPRESSION_ENTRIES entries."""
     if state.hasTimedOut:
         state.remove()
         return
-    last, count = state.get if state.exists else (None, 0)
-    rows = sorted((int(s), int(t)) for b in batches for s, t in zip(b["seq"], b["served_at"], strict=True))
-    for _, served in rows:
-        fresh = last is None or abs(served - last) >= FATIGUE_WINDOW
-        last, count = served, 1 if fresh else min(IMPRESSION_COUNT, count + 1)
-    state.update((last, count))
-    state.setTimeoutTimestamp(max((last + FATIGUE_WINDOW) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"viewer_id": [key[0]], "post_id": [key[1]], "last_served": [last], "count": [count]})
+    held = list(zip(*state.get, strict=True)) if state.exists else []
+    before = _runs(held)
+    for b in batches:
+        held = sorted([*held, *zip(b["seq"].tolist(), b["post_id"].tolist(), b["served_at"].tolist(), strict=True)])[-IMPRESSION_ENTRIES:]
+    state.update(tuple(map(list, zip(*held, strict=True))))
+    state.setTimeoutTimestamp(max((max(h[2] for h in held) + FATIGUE_WINDOW) * 1000, state.getCurrentWatermarkMs() + 1))
+    after = _runs(held)
+    changed = [(key[0], post, *run) for post, run in after.items() if before.get(post) != run]
+    gone = [(key[0], post, last, 0) for post, (last, _) in before.items() if post not in after]
+    yield pd.DataFrame([*changed, *gone], columns=["viewer_id", "post_id", "last_served", "count"])
 
 
 def impression_state(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Keyed state over a stream of impressions; each change is emitted, and idle state expires."""
+    """State of operators.impressions.state over a stream of impressions; each change is emitted.
+
+    A viewer's state is the newest IMPRESSION_ENTRIES entries by seq, in whatever order they come up to
+    `delay`; entries further behind are dropped.  A post whose last entry leaves them is emitted with count 0.  A viewer idle for FATIGUE_WINDOW
+    behind the watermark is forgotten without a row, as every later run is a new one.  Entries
+    with a null in any column don't count.
+    """
+    log = log.dropna(subset=["viewer_id", "post_id", "served_at", "seq"])
     log = log.withColumn("event_time", F.timestamp_seconds("served_at")).withWatermark("event_time", delay)
-    return log.groupBy("viewer_id", "post_id").applyInPandasWithState(_impressions, IMPRESSION_OUT, "last long, count long", "update", GroupStateTimeout.EventTimeTimeout)
+    return log.groupBy("viewer_id").applyInPandasWithState(_impressions, IMPRESSION_OUT, IMPRESSION_HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:

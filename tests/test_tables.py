@@ -85,3 +85,35 @@ def test_counts(spark):
     assert counts["follows"] == (25, 25) and counts["blocks"] == (2, 2) and counts["users"][1] == g.edges.count()
     per = telemetry.impression_counts(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "viewer_id long, post_id long")).collect()
     assert sorted(map(tuple, per)) == [(1, 2, 2), (2, 1, 2)]
+
+
+def test_pages_of_a_session(spark):
+    """Impressions of page 1 change the ranking, but not the pages of the session that began before."""
+    g, *_ = make(spark, 8)
+    dials, sessions = D.Dials(min_likes=0, include_replies=True, limit=3), D.Sessions()
+    first, rows = P.serve_page(g, 4, dials, NOW, sessions)
+    shown = [r["post_id"] for r in first.orderBy("pos").collect()]
+    seqs = [r["seq"] for r in rows.collect()]
+    assert sorted(r["post_id"] for r in rows.collect()) == sorted(shown) and min(seqs) > 1 and len(set(seqs)) == len(seqs)
+    whole = [r["post_id"] for r in P.feed(g, dials, NOW, spark.createDataFrame([(4,)], "user_id long")).orderBy("pos").collect()]
+    g.impressions = store.written(g.impressions.unionByName(rows))
+    second, later = P.serve_page(g, 4, D.Dials(min_likes=0, include_replies=True, limit=3, cursor="3"), NOW + 5, sessions)
+    assert shown + [r["post_id"] for r in second.orderBy("pos").collect()] == whole[:6]
+    assert min(r["seq"] for r in later.collect()) > max(seqs)
+    assert P.serve_page(g, 4, dials, NOW, sessions)[0].where("mult < 1").count() == 0 or len(whole) < 6
+
+
+def test_sections_of_a_snapshot(spark, tmp_path):
+    g, *_ = make(spark, 9)
+    known = frames.dictionary(spark.createDataFrame([("a",), ("b",), (None,)], "value string"))
+    saved = spark.createDataFrame([D.to_row(3, D.Dials(min_likes=7))])
+    version = store.save(g, str(tmp_path), 5, {"dictionary": known, "dials": saved})
+    assert {tuple(r) for r in store.section(spark, str(tmp_path), "dictionary", version).collect()} == {tuple(r) for r in known.collect()}
+    assert D.from_row(store.section(spark, str(tmp_path), "dials").first().asDict()).min_likes == 7
+    assert store.load(spark, str(tmp_path))[1] == 5
+    status = store.status(spark, str(tmp_path)).first()
+    assert (status["version"], status["cursor"]) == (version, 5)
+    with pytest.raises(store.DamagedSnapshot):
+        store.section(spark, str(tmp_path), "other")
+    with pytest.raises(ValueError):
+        store.save(g, str(tmp_path), 5, {"edges": known})
