@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chat, fingerprints, html, lines, packing, quality, shingles, tokens, vectors
+from kithgraph.llm import chat, codes, fingerprints, html, lines, middles, packing, pieces, quality, shingles, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,27 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_html_main_text, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack, op9_ngram_jaccard, op10_spherical_caps)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_chat_format, op2_html_main_text, op3_quality_votes, op4_multiset_fingerprint, op5_bpe_encode_decode, op6_token_counts, op7_line_spread, op8_pack, op9_ngram_jaccard, op10_spherical_caps,
+            op11_vector_codes, op12_sentencepiece, op13_fill_in_middle,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.SQL, "op7_line_spread": lines.SQL}
+    return {"op1_chat_format": chat.SQL, "op7_line_spread": lines.SQL, "op11_vector_codes": codes.SQL, "op13_fill_in_middle": middles.SQL}
