@@ -99,7 +99,11 @@ def velocity(edges: DataFrame, now: int, limit: int = POOL) -> DataFrame:
     inside = F.col("ts").between(now - VELOCITY_WINDOW, now)
     per_post = edges.groupBy("post_id").agg(F.count("*").alias("degree"), F.sum(F.when(inside, S.decay(F.col("signal"), F.col("ts"), F.lit(now), VELOCITY_WINDOW))).alias("d"))
     scored = per_post.where("d is not null").select("post_id", F.round(F.col("d") * S.social_proof(F.col("degree")), 6).alias("score"))
-    # Only the pool itself, a fixed number of rows, is ranked in one partition.
+    return ranked_pool(scored, limit)
+
+
+def ranked_pool(scored: DataFrame, limit: int = POOL) -> DataFrame:
+    """The `limit` best of (post_id, score) with their rank; only they, a fixed number of rows, are ranked in one partition."""
     scored = scored.orderBy(F.col("score").desc(), "post_id").limit(limit)
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "post_id")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from kithgraph.plans.dials import Dials, Sessions
 from kithgraph.plans.explain import proofs
 from kithgraph.schemas import EPOCH, FOLLOW_BOOST, NEIGHBOUR_EDGES, SCORED, TIER1_POSTS, Graph
 from kithgraph.sources.store import written
+from kithgraph.streaming.tables import ImpressionLog, impression_seq
 
 SOURCES = {1: "tier1_interaction_walk", 2: "tier2_follow_walk", 3: "tier3_velocity_pool"}
 
@@ -126,11 +129,12 @@ def anonymous_feed(graph: Graph, dials: Dials | None = None, now: int | None = N
     return R.serendipity(R.dense_positions(R.author_cap(R.thread_cap(c))), dials.explore)
 
 
-def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None, sessions: Sessions | None = None) -> tuple[DataFrame, DataFrame]:
-    """A page, and the impression rows to append for it, numbered after those that the graph holds.
+def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None, sessions: Sessions | None = None, request: str | None = None, log: ImpressionLog | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page, and its impression rows, numbered by time, request and position, whatever others are served meanwhile.
 
     With sessions, a request without a cursor ranks anew and keeps the ranking as a table; later
     pages of equal dials are cut from it, so the impressions appended between them shift no post.
+    With a log, the rows are recorded there under the request's id, once however often it is sent.
     """
     now = now_of(graph.edges) if now is None else now
     spark = graph.edges.sparkSession
@@ -141,9 +145,10 @@ def serve_page(graph: Graph, viewer: int, dials: Dials, now: int | None = None,
             ranked = written(ranked)
             sessions.put(viewer, dials, now, ranked)
     shown = R.page(ranked, dials.limit, dials.cursor)
-    last = graph.impressions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    seq = (F.greatest("last", F.lit(0)) + F.col("pos")).cast("long").alias("seq")
-    return shown, shown.crossJoin(F.broadcast(last)).select("viewer_id", "post_id", F.lit(now).cast("long").alias("served_at"), seq)
+    at, name = F.lit(now).cast("long"), F.lit(request or uuid.uuid4().hex)
+    if log is not None:
+        log.record(shown.select(name.alias("request"), "viewer_id", "post_id", at.alias("served_at"), "pos"))
+    return shown, shown.select("viewer_id", "post_id", at.alias("served_at"), impression_seq(at, name, F.col("pos")).alias("seq"))
 
 
 def preview_clock(latest: int, wall: int) -> int:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kithgraph.functions import scalars as S
-from kithgraph.operators.graph import distinct_edges
 from kithgraph.schemas import FATIGUE_WINDOW, IMPRESSION_COUNT, IMPRESSION_ENTRIES, VELOCITY_WINDOW
 from kithgraph.sources import frames
 
@@ -50,34 +49,17 @@ def sliced_stream(spark: SparkSession, folders: dict[str, list[str]], start: int
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """First arrival of every interaction in bounded state: events later than the delay are dropped.
 
-    appended_edges() takes them all, however late.
+    tables.EdgeTable takes them all, however late.
     """
     at = events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     return at.dropDuplicatesWithinWatermark(["user_id", "post_id", "signal"])
 
 
-def appended_edges(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the edges of a stream of (user_id, post_id, signal, ts, seq) to a table, batch by batch.
+def windowed_velocity(edges: DataFrame, slide: str = "1 hour", delay: str = f"{VELOCITY_WINDOW} seconds") -> DataFrame:
+    """Weighted interactions by post in sliding windows of VELOCITY_WINDOW, of edges up to `delay` late.
 
-    An event counts whatever its time: a batch's first arrivals are appended unless the table of
-    earlier batches holds them.  A batch that is run again replaces its own part, and the query
-    goes on from its checkpoint.
+    tables.VelocityTable takes edges however late, with decay and social proof.
     """
-    keys = ["user_id", "post_id", "signal"]
-
-    def append(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fresh = distinct_edges(batch)
-        if n:
-            held = spark.read.schema(f"{batch.select(*keys, 'ts', 'seq').schema.simpleString()[7:-1].replace(':', ' ')}, batch long").option("basePath", path).parquet(path)
-            fresh = fresh.join(held.where(F.col("batch") < n).select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return drained(events, append, checkpoint)
-
-
-def windowed_velocity(edges: DataFrame, slide: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
-    """Weighted interactions by post in sliding windows of VELOCITY_WINDOW."""
     at = edges.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     win = F.window("event_time", f"{VELOCITY_WINDOW} seconds", slide)
     return at.groupBy(win, "post_id").agg(F.sum(S.weight(F.col("signal"))).alias("weight"), F.count("*").alias("n"))

@@ -13,24 +13,6 @@ from kithgraph.sources import frames
 from kithgraph.streaming import streams
 
 
-def test_late_edges_are_taken(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(rng.randrange(6), rng.randrange(9), rng.randrange(1, 4), 1_700_000_000 + 86_400 * k, k) for k in range(400)]
-    rng.shuffle(rows)
-    schema = "user_id long, post_id long, signal int, ts long, seq long"
-    for k in range(4):
-        spark.createDataFrame(rows[100 * k : 100 * k + 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = streams.appended_edges(stream, f"{tmp_path}/out", f"{tmp_path}/state")
-    out = spark.read.parquet(f"{tmp_path}/out")
-    assert query.lastProgress is not None and out.select("batch").distinct().count() >= 2
-    got = [tuple(r) for r in out.select("user_id", "post_id", "signal").collect()]
-    assert len(got) == len(set(got)) and set(got) == {r[:3] for r in rows}
-    spark.createDataFrame([(99, 1, 1, 5, 1)], schema).write.parquet(f"{tmp_path}/in/late")
-    streams.appended_edges(stream, f"{tmp_path}/out", f"{tmp_path}/state")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == len(got) + 1
-
-
 def test_preview_clock():
     assert preview_clock(EPOCH, 2 * EPOCH) == 2 * EPOCH == preview_clock(0, 2 * EPOCH)
     late = EPOCH + 100_000
