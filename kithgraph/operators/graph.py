@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from kithgraph.functions import scalars as S
 from kithgraph.schemas import KEPT, MIN_OVERLAP, POOL, POST_EDGES, SCANNED, SEEDS, VELOCITY_WINDOW, Graph
 
+#: Shards in which wide posts are numbered.
+WORD_SHARDS = 64
+
 
 def distinct_edges(raw: DataFrame) -> DataFrame:
     """First arrival by user, post and signal, as a map-side aggregate."""
@@ -43,18 +46,35 @@ def mutual_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("blocker_id").alias("a"), F.col("blocked_id").alias("b")).union(blocks.select("blocked_id", "blocker_id")).distinct()
 
 
-def overlaps(pairs: DataFrame, posts: DataFrame, heavy: int = POST_EDGES) -> DataFrame:
+def bit_words(posts: DataFrame, width: DataFrame) -> DataFrame:
+    """(user_id, word, bits): each user's posts among those of `width` (post_id, w), 64 to a word.
+
+    Posts are numbered by falling width inside WORD_SHARDS shards, so the widest share a word and a user
+    who has many of them takes one row for up to 64.
+    """
+    shard = F.pmod(F.xxhash64("post_id"), F.lit(WORD_SHARDS))
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(F.col("w").desc(), "post_id")) - 1
+    numbered = width.select("post_id", (F.floor(place / 64) * WORD_SHARDS + shard).alias("word"), F.expr("1L").alias("one"), (place % 64).cast("int").alias("bit"))
+    bit = F.call_function("shiftleft", F.col("one"), F.col("bit"))
+    return posts.join(numbered, "post_id").groupBy("user_id", "word").agg(F.bit_or(bit).alias("bits"))
+
+
+def overlaps(pairs: DataFrame, posts: DataFrame, heavy: int = POST_EDGES, own: DataFrame | None = None) -> DataFrame:
     """pairs (u, v) with `shared`, the size of the two users' common posts.
 
     Posts up to `heavy` users are counted by a self-join on the post, which costs at most heavy^2
-    rows a post.  Beyond it, the pairs themselves are joined to the few such posts of each user.
+    rows a post.  Wider posts are bits of words of each user: a pair costs one AND for each
+    word that both have, and no post costs the square of its users.  `own`: the posts of the users u
+    where these are few, so that the self-join starts from them alone.
     """
     width = posts.groupBy("post_id").agg(F.count("*").alias("w"))
-    wide = posts.join(width, "post_id")
-    a = wide.where(F.col("w") <= heavy).select("post_id", F.col("user_id").alias("u"))
-    light = a.join(a.withColumnRenamed("u", "v"), "post_id").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
-    big = wide.where(F.col("w") > heavy).select("post_id", "user_id")
-    rest = pairs.select("u", "v").join(big.select("post_id", F.col("user_id").alias("u")), "u").join(big.select("post_id", F.col("user_id").alias("v")), ["v", "post_id"]).groupBy("u", "v").agg(F.count("*").alias("n"))
+    a = posts.join(width.where(F.col("w") <= heavy), "post_id").select("post_id", F.col("user_id").alias("v"))
+    mine = (a.withColumnRenamed("v", "u") if own is None else own.select("post_id", F.col("user_id").alias("u")))
+    light = mine.join(a, "post_id").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    words = bit_words(posts, width.where(F.col("w") > heavy))
+    left = words.select(F.col("user_id").alias("u"), "word", F.col("bits").alias("x"))
+    right = words.select(F.col("user_id").alias("v"), "word", F.col("bits").alias("y"))
+    rest = pairs.select("u", "v").join(left, "u").join(right, ["v", "word"]).groupBy("u", "v").agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y")))).cast("long").alias("n")).where("n > 0")
     total = light.join(pairs.select("u", "v"), ["u", "v"], "left_semi").unionByName(rest).groupBy("u", "v").agg(F.sum("n").alias("shared"))
     return pairs.join(total, ["u", "v"])
 
@@ -83,7 +103,7 @@ def neighbours(graph: Graph, viewers: DataFrame | None = None, scanned: int | No
         order = F.row_number().over(Window.partitionBy("u").orderBy("first"))
         met = met.withColumn("__r", order).where(F.col("__r") <= scanned).drop("__r")
     sizes = cardinality(edges)
-    both = overlaps(met, user_posts(edges)).where(F.col("shared") >= MIN_OVERLAP)
+    both = overlaps(met, user_posts(edges), own=None if viewers is None else user_posts(own)).where(F.col("shared") >= MIN_OVERLAP)
     both = both.join(sizes.select(F.col("user_id").alias("u"), F.col("posts").alias("n_u")), "u").join(sizes.select(F.col("user_id").alias("v"), F.col("posts").alias("n_v")), "v")
     both = both.select("u", "v", "shared", S.confidence(F.col("shared"), F.col("n_u"), F.col("n_v")).alias("conf"), F.col("first.post_id").alias("seed_post"))
     by = [F.col("conf").desc(), *([F.col("shared").desc()] if by_shared else []), F.col("v")]

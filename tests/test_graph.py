@@ -47,7 +47,7 @@ def test_tier_1_equals_sets(spark, seed, heavy, monkeypatch):
     g, raw, meta, blocks = make(spark, seed)
     if heavy != 500:
         real = G.overlaps
-        monkeypatch.setattr(G, "overlaps", lambda pairs, posts: real(pairs, posts, heavy))
+        monkeypatch.setattr(G, "overlaps", lambda pairs, posts, own=None: real(pairs, posts, heavy, own))
     edges = dedup(raw)
     own = {}
     for u, p, *_ in edges:
@@ -126,6 +126,8 @@ def test_snapshot_detects_damage(spark, tmp_path):
     version = store.save(g, str(tmp_path), 42)
     loaded, cursor = store.load(spark, str(tmp_path))
     assert cursor == 42 and loaded.edges.exceptAll(g.edges).isEmpty() and g.blocks.exceptAll(loaded.blocks).isEmpty()
-    g.blocks.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/v{version}/blocks")
+    (folder,) = (tmp_path / "data").iterdir()
+    assert version == 1
+    g.blocks.limit(1).write.mode("overwrite").parquet(f"{folder}/blocks")
     with pytest.raises(store.DamagedSnapshot):
         store.load(spark, str(tmp_path))
