@@ -45,6 +45,6 @@ def damped(candidates: DataFrame, history: DataFrame, now: int) -> DataFrame:
     return c.withColumn("damped", F.when(F.col("mult") < 1, F.col("score") * F.col("mult") * F.col("scale")).otherwise(F.col("score"))).drop("__u", "__f")
 
 
-def expired(log: DataFrame, now: int) -> DataFrame:
-    """The log without entries older than FATIGUE_WINDOW."""
-    return log.where(F.col("served_at") > now - FATIGUE_WINDOW)
+def live(history: DataFrame, now: int) -> DataFrame:
+    """State without posts last served FATIGUE_WINDOW and more before now, which weigh nothing any more."""
+    return history.where(F.col("last_served") > now - FATIGUE_WINDOW)

@@ -20,9 +20,9 @@ from kithgraph.plans import responses, telemetry, twins
 from kithgraph.plans.dials import Dials, precedence, saved_after
 from kithgraph.plans.explain import explain, step_rows
 from kithgraph.schemas import TOPICS
-from kithgraph.sources import frames, store
+from kithgraph.sources import frames, segments, store
 from kithgraph.sources.tables import dense, read, seconds, sparse, spread
-from kithgraph.streaming import streams
+from kithgraph.streaming import streams, viewers
 from kithgraph.streaming import tables as ST
 from kithgraph.streaming.eventstore import EventStore
 
@@ -642,12 +642,12 @@ def _raw_edges(spark, d) -> DataFrame:
     return e.where("signal is not null")
 
 
-@query(O.E + " SELECT DISTINCT user_id, post_id, CAST(signal AS INTEGER) AS signal FROM raw")
+@query(O.E + " SELECT user_id, post_id, CAST(signal AS INTEGER) AS signal, ts, seq FROM edges")
 def stream_dedup(spark, d):
     root = f"{store.scratch(spark)}/edges-{uuid.uuid4().hex}"
     table = ST.EdgeTable(spark, f"{root}/table", buckets=8)
     streams.drained(_shuffled(_raw_edges(spark, d), root, "seq"), lambda batch, n: table.add(batch, "edges", n), f"{root}/state")
-    return table.rows().select("user_id", "post_id", "signal")
+    return table.edges().select("user_id", "post_id", "signal", "ts", "seq")
 
 
 @query(O.E + O.POOL + " SELECT post_id, score, CAST(rank AS INTEGER) AS rank FROM pool")
@@ -656,7 +656,7 @@ def stream_velocity_pool(spark, d):
     root = f"{store.scratch(spark)}/velocity-{uuid.uuid4().hex}"
     edges, velocity = ST.EdgeTable(spark, f"{root}/edges", buckets=8), ST.VelocityTable(spark, f"{root}/sums")
     sink = lambda n, pool: pool.write.mode("overwrite").parquet(f"{root}/pools/batch={n}")
-    streams.drained(_shuffled(_raw_edges(spark, d), root, "seq"), ST.velocity_batches(edges, velocity, f"{root}/state", sink, 2), f"{root}/state")
+    streams.drained(_shuffled(_raw_edges(spark, d), root, "seq"), ST.velocity_batches(edges, velocity, f"{root}/state", sink, 2, lambda: G.now_of(edges.edges())), f"{root}/state")
     pools = spark.read.parquet(f"{root}/pools")
     return pools.join(pools.agg(F.max("batch").alias("batch")), "batch").select("post_id", "score", "rank")
 
@@ -696,6 +696,23 @@ def stream_links(spark, d):
     return own["follows"].withColumn("kind", F.lit("follow")).unionByName(own["blocks"].withColumn("kind", F.lit("block")))
 
 
+@query(_FRAMES + """ SELECT kind, "user", coalesce(post, '') AS post, coalesce(other, '') AS other, CAST(coalesce(signal, 0) AS INTEGER) AS signal, ts, count(*) AS n FROM ev GROUP BY ALL""")
+def firehose_replay(spark, d):
+    """All frames, landed and streamed in two halves with a stop between; each event is counted once."""
+    root = f"{store.scratch(spark)}/firehose-{uuid.uuid4().hex}"
+    kinds = read(spark, d, "events").select("event_id", F.col("event_type").alias("slice"))
+    lines = frames.heartbeat(frame_rows(spark, d).join(kinds, "event_id"))
+    middle = lines.agg(((F.min("time_us") + F.max("time_us")) / 2).cast("long").alias("m"))
+    halves = lines.crossJoin(F.broadcast(middle))
+    for half in (halves.where("time_us <= m"), halves.where("time_us > m")):
+        segments.land(half.select("value", "slice"), f"{root}/landed")
+        stream = segments.landed_stream(spark, f"{root}/landed")
+        streams.drained(frames.parse(stream.select("value")), lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/state")
+    keys = ["kind", "user", "post", "other", "signal", "ts"]
+    out = spark.read.parquet(f"{root}/out").select("kind", "user", F.coalesce("post", F.lit("")).alias("post"), F.coalesce("other", F.lit("")).alias("other"), F.coalesce("signal", F.lit(0)).alias("signal"), "ts")
+    return out.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 @query("SELECT CASE WHEN count(*) = 5 THEN min(c) ELSE 0 END AS watermark FROM (SELECT event_type, max(epoch_us(ts)) AS c FROM events GROUP BY 1)")
 def stream_watermark(spark, d):
     return spark.range(1).select(F.lit(_ingested(spark, d).watermark()).cast("long").alias("watermark"))
@@ -711,13 +728,37 @@ def stream_velocity(spark, d):
     return last.select(F.unix_timestamp("window.start").alias("window_start"), "post_id", "x.weight", "x.n")
 
 
+def _views(spark, d) -> DataFrame:
+    e = read(spark, d, "events").where("event_type = 'view'")
+    return e.select(F.col("user_id").alias("viewer_id"), F.get_json_object("props", "$.k").cast("long").alias("post_id"), seconds("ts").alias("served_at"), F.col("event_id").alias("seq"))
+
+
+def _span(df: DataFrame, ts: str) -> str:
+    """A delay that no row of df exceeds: the rows lie in files out of order, and the SQL counts them all."""
+    return f"{(df.agg(F.max(ts) - F.min(ts)).first()[0] or 0) + 1} seconds"
+
+
 @query(O.E + O.STATE + " SELECT viewer_id, post_id, last_served, count FROM state")
 def stream_impressions(spark, d):
-    e = streams.table_stream(spark, d, "events", per_trigger=1000).where("event_type = 'view'")
-    log = e.select(F.col("user_id").alias("viewer_id"), F.get_json_object("props", "$.k").cast("long").alias("post_id"), seconds("ts").alias("served_at"), F.col("event_id").alias("seq"))
-    out = _streamed(spark, streams.impression_state(log), "update")
-    last = out.groupBy("viewer_id", "post_id").agg(F.max_by(F.struct("last_served", "count"), "__batch").alias("x"))
-    return last.where("x.count > 0").select("viewer_id", "post_id", "x.last_served", "x.count")
+    log, root = _views(spark, d), f"{store.scratch(spark)}/views-{uuid.uuid4().hex}"
+    out = _streamed(spark, viewers.impression_state(_shuffled(log, root, "seq"), _span(log, "served_at")), "update")
+    return viewers.last_words(out, "__batch")
+
+
+@query(O.E + O.STATE + " SELECT viewer_id, post_id, last_served, count FROM state WHERE last_served > (SELECT max(served_at) FROM imp) - 86400 - 21600")
+def stream_impressions_expired(spark, d):
+    """The state a day after which impressions are late, once the stream's newest entry has moved its timers."""
+    log, root = _views(spark, d), f"{store.scratch(spark)}/views-{uuid.uuid4().hex}"
+    log.repartitionByRange(4, "served_at").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{root}/in")
+    return viewers.last_words(_streamed(spark, viewers.impression_state(stream, "1 day"), "update"), "__batch")
+
+
+@query("""WITH s AS (SELECT user_id, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_seen FROM events GROUP BY 1)
+SELECT user_id, last_seen FROM s WHERE last_seen + 900 > (SELECT max(last_seen) FROM s) - 60""")
+def stream_last_seen(spark, d):
+    seen = streams.table_stream(spark, d, "events", 1000).select("user_id", seconds("ts").alias("ts"))
+    return viewers.active(_streamed(spark, viewers.last_seen(seen), "update"), "__batch")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -1,18 +1,16 @@
-"""Structured Streaming forms of ingestion, deduplication, trends and impression state."""
+"""Structured Streaming forms of ingestion, deduplication and trends."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kithgraph.functions import scalars as S
-from kithgraph.schemas import FATIGUE_WINDOW, IMPRESSION_COUNT, IMPRESSION_ENTRIES, VELOCITY_WINDOW
+from kithgraph.schemas import VELOCITY_WINDOW
 from kithgraph.sources import frames
 
 
@@ -65,55 +63,6 @@ def windowed_velocity(edges: DataFrame, slide: str = "1 hour", delay: str = f"{V
     return at.groupBy(win, "post_id").agg(F.sum(S.weight(F.col("signal"))).alias("weight"), F.count("*").alias("n"))
 
 
-def last_seen(events: DataFrame, delay: str = "15 minutes") -> DataFrame:
-    """Latest activity of each user in windows that expire with the watermark."""
-    at = events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
-    return at.groupBy(F.window("event_time", "15 minutes"), "user_id").agg(F.max("ts").alias("last_seen"))
-
-
-IMPRESSION_OUT = "viewer_id long, post_id long, last_served long, count long"
-IMPRESSION_HELD = "seqs array<long>, posts array<long>, served array<long>"
-
-
-def _runs(held: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
-    """(last_served, count) by post of entries (seq, post, served) in order of seq."""
-    runs: dict[int, tuple[int, int]] = {}
-    for _, post, served in held:
-        last, count = runs.get(post, (served, 0))
-        runs[post] = served, 1 if abs(served - last) >= FATIGUE_WINDOW else min(IMPRESSION_COUNT, count + 1)
-    return runs
-
-
-def _impressions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one viewer's runs; the state is the newest IMPRESSION_ENTRIES entries."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = list(zip(*state.get, strict=True)) if state.exists else []
-    before = _runs(held)
-    for b in batches:
-        held = sorted([*held, *zip(b["seq"].tolist(), b["post_id"].tolist(), b["served_at"].tolist(), strict=True)])[-IMPRESSION_ENTRIES:]
-    state.update(tuple(map(list, zip(*held, strict=True))))
-    state.setTimeoutTimestamp(max((max(h[2] for h in held) + FATIGUE_WINDOW) * 1000, state.getCurrentWatermarkMs() + 1))
-    after = _runs(held)
-    changed = [(key[0], post, *run) for post, run in after.items() if before.get(post) != run]
-    gone = [(key[0], post, last, 0) for post, (last, _) in before.items() if post not in after]
-    yield pd.DataFrame([*changed, *gone], columns=["viewer_id", "post_id", "last_served", "count"])
-
-
-def impression_state(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """State of operators.impressions.state over a stream of impressions; each change is emitted.
-
-    A viewer's state is the newest IMPRESSION_ENTRIES entries by seq, in whatever order they come up to
-    `delay`; entries further behind are dropped.  A post whose last entry leaves them is emitted with count 0.  A viewer idle for FATIGUE_WINDOW
-    behind the watermark is forgotten without a row, as every later run is a new one.  Entries
-    with a null in any column don't count.
-    """
-    log = log.dropna(subset=["viewer_id", "post_id", "served_at", "seq"])
-    log = log.withColumn("event_time", F.timestamp_seconds("served_at")).withWatermark("event_time", delay)
-    return log.groupBy("viewer_id").applyInPandasWithState(_impressions, IMPRESSION_OUT, IMPRESSION_HELD, "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def drained(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs a stream over what there is, batch by batch, and returns when done."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()

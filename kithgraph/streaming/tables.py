@@ -17,81 +17,101 @@ BUCKETS, DELTAS = 256, 32
 #: Fixed value: seconds for which a pool is used again.
 POOL_TTL = 10
 KEYS = ["user_id", "post_id", "signal"]
+DAY = 86_400
 
 
 class EdgeTable(DeltaTable):
-    """Distinct edges; what a batch brings is compared with the buckets of its own keys alone."""
+    """Edges of which the first by seq counts; what a batch brings is compared with the buckets of its own keys alone.
+
+    n is 1 for an edge that came, and -1 for one that gave way to an earlier one, so that sums
+    over a table's rows, or over a batch's, are those of distinct edges.
+    """
 
     def __init__(self, spark: SparkSession, root: str, ids: str = "long", buckets: int = BUCKETS):
-        super().__init__(spark, root, f"user_id {ids}, post_id {ids}, signal int, ts long, seq long, bucket int", ["bucket"])
+        super().__init__(spark, root, f"user_id {ids}, post_id {ids}, signal int, ts long, seq long, n int, bucket int", ["bucket"])
         self.buckets = buckets
 
     def _dealt(self, edges: DataFrame) -> DataFrame:
         return edges.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int"))
 
-    def unheld(self, batch: DataFrame, names: list[str]) -> DataFrame:
-        """First arrivals of a batch that no folder of `names` holds; the list of buckets has `buckets` entries at most."""
+    @staticmethod
+    def _first(rows: DataFrame) -> DataFrame:
+        first = F.min(F.when(F.col("n") > 0, F.struct("seq", "ts"))).alias("f")
+        return rows.groupBy("bucket", *KEYS).agg(first).where("f IS NOT NULL").select("bucket", *KEYS, F.col("f.ts").alias("ts"), F.col("f.seq").alias("seq"))
+
+    def edges(self) -> DataFrame:
+        """(KEYS, ts, seq), each key once."""
+        return self._first(self.rows()).select(*KEYS, "ts", "seq")
+
+    def changes(self, batch: DataFrame, names: list[str]) -> DataFrame:
+        """Rows for a batch's edges that the folders of `names` don't hold or hold only later by seq.
+
+        The list of buckets that is looked into has `buckets` entries at most.
+        """
         fresh = self._dealt(distinct_edges(batch))
         touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
-        held = self.rows(names=names).where(F.col("bucket").isin(touched)).select("bucket", *KEYS)
-        return fresh.join(held, ["bucket", *KEYS], "left_anti").select(*KEYS, "ts", "seq", "bucket")
+        held = self._first(self.rows(names=names).where(F.col("bucket").isin(touched))).withColumnsRenamed({"ts": "__ts", "seq": "__seq"})
+        better = fresh.join(held, ["bucket", *KEYS], "left").where("__seq IS NULL OR seq < __seq")
+        both = F.array(F.struct("ts", "seq", F.lit(1).alias("n")), F.when(F.col("__seq").isNotNull(), F.struct(F.col("__ts").alias("ts"), F.col("__seq").alias("seq"), F.lit(-1).alias("n"))))
+        return better.select(*KEYS, F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"), "bucket").select(*KEYS, "x.ts", "x.seq", "x.n", "bucket")
 
     def add(self, batch: DataFrame, query: str, n: int) -> bool:
-        """Adds a batch's edges (KEYS, ts, seq) that aren't held yet, whatever their time; False if the batch was added before."""
+        """Adds a batch's edges (KEYS, ts, seq), whatever their time; False if the batch was added before."""
         while not self.applied(query, n):
             names = self.state()["data"]
-            added = self.append(self.unheld(batch, names), query, n, onto=names)
+            added = self.append(self.changes(batch, names), query, n, onto=names)
             if added is not None:
                 return added
         return False
 
     def compact(self) -> bool:
-        """Rewrites the deltas so far as one folder for each bucket."""
+        """Rewrites the deltas so far as one folder for each bucket, without edges that gave way."""
         names = self.state()["data"]
-        return len(names) > 1 and self.swap(names, self.rows(names=names))
+        return len(names) > 1 and self.swap(names, self._first(self.rows(names=names)).select(*KEYS, "ts", "seq", F.lit(1).alias("n"), "bucket"))
 
 
 class VelocityTable(DeltaTable):
-    """Weights and counts of edges by post and second, for pools at any time from the newest edge on.
+    """Weights and counts of edges by post and second, for pools at times around the newest edge.
 
-    Compaction leaves a post's count of all seconds before the window as one row, so the table is
-    as large as the posts and one window's seconds.
+    Compaction leaves a post's count of all seconds more than two windows old as one row, so the
+    table is as large as the posts and two windows' seconds.
     """
 
     def __init__(self, spark: SparkSession, root: str, ids: str = "long"):
-        super().__init__(spark, root, f"post_id {ids}, ts long, weight double, n long, hour long", ["hour"])
+        super().__init__(spark, root, f"post_id {ids}, ts long, weight double, n long, day long", ["day"])
 
     def now(self) -> int:
         """High-water mark of event time."""
         return self.state().get("now", 0)
 
-    def add(self, edges: DataFrame, query: str, n: int) -> bool:
-        """Adds distinct edges that weren't added before; they may be late."""
-        newest = edges.agg(F.max("ts")).first()[0] or 0
-        sums = edges.groupBy("post_id", "ts").agg(F.sum(S.weight(F.col("signal"))).alias("weight"), F.count("*").alias("n"))
-        return self.append(sums.withColumn("hour", F.floor(F.col("ts") / 3600)), query, n, lambda state: {"now": max(state.get("now", 0), newest)})
+    def add(self, changes: DataFrame, query: str, n: int) -> bool:
+        """Adds edges (post_id, signal, ts, n) as EdgeTable has them; they may be late."""
+        newest = changes.agg(F.max("ts")).first()[0] or 0
+        sums = changes.groupBy("post_id", "ts").agg(F.sum(S.weight(F.col("signal")) * F.col("n")).alias("weight"), F.sum("n").alias("n"))
+        return self.append(sums.withColumn("day", F.floor(F.col("ts") / DAY)), query, n, lambda state: {"now": max(state.get("now", 0), newest)})
 
     def pool(self, now: int | None = None, limit: int = POOL) -> DataFrame:
         """(post_id, score, rank) as graph.velocity() gives them at `now`.
 
-        Only the window's hours are read for weights; counts of the posts there, for their social
+        Only the window's days are read for weights; counts of the posts there, for their social
         proof, come from two columns of the rest.
         """
         now = self.now() if now is None else now
         rows, start = self.rows(), now - VELOCITY_WINDOW
-        inside = rows.where(F.col("hour").between(start // 3600, now // 3600) & F.col("ts").between(start, now))
-        decayed = inside.groupBy("post_id").agg(F.sum(F.col("weight") * F.exp((F.col("ts") - now) / float(VELOCITY_WINDOW))).alias("d"))
+        inside = rows.where(F.col("day").between(start // DAY, now // DAY) & F.col("ts").between(start, now))
+        decayed = inside.groupBy("post_id", "ts").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).where("n > 0")
+        decayed = decayed.groupBy("post_id").agg(F.sum(F.col("weight") * F.exp((F.col("ts") - now) / float(VELOCITY_WINDOW))).alias("d"))
         degree = rows.join(decayed.select("post_id"), "post_id", "left_semi").groupBy("post_id").agg(F.sum("n").alias("degree"))
         scored = decayed.join(degree, "post_id").select("post_id", F.round(F.col("d") * S.social_proof(F.col("degree")), 6).alias("score"))
         return ranked_pool(scored, limit)
 
     def compact(self) -> bool:
         """Adds equal seconds up, and of each post all seconds that no later window reaches."""
-        names, start = self.state()["data"], self.now() - VELOCITY_WINDOW
+        names, start = self.state()["data"], self.now() - 2 * VELOCITY_WINDOW
         inside = F.col("ts") >= start
         kept = self.rows(names=names).select("post_id", F.when(inside, F.col("ts")).alias("ts"), F.when(inside, F.col("weight")).otherwise(0.0).alias("weight"), "n")
-        sums = kept.groupBy("post_id", "ts").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
-        return len(names) > 1 and self.swap(names, sums.withColumn("hour", F.coalesce(F.floor(F.col("ts") / 3600), F.lit(-1))))
+        sums = kept.groupBy("post_id", "ts").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).where("n <> 0")
+        return len(names) > 1 and self.swap(names, sums.withColumn("day", F.coalesce(F.floor(F.col("ts") / DAY), F.lit(-1))))
 
 
 class PoolMemo:
@@ -110,9 +130,10 @@ class PoolMemo:
         return self.held
 
 
-def velocity_batches(edges: EdgeTable, velocity: VelocityTable, checkpoint: str, sink: Callable[[int, DataFrame], None], compact_after: int = DELTAS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new edges, then their sums, then sink(batch, pool at the newest edge).
+def velocity_batches(edges: EdgeTable, velocity: VelocityTable, checkpoint: str, sink: Callable[[int, DataFrame], None], compact_after: int = DELTAS, clock: Callable[[], int] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: new edges, then their sums, then sink(batch, pool).
 
+    The pool is that of clock(), by default of the newest edge that has come, which never goes back.
     A batch that is run again, from whichever step on, adds nothing twice.
     """
 
@@ -120,7 +141,7 @@ def velocity_batches(edges: EdgeTable, velocity: VelocityTable, checkpoint: str,
         query = edges.query_of(checkpoint)
         edges.add(batch, query, n)
         velocity.add(edges.last(query), query, n)
-        sink(n, velocity.pool())
+        sink(n, velocity.pool(clock() if clock else None))
         for table in (edges, velocity):
             if len(table.state()["data"]) > compact_after:
                 table.compact()

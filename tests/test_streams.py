@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import impressions as I
 from kithgraph.plans.feed import preview_clock
-from kithgraph.schemas import EPOCH, IMPRESSION_ENTRIES
+from kithgraph.schemas import EPOCH, FATIGUE_WINDOW, IMPRESSION_ENTRIES
 from kithgraph.sources import frames
-from kithgraph.streaming import streams
+from kithgraph.streaming import streams, viewers
 
 
 def test_preview_clock():
@@ -24,23 +24,59 @@ def emitted(stream, tmp_path, mode="append"):
     return stream.sparkSession.read.parquet(f"{tmp_path}/emitted")
 
 
+def in_files(spark, tmp_path, rows, schema, files=4):
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+
+VIEWS = "viewer_id long, post_id long, served_at long, seq long"
+
+
 @pytest.mark.parametrize("rows", [(), ((7, None, 1_700_000_000, 9_999),)])
 def test_streamed_impressions_equal_the_batch_form(spark, tmp_path, rows):
     """Viewer 1 has more entries than a history holds, in shuffled files; viewer 2 few, with gaps."""
     rng = random.Random(4)
     log = [(1, rng.randrange(700), 1_700_000_000 + 20 * k, k) for k in range(IMPRESSION_ENTRIES + 900)]
     log += [(2, rng.randrange(3), 1_700_000_000 + rng.randrange(90_000), 5_000 + k) for k in range(60)]
-    schema = "viewer_id long, post_id long, served_at long, seq long"
-    want = {tuple(r) for r in I.state(spark.createDataFrame(log, schema)).collect()}
+    want = {tuple(r) for r in I.state(spark.createDataFrame(log, VIEWS)).collect()}
     log += rows
     rng.shuffle(log)
-    for k in range(4):
-        spark.createDataFrame(log[k::4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    out = emitted(streams.impression_state(stream, "3 days"), tmp_path, "update")
+    out = emitted(viewers.impression_state(in_files(spark, tmp_path, log, VIEWS), "3 days"), tmp_path, "update")
     assert out.select("n").distinct().count() >= 4 and out.where("count = 0").count() > 0
-    last = out.groupBy("viewer_id", "post_id").agg(F.max_by(F.struct("last_served", "count"), "n").alias("x")).where("x.count > 0")
-    assert {tuple(r) for r in last.select("viewer_id", "post_id", "x.last_served", "x.count").collect()} == want
+    assert {tuple(r) for r in viewers.last_words(out, "n").collect()} == want
+
+
+def test_expired_impressions_equal_the_batch_form(spark, tmp_path):
+    """Files in order of time, over ten windows: posts expire, viewers are forgotten, and some come back."""
+    rng = random.Random(5)
+    log = sorted((1_700_000_000 + rng.randrange(10 * FATIGUE_WINDOW), rng.randrange(4), rng.randrange(12)) for _ in range(400))
+    log = [(viewer, post, at, seq) for seq, (at, viewer, post) in enumerate(log)]
+    log += [(9, 1, 1_700_000_000, 900), (9, 1, 1_700_000_030, 901)]
+    parts = [sorted(log, key=lambda r: r[2])[k : k + 101] for k in range(0, 402, 101)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, VIEWS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(VIEWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = emitted(viewers.impression_state(stream, "10 seconds"), tmp_path, "update")
+    now = max(r[2] for r in log) - 10
+    want = {tuple(r) for r in I.live(I.state(spark.createDataFrame(log, VIEWS)), now).collect()}
+    assert want and {tuple(r) for r in viewers.last_words(out, "n").collect()} == want
+    assert out.where("expired and viewer_id = 9").count() == 1 and out.where("expired").count() > 20
+
+
+def test_last_seen_equals_the_batch_form(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted(((rng.randrange(30), 1_700_000_000 + rng.randrange(4_000)) for _ in range(300)), key=lambda r: r[1])
+    for k in range(3):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100] + [(None, 5), (3, None)], "user_id long, ts long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("user_id long, ts long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = emitted(viewers.last_seen(stream, "5 seconds"), tmp_path, "update")
+    newest = {}
+    for u, t in rows:
+        newest[u] = max(t, newest.get(u, 0))
+    now = max(newest.values()) - 5
+    assert {tuple(r) for r in viewers.active(out, "n").collect()} == {(u, t) for u, t in newest.items() if t + 900 > now}
+    assert out.where("not active").count() > 0
 
 
 def test_slices_and_start_cursor(spark, tmp_path):
