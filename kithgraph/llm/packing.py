@@ -109,34 +109,6 @@ def _taken(left: list[Piece], room: int) -> list[Piece]:
     return own
 
 
-def cut_windows(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
-    """Full windows of pieces where whole ones can't fit; `capacity` divides their total.
-
-    Differencing gives windows near the mean, which is the capacity.  What exceeds a window is cut
-    from its smallest pieces and fills the windows that fall short.
-    """
-    k = sum(p[2] for p in pieces) // capacity
-    windows, spare, short = [], [], []
-    for part in differencing([p[2] for p in pieces], k):
-        own = sorted((pieces[i] for i in part), key=lambda p: -p[2])
-        over = sum(p[2] for p in own) - capacity
-        while over > 0:
-            doc, start, length = own.pop()
-            if length > over:
-                own.append((doc, start, length - over))
-                spare.append((doc, start + length - over, over))
-                over = 0
-            else:
-                spare.append((doc, start, length))
-                over -= length
-        windows.append(own)
-        if over < 0:
-            short.append((own, -over))
-    for own, room in short:
-        own.extend(_taken(spare, room))
-    return windows
-
-
 def powers(pieces: list[Piece]) -> list[list[Piece]]:
     """Windows whose lengths are distinct powers of two, of all that is in pieces."""
     left, windows, pieces = sum(p[2] for p in pieces), [], pieces[::-1]
@@ -152,13 +124,14 @@ class Packer:
 
     A document of a window and more gives full windows of its own; its rest is a piece, and so is a
     shorter document.  Of a block of pieces, rests first and then the latest documents are set
-    aside as filler; the others are packed whole wherever differencing finds room.
+    aside as filler; the others are packed whole, in as many windows as differencing needs.
     """
 
     def __init__(self, capacity: int, block_windows: int = BLOCK_WINDOWS):
         self.capacity, self.goal = capacity, capacity * block_windows
         self.pieces: list[Piece] = []
-        self.held = self.cut_blocks = 0
+        self.held = 0
+        self.shares: list[float] = []  # of each attempt at a block
 
     def add(self, doc: int, length: int) -> Iterator[list[Piece]]:
         start = 0
@@ -172,19 +145,23 @@ class Packer:
                 yield from self._block()
 
     def _block(self) -> list[list[Piece]]:
-        """Full windows of the pieces; what doesn't fill one stays."""
-        filler, whole, aside = [], [], 0
-        for p in sorted(self.pieces, key=lambda p: (p[1] == 0, -p[0])):
-            if aside < FILLER * self.held:
-                filler.append(p)
-                aside += p[2]
-            else:
-                whole.append(p)
-        found = filled_windows(whole[::-1], filler, self.capacity)
-        if found is None:
-            self.cut_blocks += 1
-            left = self.pieces[::-1]
-            found = cut_windows(_taken(left, self.held - self.held % self.capacity), self.capacity), left[::-1]
+        """Full windows of the pieces; what doesn't fill one stays.
+
+        Where the rising count asks for more room than there is filler, half as much again is set
+        aside, so that fewer pieces are left to be whole; with all of them aside a window is always full.
+        """
+        order, share, found = sorted(self.pieces, key=lambda p: (p[1] == 0, -p[0])), FILLER, None
+        while found is None:
+            filler, whole, aside = [], [], 0
+            for p in order:
+                if aside < share * self.held:
+                    filler.append(p)
+                    aside += p[2]
+                else:
+                    whole.append(p)
+            found = filled_windows(whole[::-1], filler, self.capacity)
+            self.shares.append(share)
+            share *= 1.5
         windows, self.pieces = found
         self.held = sum(p[2] for p in self.pieces)
         return windows

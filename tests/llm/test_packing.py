@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kithgraph.llm.packing import Packer, differencing, filled_windows, pack
+from kithgraph.llm.packing import FILLER, Packer, differencing, filled_windows, pack
 
 
 @given(st.lists(st.integers(1, 300), max_size=60), st.integers(1, 9))
@@ -38,7 +38,23 @@ def test_most_documents_stay_whole():
     for w in windows:
         for d, _, _ in w:
             parts[d] += 1
-    assert packer.cut_blocks <= 1 and sum(n == 1 for n in parts) > 0.8 * len(parts)
+    assert sum(x > FILLER for x in packer.shares) <= 3 and sum(n == 1 for n in parts) > 0.8 * len(parts)
+
+
+def test_count_rises_where_no_two_documents_fit():
+    """Each window takes one whole document and filler: the count rises far above what the total asks for."""
+    packer, windows = Packer(2048, 64), []
+    lengths = [1100 + (k * 7919) % 401 for k in range(3000)]
+    for doc, n in enumerate(lengths):
+        windows += packer.add(doc, n)
+    windows += packer.end()
+    parts = [0] * len(lengths)
+    for w in windows:
+        for d, _, _ in w:
+            parts[d] += 1
+    full = [w for w in windows if sum(p[2] for p in w) == 2048]
+    assert max(packer.shares) > FILLER and len(windows) - len(full) <= 11 and sum(map(sum, ([p[2] for p in w] for w in windows))) == sum(lengths)
+    assert sum(n == 1 for n in parts) > 0.55 * len(parts)
 
 
 @given(st.lists(st.integers(1, 9000), max_size=80))
