@@ -160,8 +160,27 @@ def identifier(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "^@+", "")
 
 
+#: What precedes a handle in a pasted link, and the domain of a bare name.
+PREFIXES, DOMAIN = ("at://", "https://bsky.app/profile/", "http://bsky.app/profile/"), "bsky.social"
+#: Bare names that are no handles.
+RESERVED = ("localhost", "local", "invalid", "test", "example", "internal", "intranet", "corp", "lan", "home", "arpa")
+
+
+def handle(text: Column) -> Column:
+    """A handle or did from what a user typed or pasted: in lower case, and a bare name with DOMAIN."""
+    trimmed = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    raw = trimmed(text)
+    link = F.regexp_extract(raw, "^https?://bsky\\.app/profile/([^/?#]*)", 1)
+    rest = F.when(raw.startswith(PREFIXES[0]), F.substring(raw, F.lit(len(PREFIXES[0]) + 1), F.length(raw))).when(raw.startswith(PREFIXES[1]) | raw.startswith(PREFIXES[2]), link).otherwise(raw)
+    clean = trimmed(F.regexp_replace(F.regexp_replace(trimmed(rest), "^@+", ""), "/+$", ""))
+    lower = F.translate(clean, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bare = lower.rlike("^[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?$") & ~lower.rlike("^[0-9]+$") & ~lower.isin(*RESERVED)
+    return F.when(clean.startswith("did:"), clean).when(bare, F.concat(lower, F.lit(f".{DOMAIN}"))).otherwise(lower)
+
+
 def rfc3339(ts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Seconds since 1970 as a time in UTC, whatever the session's zone."""
+    return F.date_format(F.timestamp_add("SECOND", ts, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 #: name(arguments) -> expression, for register().

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.operators.graph import user_posts
+from kithgraph.operators.maintenance import estimated_bytes
 from kithgraph.schemas import Graph
 
 #: Windows of active users, seconds.
@@ -59,3 +62,12 @@ def impression_counts(state: DataFrame) -> DataFrame:
     """(viewer_id, posts, viewers): distinct posts shown to each viewer, and viewers tracked."""
     per = state.groupBy("viewer_id").agg(F.count("*").alias("posts"))
     return per.crossJoin(F.broadcast(per.agg(F.count("*").alias("viewers"))))
+
+
+def store_bytes(graph: Graph) -> DataFrame:
+    """(store, rows, bytes) of each table, bytes estimated from its schema."""
+    out = None
+    for f in fields(Graph):
+        own = estimated_bytes(getattr(graph, f.name)).select(F.lit(f.name).alias("store"), "rows", "bytes")
+        out = own if out is None else out.unionByName(own)
+    return out
