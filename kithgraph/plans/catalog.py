@@ -162,6 +162,12 @@ def tier1_candidates(spark, d):
     return P.tier1(g, DIALS, G.now_of(g.edges)).groupBy("viewer_id").agg(F.count("*").alias("candidates"), F.max("score").alias("best"), F.sum("curators").alias("curators"))
 
 
+@query(O.L + O.T1 + " SELECT viewer_id, post_id, score, CAST(curators AS BIGINT) AS curators, topic FROM t1")
+def tier1_rows(spark, d):
+    g = sparse(spark, d)
+    return P.tier1(g, DIALS, G.now_of(g.edges)).select("viewer_id", "post_id", "score", F.col("curators").cast("long").alias("curators"), "topic")
+
+
 @query(O.L + O.T2 + " SELECT viewer_id, post_id, score, topic FROM t2")
 def tier2_candidates(spark, d):
     g = sparse(spark, d)
@@ -598,6 +604,50 @@ def save_load_roundtrip(spark, d):
     return store.load(spark, root)[0].edges.select("user_id", "post_id", "signal", "ts")
 
 
+_TOPIC_AT = "list_position(['art', 'tech', 'science', 'news', 'culture', 'general'], topic)"
+#: Every table of the graph as rows (store, a, b, c).
+_ALL = f""", every AS (SELECT 'edges' AS store, user_id AS a, post_id AS b, CAST(signal AS BIGINT) AS c FROM edges UNION ALL SELECT 'raw', user_id, post_id, ts FROM raw UNION ALL SELECT 'meta', post_id, author_id, coalesce(root_id, -1) FROM meta
+  UNION ALL SELECT 'topics', post_id, {_TOPIC_AT}, 0 FROM meta UNION ALL SELECT 'users', user_id, 0, 0 FROM users UNION ALL SELECT 'follows', follower_id, followed_id, 0 FROM follows UNION ALL SELECT 'blocks', a, b, 0 FROM blocks UNION ALL SELECT 'impressions', viewer_id, post_id, served_at FROM imp)"""
+
+
+def _all_rows(g) -> DataFrame:
+    n = lambda c: F.lit(c).cast("long")
+    place = S.topic_code(F.col("topic")).cast("long") + 1
+    tables = {
+        "edges": (g.edges, "user_id", "post_id", F.col("signal").cast("long")), "raw": (g.raw, "user_id", "post_id", "ts"), "meta": (g.meta, "post_id", "author_id", F.coalesce("root_id", n(-1))), "topics": (g.topics, "post_id", place, n(0)),
+        "users": (g.users, "user_id", n(0), n(0)), "follows": (g.follows, "follower_id", "followed_id", n(0)), "blocks": (g.blocks, "blocker_id", "blocked_id", n(0)), "impressions": (g.impressions, "viewer_id", "post_id", "served_at"),
+    }
+    out = None
+    for name, (df, *columns) in tables.items():
+        own = df.select(F.lit(name).alias("store"), *((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip("abc", columns, strict=True)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(O.E + _ALL + " SELECT * FROM every")
+def save_load_tables(spark, d):
+    """All eight tables after a save and a load."""
+    root = f"{store.scratch(spark)}/snapshots-{uuid.uuid4().hex}"
+    store.save(dense(spark, d), root, 17)
+    return _all_rows(store.load(spark, root)[0])
+
+
+@query(O.E + _ALL + """ SELECT every.* FROM every, now WHERE CASE store WHEN 'edges' THEN EXISTS (SELECT 1 FROM edges e WHERE e.user_id = every.a AND e.post_id = every.b AND e.signal = every.c AND e.ts >= now - 604800) WHEN 'raw' THEN c >= now - 604800 WHEN 'meta' THEN 1700000000 >= now - 604800
+  WHEN 'topics' THEN 1700000000 >= now - 604800 OR a IN (SELECT post_id FROM edges, now WHERE ts >= now - 604800) ELSE true END""")
+def prune_tables(spark, d):
+    """All eight tables after retention of seven days."""
+    g = dense(spark, d)
+    return _all_rows(M.prune(g, G.now_of(g.edges) - 7 * 86_400))
+
+
+@query(O.E + _ALL + """, ids AS (SELECT a AS id FROM every WHERE store NOT IN ('raw', 'topics', 'users') UNION SELECT b FROM every WHERE store NOT IN ('raw', 'topics', 'users') UNION SELECT c FROM every WHERE store = 'meta' AND c >= 0 UNION SELECT parent_id FROM meta WHERE parent_id IS NOT NULL),
+m AS (SELECT id AS old, (row_number() OVER (PARTITION BY id % 64 ORDER BY id) - 1) * 64 + id % 64 AS new FROM ids)
+SELECT store, x.new AS a, CASE WHEN store IN ('topics', 'users') THEN b ELSE y.new END AS b, CASE WHEN store = 'meta' THEN coalesce(z.new, -1) ELSE c END AS c FROM every LEFT JOIN m x ON x.old = a LEFT JOIN m y ON y.old = b LEFT JOIN m z ON z.old = c""")
+def compact_tables(spark, d):
+    """All eight tables after renumbering."""
+    return _all_rows(M.compact(dense(spark, d)))
+
+
 @query("""WITH s AS (SELECT user_id, max(CAST(floor(epoch(ts)) AS BIGINT)) AS ts FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM s)
 SELECT count(*) FILTER (WHERE ts >= now - 60) AS active_60s, count(*) FILTER (WHERE ts >= now - 300) AS active_300s, count(*) FILTER (WHERE ts >= now - 900) AS active_900s, count(*) AS tracked FROM s, n""")
 def active_users(spark, d):

@@ -117,3 +117,20 @@ def test_sections_of_a_snapshot(spark, tmp_path):
         store.section(spark, str(tmp_path), "other")
     with pytest.raises(ValueError):
         store.save(g, str(tmp_path), 5, {"edges": known})
+
+
+def test_preview_bodies(spark):
+    """Posts in order with the parts of their scores and their proofs."""
+    import json
+
+    from kithgraph.plans import responses
+
+    g, *_ = make(spark, 6)
+    rows = store.written(P.preview_tiers(g, D.Dials(min_likes=0, explain=True), NOW))
+    bodies = {r["viewer_id"]: json.loads(r["body"]) for r in responses.previews(rows, 12).collect()}
+    for viewer, body in bodies.items():
+        own = rows.where(F.col("viewer_id") == viewer).orderBy("pos").collect()
+        assert body["viewer_did"] == str(viewer) and body["total_candidates"] == len(own) and body["query_latency_us"] == 12
+        assert [i["uri"] for i in body["items"]] == [str(r["post_id"]) for r in own]
+        assert all(i["score_breakdown"]["final_score"] == round(r["score"], 6) and i["tier"].startswith(f"Tier {r['tier']}") and i["proof_chain"]["steps"] for i, r in zip(body["items"], own, strict=True))
+    assert bodies
