@@ -56,7 +56,8 @@ def render_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     The segments of a conversation by turn make up its formatted text.  The loss mask covers
     loss_chars code points of a segment from loss_start on: the (escaped) text of a row whose role
-    is learn_from, nothing of others.  Null role or text: empty.  Repeated rows are repeated turns.
+    is learn_from, nothing of others.  Null role or text: empty.  Repeated rows are repeated turns; an
+    empty table gives no rows.  A very long text takes memory in proportion to its length.
     """
     narrow = df.select(F.col(conv_col), F.col(turn_col), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("__role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     out = StructType([narrow.schema[0], narrow.schema[1], StructField("segment", StringType()), StructField("loss_start", LongType()), StructField("loss_chars", LongType())])

@@ -178,11 +178,13 @@ def pack(df: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, id_col
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text (null: empty) and end_id, so that every row has at
-    least one piece; repeated rows are packed as often as they occur, and other columns of df are
-    ignored.  A text longer than a window is cut into full windows and a rest, however long it is.
+    least one piece; repeated rows are packed as often as they occur, an empty table gives no rows, and
+    other columns of df are ignored.  A text longer than a window is cut into full windows and a rest, however long it is.
     A partition packs its rows in their order and blocks of BLOCK_WINDOWS windows; no row
     moves and only one block of pieces is held.  A sequence is full, or is as long as a power of
-    two, so nothing is padded.  sequence_id is unique within one run.
+    two, so nothing is padded.  sequence_id is unique within one run;
+    it and the pieces follow the order of a partition's rows, so df should be a table or sorted, as
+    a lost task could else be packed anew in another order.
     """
     narrow = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -91,6 +91,7 @@ class Hasher:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
+    # The public multipliers of a 64-bit finaliser.
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -510,7 +511,8 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     between ASCII white space; of fewer words, their sequence.  Documents link at a Jaccard
     similarity of link percent and more; component_id is the smallest id reachable.  Null, empty and
     blank texts have no shingles and link with nothing; rows with a null id have a null component
-    and link with nothing.  Repeated rows give repeated results.  Other columns are ignored.
+    and link with nothing.  Repeated rows give repeated results; an empty table gives no rows.  A very
+    long text is read as a whole, in memory in proportion to its length.  Other columns are ignored.
     """
     base, known = _classes(df, id_col, text_col, words, link, False)
     out = base.join(known, "cls", "left")

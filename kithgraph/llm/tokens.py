@@ -207,7 +207,8 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     Null and empty texts have no tokens and the digests of empty strings.  A very long text is
     encoded in halves and takes memory in proportion to its length, with or without white space.
-    Repeated rows give repeated results; other columns of df are ignored.  `path` must exist on every node.
+    Repeated rows give repeated results, an empty table no rows; other columns of df are ignored.
+    `path` must exist on every node.
     """
     return map_texts(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: WordTokenizer(path, leaf).rows)
 
@@ -321,7 +322,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc
     """id, n_bytes, n_tokens, over_limit of every whole text; one row for each input row.
 
     Null and empty texts have 0 bytes and 0 tokens.  A very long unsplit text takes time n log n and
-    memory in proportion to its length.  Repeated rows give repeated results; other columns of df are ignored.
+    memory in proportion to its length.  Repeated rows give repeated results, an empty table no rows;
+    other columns of df are ignored.
     """
 
     def make():

@@ -210,7 +210,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     are null, empty, zero or hold null or non-finite components, and rows with a null id, link with
     nothing: they are components of their own.  Vectors of different lengths aren't compared.
     Filters with many vectors are dealt in blocks, each pair of blocks to a task of its own.
-    `words` defaults to the fourth root of the number of classes, so filters keep pace with it.
+    An empty table gives no rows.  `words` defaults to the fourth root of the number of classes, so filters keep pace with it.
     """
     v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
