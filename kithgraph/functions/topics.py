@@ -23,7 +23,7 @@ AUTHOR_WORDS = {
     "news": "breaking chronicle gazette journalism journalist news press reporter reuters times tribune",
     "culture": "book books cinema culture film history literature movie music musician philosophy poetry writer",
 }
-#: Beginnings of authors' identifiers and handles, by topic, tried in this order.
+#: Beginnings of authors' identifiers and handles; topics are tried in this order, and within one any may match.
 SEED_IDS = {
     "art": "art_seed artist designer illustrator painter photographer",
     "tech": "coder developer engineer programmer rustacean tech tech_seed",

@@ -410,6 +410,7 @@ verbs AS (SELECT unnest([1, 2, 3]) AS s, unnest(['liked', 'quoted', 'reposted'])
 sg AS (SELECT user_id, post_id, arg_min(signal, seq) AS signal FROM edges GROUP BY 1, 2)"""
 _FOUND = """FROM asked a LEFT JOIN meta m ON m.post_id = a.post_id LEFT JOIN tw ON tw.u = a.viewer_id AND tw.post_id = a.post_id LEFT JOIN fr ON fr.u = a.viewer_id AND fr.post_id = a.post_id
 LEFT JOIN sg ON sg.user_id = a.viewer_id AND sg.post_id = tw.seed LEFT JOIN verbs sv ON sv.s = sg.signal LEFT JOIN verbs tv ON tv.s = tw.signal LEFT JOIN verbs fv ON fv.s = fr.signal"""
+# The sentences that explain a post.
 _EXPLAIN = _ASKED + """
 SELECT a.viewer_id, a.post_id, CASE WHEN m.post_id IS NULL THEN 'unindexed' WHEN tw.v IS NOT NULL THEN 'twin' WHEN fr.v IS NOT NULL THEN 'follow' ELSE 'trend' END AS chain,
   CASE WHEN m.post_id IS NULL THEN format('Post ''{}'' not found in the current graph store.', a.post_id)

@@ -164,6 +164,7 @@ left_over AS (SELECT * FROM parts c WHERE degree >= 3 AND parent_id IS NULL AND
 chosen AS (SELECT * FROM left_over QUALIFY tier = min(tier) OVER (PARTITION BY viewer_id))""" + STATE + damped("chosen") + capped("damped")
 
 
+# The steps' names and sentences.
 def proof_steps(source: str, followed: str) -> str:
     """Rows of steps from `source` (viewer_id, post_id, chain, twin, conf, twin_verb, seed, seed_verb,
     friend, friend_verb, topic); `followed` ends the sentence on a followed account."""

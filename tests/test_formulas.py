@@ -1,4 +1,7 @@
-"""Golden values of the scalar formulas, in Column and SQL form."""
+"""Golden values of the scalar formulas, in Column and SQL form.
+
+Fixed values: all numbers and names below that are expected.
+"""
 
 import pytest
 from pyspark.sql import functions as F
