@@ -41,6 +41,12 @@ def tail(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 
 
+def placed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of tail() with `place` below n, rising with arrival; rows of equal seq are told apart by their ids."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("seq").desc(), F.col("post_id").desc(), F.col("user_id").desc()))
+    return df.withColumn("__r", rank).where(F.col("__r") <= n).withColumn("place", n - F.col("__r")).drop("__r")
+
+
 def mutual_blocks(blocks: DataFrame) -> DataFrame:
     """Both directions of every block."""
     return blocks.select(F.col("blocker_id").alias("a"), F.col("blocked_id").alias("b")).union(blocks.select("blocked_id", "blocker_id")).distinct()
@@ -59,6 +65,14 @@ def bit_words(posts: DataFrame, width: DataFrame) -> DataFrame:
     return posts.join(numbered, "post_id").groupBy("user_id", "word").agg(F.bit_or(bit).alias("bits"))
 
 
+def shared_bits(pairs: DataFrame, words: DataFrame, *also: str) -> DataFrame:
+    """(u, v, also, bits): the posts of bit_words() that both users of a pair have, where there are any."""
+    left = words.select(F.col("user_id").alias("u"), "word", F.col("bits").alias("x"))
+    right = words.select(F.col("user_id").alias("v"), "word", F.col("bits").alias("y"))
+    both = pairs.select("u", "v", *also).join(left, "u").join(right, ["v", "word"])
+    return both.groupBy("u", "v", *also).agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y")))).cast("long").alias("bits")).where("bits > 0")
+
+
 def overlaps(pairs: DataFrame, posts: DataFrame, heavy: int = POST_EDGES, own: DataFrame | None = None) -> DataFrame:
     """pairs (u, v) with `shared`, the size of the two users' common posts.
 
@@ -71,10 +85,7 @@ def overlaps(pairs: DataFrame, posts: DataFrame, heavy: int = POST_EDGES, own: D
     a = posts.join(width.where(F.col("w") <= heavy), "post_id").select("post_id", F.col("user_id").alias("v"))
     mine = (a.withColumnRenamed("v", "u") if own is None else own.select("post_id", F.col("user_id").alias("u")))
     light = mine.join(a, "post_id").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
-    words = bit_words(posts, width.where(F.col("w") > heavy))
-    left = words.select(F.col("user_id").alias("u"), "word", F.col("bits").alias("x"))
-    right = words.select(F.col("user_id").alias("v"), "word", F.col("bits").alias("y"))
-    rest = pairs.select("u", "v").join(left, "u").join(right, ["v", "word"]).groupBy("u", "v").agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y")))).cast("long").alias("n")).where("n > 0")
+    rest = shared_bits(pairs, bit_words(posts, width.where(F.col("w") > heavy))).withColumnRenamed("bits", "n")
     total = light.join(pairs.select("u", "v"), ["u", "v"], "left_semi").unionByName(rest).groupBy("u", "v").agg(F.sum("n").alias("shared"))
     return pairs.join(total, ["u", "v"])
 
@@ -94,20 +105,29 @@ def neighbours(graph: Graph, viewers: DataFrame | None = None, scanned: int | No
     """
     edges = graph.edges
     own = edges if viewers is None else edges.join(viewers.select("user_id"), "user_id", "left_semi")
-    seeds = tail(own, "user_id", SEEDS).select(F.col("user_id").alias("u"), "post_id", F.col("seq").alias("seed_seq"))
-    reach = tail(edges, "post_id", POST_EDGES).select(F.col("user_id").alias("v"), "post_id", "seq")
-    met = seeds.join(reach, "post_id").where("u <> v").groupBy("u", "v").agg(F.min(F.struct("seed_seq", "seq", "post_id")).alias("first"))
+    seeds = placed(own, "user_id", SEEDS).select(F.col("user_id").alias("u"), "post_id", F.col("place").alias("p"))
+    reach = placed(edges, "post_id", POST_EDGES).select(F.col("user_id").alias("v"), "post_id", F.col("place").alias("q"))
+    # One number keeps the order of the walk, so that hash aggregates take it.
+    walked = seeds.join(reach, "post_id").select("u", "v", F.lit(0).cast("long").alias("n"), (F.col("p") * POST_EDGES + F.col("q")).alias("first"))
+    posts = user_posts(edges)
+    width = posts.groupBy("post_id").agg(F.count("*").alias("w"))
+    theirs = posts.join(width.where(F.col("w") <= POST_EDGES), "post_id").select("post_id", F.col("user_id").alias("v"))
+    common = user_posts(own).withColumnRenamed("user_id", "u").join(theirs, "post_id").select("u", "v", F.lit(1).cast("long").alias("n"), F.lit(None).cast("int").alias("first"))
+    met = walked.unionByName(common).where("u <> v").groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("first is not null")
     barred = mutual_blocks(graph.blocks)
     met = met.join(barred, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
     if scanned:
         order = F.row_number().over(Window.partitionBy("u").orderBy("first"))
         met = met.withColumn("__r", order).where(F.col("__r") <= scanned).drop("__r")
+    words = bit_words(posts, width.where(F.col("w") > POST_EDGES))
+    wide = shared_bits(met, words, "n", "first").select("u", "v", F.col("bits").alias("n"), "first")
+    both = met.unionByName(wide).groupBy("u", "v").agg(F.sum("n").alias("shared"), F.min("first").alias("first")).where(F.col("shared") >= MIN_OVERLAP)
     sizes = cardinality(edges)
-    both = overlaps(met, user_posts(edges), own=None if viewers is None else user_posts(own)).where(F.col("shared") >= MIN_OVERLAP)
     both = both.join(sizes.select(F.col("user_id").alias("u"), F.col("posts").alias("n_u")), "u").join(sizes.select(F.col("user_id").alias("v"), F.col("posts").alias("n_v")), "v")
-    both = both.select("u", "v", "shared", S.confidence(F.col("shared"), F.col("n_u"), F.col("n_v")).alias("conf"), F.col("first.post_id").alias("seed_post"))
+    both = both.select("u", "v", "shared", S.confidence(F.col("shared"), F.col("n_u"), F.col("n_v")).alias("conf"), F.floor(F.col("first") / POST_EDGES).cast("int").alias("p"))
     by = [F.col("conf").desc(), *([F.col("shared").desc()] if by_shared else []), F.col("v")]
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(*by))).where(F.col("rank") <= kept)
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(*by))).where(F.col("rank") <= kept)
+    return best.join(seeds.withColumnRenamed("post_id", "seed_post"), ["u", "p"]).select("u", "v", "shared", "conf", "seed_post", "rank")
 
 
 def velocity(edges: DataFrame, now: int, limit: int = POOL) -> DataFrame:
