@@ -1,9 +1,9 @@
 """Byte-pair encoding, decoding and token counts over whole texts.
 
-For encoding, a text is halved anywhere down to HALF code points; the halves are encoded together
-and joined upwards, each join through a window that grows until both sides agree with it.  The tokenizer always
-cuts at white space, so a run without it is a unit whose ids a worker's bounded table remembers;
-units longer than `leaf` code points are halved and joined token by token.
+For encoding, a text is halved anywhere down to HALF code points; the parts are encoded and their encodings
+joined upwards, each join through a window that is encoded again and grows until its tokens are those of both
+sides.  The tokenizer always cuts at white space, so a part's ids come from those of its runs without it, which a
+worker's bounded table remembers; runs longer than `leaf` code points are halved and joined as well.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ import hashlib
 import heapq
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Bytes of units, ids and names (about) that a worker remembers; then it starts again.
 TABLE_BYTES = 100_000_000
 #: Code points of a text's part that is encoded by itself, and of the first window around a join.
-HALF, WINDOW = 1024, 24
+HALF, WINDOW = 2048, 24
 
 
 class Table(dict):
@@ -54,44 +57,52 @@ def _clean(tokens: list[tuple[int, int, int]], k: int) -> bool:
     return k <= 0 or k >= len(tokens) or tokens[k - 1][2] <= tokens[k][1]
 
 
-def _agreement(side: list, window: list, low: int, high: int, run: int, last: bool) -> tuple[int, int] | None:
-    """(index in side, index in window) of a place amid `run` equal tokens, all of them within [low, high).
+def _agreement(side: list, window: list, high: int, run: int, last: bool) -> tuple[int, int] | None:
+    """(index in side, index in window) of a place amid `run` equal tokens that end within `high`.
 
-    last: take the rightmost such place, else the leftmost.
+    last: take the rightmost such place, else the leftmost.  Two tokens with a gap between them are
+    enough, as the tokenizer always cuts at what lies there.
     """
     where = {(t, a, b): k for k, (t, a, b) in enumerate(side)}
-    order = range(len(window) - run, -1, -1) if last else range(len(window) - run + 1)
-    for j in order:
-        i = where.get(window[j])
-        if i is None or window[j][1] < low or window[j + run - 1][2] > high:
-            continue
-        mid = run // 2
-        if side[i : i + run] == window[j : j + run] and _clean(side, i + mid) and _clean(window, j + mid):
-            return i + mid, j + mid
+    for need in (2, run):
+        mid = need // 2
+        order = range(len(window) - need, -1, -1) if last else range(len(window) - need + 1)
+        for j in order:
+            if need == 2 and window[j][2] >= window[j + 1][1]:
+                continue
+            i = where.get(window[j])
+            if i is None or window[j + need - 1][2] > high:
+                continue
+            if side[i : i + need] == window[j : j + need] and _clean(side, i + mid) and _clean(window, j + mid):
+                return i + mid, j + mid
     return None
 
 
 def join_encoded(encode, text: str, left: list, right: list, low: int, at: int, high: int, start: int = 16, run: int = 4) -> list:
-    """Tokens (id, first, end) of text[low:high] from those of its two parts.
+    """Tokens (id, first, end) of text[low:high] from those of its two parts, whose lists may be changed.
 
     A window around the join is encoded again and doubled until its tokens equal the left part's
-    on the left and the right part's on the right; only what lies between is replaced.
+    on the left and the right part's on the right; only what lies between is replaced.  Only the
+    parts' tokens inside of the window are looked at, so a join costs its window.
     """
     width = start
     while True:
         a, b = max(low, at - width), min(high, at + width)
         window = [(t, x + a, y + a) for t, x, y in encode([text[a:b]])[0]]
-        begin = (0, 0) if a == low else _agreement(left, window, a, at, run, True)
-        end = (len(right), len(window)) if b == high else _agreement(right, window, at, b, run, False)
+        kept = bisect_left(left, a, key=itemgetter(1))
+        begin = (-kept, 0) if a == low else _agreement(left[kept:], window, at, run, True)
+        end = (len(right), len(window)) if b == high else _agreement(right[: bisect_left(right, b, key=itemgetter(1))], window, b, run, False)
         if begin and end and begin[1] <= end[1]:
-            return left[: begin[0]] + window[begin[1] : end[1]] + right[end[0] :]
+            left[kept + begin[0] :] = window[begin[1] : end[1]]
+            left.extend(right[end[0] :])
+            return left
         if a == low and b == high:
             return window
         width *= 2
 
 
 def encode_by_halves(encode, text: str, leaf: int) -> list[tuple[int, int, int]]:
-    """Tokens of a text that nothing splits: its halves are halved on down to `leaf` code points, all
+    """Tokens of a text: its halves are halved on down to `leaf` code points, all
     leaves are encoded together (the library spreads a batch over its threads), and neighbours are
     joined upwards."""
     spans = [(0, len(text))]
@@ -119,7 +130,9 @@ class WordTokenizer:
         self.tok.no_padding()
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.space, self.unit, self.white = re.compile(f"[{WHITE}]+"), re.compile(f"[^{WHITE}]+"), re.compile(f"[{WHITE}]")
+        # A window that holds a whole special token's name on either side of a cut.
+        self.start = max([WINDOW, *(2 * len(t.content) for t in self.tok.get_added_tokens_decoder().values())])
+        self.space, self.white = re.compile(f"[{WHITE}]+"), re.compile(f"[{WHITE}]")
         self.text_of = {k: t.encode() for t, k in self.tok.get_vocab(with_added_tokens=True).items()}
 
     def _triples(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -138,58 +151,90 @@ class WordTokenizer:
                 self._keep(u, self.tok.encode(u, add_special_tokens=False).ids if whole else [t for t, _, _ in encode_by_halves(self._triples, u, self.leaf)])
 
     def _keep(self, unit: str, ids: list[int]) -> None:
-        own = np.array(ids, "<u4").tobytes(), b" ".join(map(self.text_of.__getitem__, ids))
+        own = self._named(ids)
         self.table.put(unit, own, len(own[0]) + len(own[1]))
 
     def split(self, text: str) -> list[str]:
         return [u for u in self.space.split(text) if u] if ODD.search(text) else text.split()
 
-    def halves(self, text: str) -> list[str]:
-        """Units of a text: its halves are halved on down to HALF code points and joined upwards."""
+    def leaves(self, text: str) -> tuple[list[int], list[list[str]]]:
+        """Cuts that halve a text down to HALF code points, and the units of the parts between them."""
         cuts = [0, len(text)]
         while cuts[1] > HALF:
             cuts = [c for a, b in zip(cuts, cuts[1:], strict=False) for c in (a, (a + b) // 2)] + [len(text)]
-        parts = [self.split(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return cuts, [self.split(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def whole(self, text: str, cuts: list[int], parts: list[list[str]]) -> list[tuple]:
+        """Encoded pieces (ids, names) of a text from its encoded leaves, joined upwards."""
+        parts = [list(map(self.table.__getitem__, units)) for units in parts]
         while len(parts) > 1:
             parts = [self.join(text, parts[k], parts[k + 1], cuts[k], cuts[k + 1], cuts[k + 2]) for k in range(0, len(parts), 2)]
             cuts = cuts[::2]
         return parts[0]
 
-    def join(self, text: str, left: list[str], right: list[str], low: int, at: int, high: int) -> list[str]:
-        """Units of text[low:high] from those of its two parts.
+    def join(self, text: str, left: list[tuple], right: list[tuple], low: int, at: int, high: int) -> list[tuple]:
+        """Pieces of text[low:high] from those of its two parts.
 
-        The window around the join is split again and grows until one of its units ends before
-        `at` and is the left part's there, and one begins after it and is the right part's; units at
-        an inner edge of the window don't count.
+        The tokens of a window around the join are compared with those of the left part's last units
+        and the right part's first ones, from where the window begins to where it ends; it grows until
+        both sides agree.  What was encoded anew is one piece, which counts its units.
         """
-        self.joins += 1
-        if self.white.match(text, at) or self.white.match(text, at - 1):  # no unit straddles the cut
+        if self.white.match(text, at) or self.white.match(text, at - 1):  # nothing straddles the cut
             left.extend(right)
             return left
-        width = WINDOW
+        self.joins += 1
+        width = self.start
         while True:
             a, b = max(low, at - width), min(high, at + width)
-            found = [(m.start() + a, m.end() + a, m[0]) for m in self.unit.finditer(text[a:b])]
-            before = [u for u in found if u[1] < at and (u[0] > a or a == low)]
-            after = [u for u in found if u[0] > at and (u[1] < b or b == high)]
-            begin, end = before[-1:] or ([(low, low, None)] if a == low else []), after[:1] or ([(high, high, None)] if b == high else [])
-            if begin and end and (begin[0][2] is None or left[-2] == begin[0][2]) and (end[0][2] is None or right[1] == end[0][2]):
-                left[-1:] = [u for x, y, u in found if x >= begin[0][1] and y <= end[0][0]]
-                left.extend(right[1:])
-                return left
+            head, tail = a, b
+            while head > low and not self.white.match(text, head - 1):
+                head -= 1
+            while tail < high and not self.white.match(text, tail):
+                tail += 1
+            shifts = head, a, at
+            lasts, window, firsts = ([(t, x + s, y + s) for t, x, y in own] for s, own in zip(shifts, self._triples([text[head:at], text[a:b], text[at:tail]]), strict=True))
+            begin = (0, 0) if a == low else _agreement(lasts, window, at, 4, True)
+            end = (len(firsts), len(window)) if b == high else _agreement(firsts, window, b, 4, False)
+            if a == low and b == high:
+                begin, end = (0, 0), (len(firsts), len(window))
+            if begin and end and begin[1] <= end[1]:
+                break
             width *= 2
+        ids = [t for t, _, _ in lasts[: begin[0]] + window[begin[1] : end[1]] + firsts[end[0] :]]
+        back, on = self._dropped(left[::-1], len(self.split(text[head:at]))), self._dropped(right, len(self.split(text[at:tail])))
+        if back is None or on is None:  # a piece of an earlier join is cut
+            return [(*self._named(self.tok.encode(text[low:high], add_special_tokens=False).ids), len(self.split(text[low:high])))]
+        del left[len(left) - back :]
+        left.append((*self._named(ids), len(self.split(text[head:tail]))))
+        left.extend(right[on:])
+        return left
+
+    @staticmethod
+    def _dropped(pieces: list[tuple], units: int) -> int | None:
+        """How many pieces hold the first `units` units, None if the last of them holds more."""
+        k = 0
+        while units > 0:
+            units -= pieces[k][2] if len(pieces[k]) > 2 else 1
+            k += 1
+        return k if units == 0 else None
+
+    def _named(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return np.array(ids, "<u4").tobytes(), b" ".join(map(self.text_of.__getitem__, ids))
+
+    def pieces(self, texts: list[str]) -> Iterator[list[tuple]]:
+        halved = list(map(self.leaves, texts))
+        self.table.trim()
+        self._learn(list(set().union(*(units for _, parts in halved for units in parts)) - self.table.keys()))
+        for text, (cuts, parts) in zip(texts, halved, strict=True):
+            yield self.whole(text, cuts, parts)
 
     def rows(self, texts: list[str]) -> list[list]:
         """n_tokens, ids_sha256, decoded_sha256 of each text.
 
         The library decodes a vocabulary without a decoder to its tokens' names with spaces between.
         """
-        units = list(map(self.halves, texts))
-        self.table.trim()
-        self._learn(list(set().union(*units) - self.table.keys()))
-        n, ids_hex, text_hex, get = [], [], [], self.table.__getitem__
-        for own in units:
-            found = list(map(get, own))
+        n, ids_hex, text_hex = [], [], []
+        for found in self.pieces(texts):
             ids = b"".join([x[0] for x in found])
             n.append(len(ids) // 4)
             ids_hex.append(hashlib.sha256(ids).hexdigest())
@@ -197,9 +242,7 @@ class WordTokenizer:
         return [n, ids_hex, text_hex]
 
     def ids(self, text: str) -> list[int]:
-        units = self.halves(text)
-        self._learn(list(set(units) - self.table.keys()))
-        return np.frombuffer(b"".join(self.table[u][0] for u in units), "<u4").tolist()
+        return np.frombuffer(b"".join(x[0] for x in next(self.pieces([text]))), "<u4").tolist()
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 64) -> DataFrame:
