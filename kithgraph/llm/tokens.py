@@ -138,6 +138,11 @@ class WordTokenizer:
     def _triples(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         return [[(t, a, b) for t, (a, b) in zip(e.ids, e.offsets, strict=True)] for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _triple(self, text: str) -> list[tuple[int, int, int]]:
+        """As _triples() for one short text, without the cost of a batch."""
+        e = self.tok.encode(text, add_special_tokens=False)
+        return [(t, a, b) for t, (a, b) in zip(e.ids, e.offsets, strict=True)]
+
     def _learn(self, units: list[str]) -> None:
         short = [u for u in units if len(u) <= self.leaf]
         for at in range(0, len(short), 2000):
@@ -192,7 +197,7 @@ class WordTokenizer:
             while tail < high and not self.white.match(text, tail):
                 tail += 1
             shifts = head, a, at
-            lasts, window, firsts = ([(t, x + s, y + s) for t, x, y in own] for s, own in zip(shifts, self._triples([text[head:at], text[a:b], text[at:tail]]), strict=True))
+            lasts, window, firsts = ([(t, x + s, y + s) for t, x, y in own] for s, own in zip(shifts, map(self._triple, (text[head:at], text[a:b], text[at:tail])), strict=True))
             begin = (0, 0) if a == low else _agreement(lasts, window, at, 4, True)
             end = (len(firsts), len(window)) if b == high else _agreement(firsts, window, b, 4, False)
             if a == low and b == high:
