@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from kithgraph.llm.components import connected
 from kithgraph.llm.rows import slices
@@ -37,6 +37,9 @@ GROUPS = 256
 #: Counters of how many rows hold the shingles of a counter, in segments of SEGMENT counters: one for
 #: LOAD bytes of text, and up to MOST_COUNTERS, a byte each when broadcast.  Beyond that more classes are flagged.
 SEGMENT, LOAD, MOST_COUNTERS = 1 << 16, 96, 1 << 26
+#: Marks of wanted ids, a bit each when broadcast: PER_ID for an id, and up to MOST_MARKS.  Beyond that more texts
+#: that nobody wants are hashed, and dropped by an exact join.
+PER_ID, MOST_MARKS = 32, 1 << 29
 #: Binary magnitude from which a counter flags its shingles: a task's counters stop at 255.
 FLAG = 8
 #: Members of a bucket that are compared without a tree.
@@ -114,6 +117,12 @@ def prefix_size(n: int, link: int = LINK) -> int:
     return n - -(-link * n // 100) + 1
 
 
+def reach(n: int, link: int = LINK) -> np.ndarray:
+    """For each place in the prefix of a set of n, members of the largest set that may link with it if
+    the first shingle that both hold, in the fixed order, is at that place."""
+    return (100 + link) * (n - np.arange(prefix_size(n, link))) // link - n
+
+
 def linked(common, a, b, link=LINK):
     return (100 + link) * common >= link * (a + b)
 
@@ -216,21 +225,26 @@ def _counter(own: np.ndarray, counters: int) -> np.ndarray:
     return (own & np.uint64(counters - 1)).astype(np.int64)
 
 
+def _codec() -> pa.Codec:
+    """What segments of counters, mostly 0 and 1, are compressed with."""
+    return pa.Codec("zstd", compression_level=1)
+
+
 def counters_for(text_bytes: int) -> int:
     """A power of two in proportion to the input."""
     return min(MOST_COUNTERS, max(SEGMENT, 1 << (text_bytes // LOAD).bit_length()))
 
 
 def _facts(docs: DataFrame, words: int, counters: int) -> DataFrame:
-    """A row for each document (segment is null), and for each task the segments of its counters in
-    point: n places and counts, or all counters where n is -1; a task's counter stops at 255."""
+    """A row for each document (segment is null), and for each task the segments of its counters,
+    compressed, in point; a task's counter stops at 255."""
     arrow = to_arrow_schema(_FACTS)
 
     def batch_of(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, held = Hasher(words), np.zeros(counters, np.uint8)
+        hashed, held, codec = Hasher(words), np.zeros(counters, np.uint8), _codec()
         for batch in batches:
             for start, texts in slices(batch, 1):
                 sets = [hashed(t) for t in texts]
@@ -240,9 +254,7 @@ def _facts(docs: DataFrame, words: int, counters: int) -> DataFrame:
                 yield batch_of([ids, [digest(s) if len(s) else None for s in sets], [len(s) for s in sets], [point(s) for s in sets], [None] * len(sets)])
         parts = held.reshape(-1, SEGMENT)
         for k in np.flatnonzero(parts.any(axis=1)).tolist():
-            at = np.flatnonzero(parts[k])
-            few = 3 * len(at) < SEGMENT  # then places and counts take less room than all counters
-            yield batch_of([[None], [None], [len(at) if few else -1], [at.astype("<u2").tobytes() + parts[k][at].tobytes() if few else parts[k].tobytes()], [k]])
+            yield batch_of([[None], [None], [None], [codec.compress(parts[k].tobytes(), asbytes=True)], [k]])
 
     return docs.mapInArrow(run, _FACTS)
 
@@ -253,19 +265,17 @@ def _magnitudes(facts: DataFrame, counters: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        codec = _codec()
         for batch in batches:
-            for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k not in sums:
                     sums[k] = np.zeros(SEGMENT, np.uint64)
-                if n < 0:
-                    sums[k] += np.frombuffer(raw, np.uint8)
-                else:
-                    sums[k][np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, np.uint8, n, 2 * n)
+                sums[k] += np.frombuffer(codec.decompress(raw, SEGMENT), np.uint8)
         if sums:
             out = [np.ceil(np.log2(v + 1.0)).astype(np.uint8).tobytes() for v in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(out, pa.binary())], names=["segment", "sums"])
 
-    found = facts.where("segment is not null").select("segment", "n", "point").repartition("segment").mapInArrow(run, schema).toLocalIterator()
+    found = facts.where("segment is not null").select("segment", "point").repartition("segment").mapInArrow(run, schema).toLocalIterator()
     out = np.zeros((counters // SEGMENT, SEGMENT), np.uint8)
     for row in found:
         out[row["segment"]] = np.frombuffer(row["sums"], np.uint8)
@@ -273,46 +283,77 @@ def _magnitudes(facts: DataFrame, counters: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, magnitudes: np.ndarray, words: int, link: int) -> DataFrame:
-    """(shingle, cls, n, flagged) of each document's rarest shingles: those of small counters first, by
-    hash among equals.  Any fixed order gives the same links; this one keeps buckets small."""
+    """(shingle, cls, n, most, hot) of each class's rarest shingles: those of small counters first, by
+    hash among equals.  Any fixed order gives the same links; this one keeps buckets small.  most is
+    reach() there; hot is cls where the counter is flagged, else null.  A task gives the rows of a class once."""
     shared, counters = docs.sparkSession.sparkContext.broadcast(magnitudes), len(magnitudes)
-    schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("flagged", BooleanType())])
+    schema = StructType([StructField("shingle", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("most", IntegerType()), StructField("hot", LongType())])
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, magnitude = Hasher(words), shared.value
+        hashed, magnitude, seen = Hasher(words), shared.value, set()
         for batch in batches:
             for _, texts in slices(batch, 1):
-                shingle, cls, n, flagged = [], [], [], []
+                shingle, cls, n, most, hot = [], [], [], [], []
                 for own in map(hashed, texts):
-                    if not len(own):
+                    if not len(own) or (name := digest(own)) in seen:
                         continue
+                    seen.add(name)
                     take, sizes = prefix_size(len(own), link), magnitude[_counter(own, counters)]
                     order = np.argsort(sizes, kind="stable")[:take]
-                    flagged.append(sizes[order] >= FLAG)
                     shingle.append(own[order].view(np.int64))
-                    cls.append(np.full(take, digest(own), np.int64))
+                    cls.append(np.full(take, name, np.int64))
+                    hot.append(pa.array(cls[-1], mask=sizes[order] < FLAG))
                     n.append(np.full(take, len(own), np.int32))
+                    most.append(reach(len(own), link).astype(np.int32))
                 if shingle:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingle, cls, n, flagged)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (shingle, cls, n, most)), pa.concat_arrays(hot)], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, set) of each document, its sorted hashes as bytes."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bits, eight to a byte, at the hashes of a written table of ids."""
+    marks = min(MOST_MARKS, max(8 * SEGMENT, 1 << (PER_ID * ids.count()).bit_length()))
+    schema = StructType([StructField("segment", LongType()), StructField("marks", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, at = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(segment).tolist():
+                held.setdefault(k, np.zeros(8 * SEGMENT, bool))[at[segment == k]] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["segment", "marks"])
+
+    place = F.xxhash64(ids.columns[0]).bitwiseAND(F.lit(marks - 1))
+    places = ids.select(F.floor(place / (8 * SEGMENT)).alias("segment"), (place % (8 * SEGMENT)).alias("at"))
+    out = np.zeros((marks // (8 * SEGMENT), SEGMENT), np.uint8)
+    for row in places.repartition("segment").mapInArrow(run, schema).toLocalIterator():
+        out[row["segment"]] = np.frombuffer(row["marks"], np.uint8)
+    return out.ravel()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(cls, set) of each document with a marked id, its sorted hashes as bytes.
+
+    The marks of `ids`, a written table, are broadcast, so no text moves.  A few other documents may
+    share a mark: what must not be there the caller drops by class.
+    """
     schema = StructType([StructField("cls", LongType()), StructField("set", BinaryType())])
-    arrow = to_arrow_schema(schema)
+    arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(_marks(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hasher(words)
+        hashed, marks = Hasher(words), shared.value
         for batch in batches:
+            at = batch.column(2).to_numpy() & (8 * len(marks) - 1)
+            batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             for _, texts in slices(batch, 1):
                 sets = [s for s in map(hashed, texts) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- comparisons
@@ -439,7 +480,7 @@ def _resolved(groups: DataFrame, link: int) -> DataFrame:
 def _exact_prefixes(docs: DataFrame, flagged: DataFrame, words: int, link: int) -> DataFrame:
     """(shingle, cls, n, large) of the flagged classes, by exact counts among them: first the shingles
     of buckets up to BUCKET classes, by hash among equals."""
-    rows = _sets(docs.join(flagged.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).dropDuplicates(["cls"])
+    rows = _sets(docs, flagged.select("first"), words).dropDuplicates(["cls"])
     rows = written(rows.join(flagged.select("cls").distinct(), "cls", "left_semi"))
     each = _members(rows)
     large = written(each.groupBy("shingle").agg(F.count("*").alias("met")).where(F.col("met") > BUCKET).select("shingle", F.lit(True).alias("large")))
@@ -467,16 +508,21 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, link: int, o
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counters = counters_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     facts = written(_facts(docs, words, counters))
-    base = facts.where("segment is null").select("doc_id", "cls", "n")
-    sound = facts.where("segment is null and doc_id is not null and n > 0")
+    base = written(facts.where("segment is null").select("doc_id", "cls", "n"))
+    sound = base.where("doc_id is not null and n > 0")
     magnitudes = _magnitudes(facts, counters)
-    classes = written(sound.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
-    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes, words, link).groupBy("shingle", "cls").agg(F.first("n").alias("n"), F.first("flagged").alias("flagged"))
-    # Flagged shingles may be hot: each of their rows is a partition of its own here.
-    bucket = Window.partitionBy("shingle", F.when(F.col("flagged"), F.col("cls")))
-    prefixes = written(prefixes.withColumn("met", F.count("*").over(bucket)).where("met > 1 or flagged").drop("met"))
-    small = prefixes.where("not flagged").select("shingle", "cls", "n")
-    flagged = written(prefixes.where("flagged").select("cls").distinct().join(classes.select("cls", "first"), "cls"))
+    classes = written(facts.where("segment is null and doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("point").alias("point")))
+    discard(facts)
+    # Flagged shingles may be hot: each of their rows is a partition of its own here.  One exchange
+    # serves the distinct rows and the buckets.  Rows without another one in reach go before they get their points.
+    prefixes = _prefixes(docs.where("doc_id is not null"), magnitudes, words, link).repartition("shingle", "hot")
+    prefixes = prefixes.groupBy("shingle", "hot", "cls").agg(F.first("n").alias("n"), F.first("most").alias("most"))
+    bucket = Window.partitionBy("shingle", "hot").orderBy("n", "cls")
+    smaller = F.max("most").over(bucket.rowsBetween(Window.unboundedPreceding, -1))
+    prefixes = prefixes.withColumns({"smaller": smaller, "next": F.lead("n").over(bucket)})
+    prefixes = written(prefixes.where("hot is not null or smaller >= n or most >= next").select("shingle", "cls", "n", "hot"))
+    small = prefixes.where("hot is null").select("shingle", "cls", "n")
+    flagged = written(prefixes.where("hot is not null").select("cls").distinct().join(classes.select("cls", "first"), "cls"))
     stars = None
     if not flagged.isEmpty():
         exact = written(_exact_prefixes(docs, flagged, words, link))
@@ -490,15 +536,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, link: int, o
     pairs = written((pairs if stars is None else pairs.unionByName(stars)).distinct())
     groups = written(connected(pairs))
     discard(pairs, prefixes)
-    wanted = groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
-    texts = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(_sets(texts, words).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
+    wanted = written(groups.join(classes.select("cls", "first"), F.col("node") == F.col("cls")).select("first"))
+    sets = written(_sets(docs, wanted, words).dropDuplicates(["cls"]).join(groups, F.col("cls") == F.col("node")).select(F.col("component").alias("grp"), "cls", "set"))
     edges = _resolved(sets, link)
     if one_id:
         same = sound.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("z")).where("b <> z")
         edges = edges.unionByName(sound.join(same.select("doc_id", "b"), "doc_id").where("cls <> b").select(F.col("cls").alias("a"), "b"))
     component = connected(edges)
-    discard(sets, groups)
+    discard(sets, groups, wanted)
     known = classes.join(component, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     return base, known.join(least, "component").select("cls", "component_id")

@@ -185,3 +185,47 @@ def test_stage_links_at_five_words_and_four_fifths(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect())
     assert kept == [i for i, _ in rows if i not in {b for _, b in pairs}]
+
+
+def test_texts_stay_where_they_lie_and_prefixes_move_once(spark, monkeypatch):
+    plans, written = [], shingles.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(shingles, "written", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(6)
+        got = shingles.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in got) == brute(rows)
+    assert not any("hashpartitioning(doc_id" in p for p in plans)
+    prefixes = [p for p in plans if "Window" in p and "hashpartitioning(shingle" in p]
+    assert prefixes and all(p.count("Exchange") == 1 for p in prefixes[:1])
+
+
+def test_marks_leave_out_no_id(spark, monkeypatch):
+    ids = spark.range(-3000, 3000, 3).toDF("first")
+    docs = spark.range(-3000, 3000).selectExpr("id as doc_id", "concat('w', id) as text")
+    wanted = {shingles.digest(shingles.Hasher()(f"w{k}")) for k in range(-3000, 3000, 3)}
+    for most in (1 << 29, 1 << 19):
+        monkeypatch.setattr(shingles, "MOST_MARKS", most)
+        found = {r["cls"] for r in shingles._sets(docs, ids, 4).collect()}
+        assert wanted <= found and len(found) < 2 * len(wanted)
+
+
+def test_reach_holds_every_link():
+    rng = random.Random(7)
+    for link in (80, 85):
+        for _ in range(3000):
+            whole = list(range(rng.randrange(1, 80)))
+            rng.shuffle(whole)
+            a, b = (sorted(x for x in whole if rng.random() < 0.96) for _ in range(2))
+            common = set(a) & set(b)
+            if common and 100 * len(common) >= link * len(set(a) | set(b)):
+                i, j = a.index(min(common)), b.index(min(common))
+                assert shingles.reach(len(a), link)[i] >= len(b) and shingles.reach(len(b), link)[j] >= len(a)
+    assert shingles.reach(20).tolist() == [23, 21, 19, 17]
