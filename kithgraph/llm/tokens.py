@@ -30,6 +30,8 @@ ODD = re.compile(r"[\x1c-\x1f]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of units, ids and names (about) that a worker remembers; then it starts again.
 TABLE_BYTES = 100_000_000
+#: Units that are encoded as one text, with a separator between them.
+RUN = 100
 #: Code points of a text's part that is encoded by itself, and of the first window around a join.
 HALF, WINDOW = 2048, 24
 
@@ -134,6 +136,7 @@ class WordTokenizer:
         self.start = max([WINDOW, *(2 * len(t.content) for t in self.tok.get_added_tokens_decoder().values())])
         self.space, self.white = re.compile(f"[{WHITE}]+"), re.compile(f"[{WHITE}]")
         self.text_of = {k: t.encode() for t, k in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.between, self.mark = self._separator()
 
     def _triples(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         return [[(t, a, b) for t, (a, b) in zip(e.ids, e.offsets, strict=True)] for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -145,16 +148,38 @@ class WordTokenizer:
 
     def _learn(self, units: list[str]) -> None:
         short = [u for u in units if len(u) <= self.leaf]
-        for at in range(0, len(short), 2000):
-            part = short[at : at + 2000]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._keep(u, e.ids)
+        for at in range(0, len(short), 20 * RUN):
+            runs = [short[k : k + RUN] for k in range(at, min(at + 20 * RUN, len(short)), RUN)]
+            for run, e in zip(runs, self.tok.encode_batch_fast([self.between.join(r) for r in runs], add_special_tokens=False), strict=True):
+                self._share(run, e.ids)
         for u in units:
             if len(u) > self.leaf:
                 # A special token's name amid a text must not be cut; such units are rare.
                 whole = self.special and self.special.search(u)
                 self._keep(u, self.tok.encode(u, add_special_tokens=False).ids if whole else [t for t, _, _ in encode_by_halves(self._triples, u, self.leaf)])
 
+    def _share(self, run: list[str], ids: list[int]) -> None:
+        """Keeps the ids of each unit from those of a run of units with the separator's id between them."""
+        own, put = np.array(ids, "<u4"), self.table.put
+        cuts = np.flatnonzero(own == self.mark).tolist() if self.mark is not None else []
+        if self.mark is None or len(cuts) != len(run) - 1:  # the separator's id also stands inside a unit
+            for u in run:
+                self._keep(u, self.tok.encode(u, add_special_tokens=False).ids)
+            return
+        raw, names = own.tobytes(), list(map(self.text_of.__getitem__, ids))
+        for u, a, b in zip(run, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
+            text = b" ".join(names[a:b])
+            put(u, (raw[4 * a : 4 * b], text), 4 * (b - a) + len(text))
+
+    def _separator(self) -> tuple[str, int | None]:
+        """White space around a word that is one token, and its id: the latest such word of the vocabulary."""
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None) or ""
+        for name, k in sorted(self.tok.get_vocab(with_added_tokens=False).items(), key=lambda x: -x[1]):
+            word = name.removesuffix(suffix)
+            if word.isalpha() and self.tok.encode(f" {word} ", add_special_tokens=False).ids == [k]:
+                return f" {word} ", k
+        return " ", None
+
     def _keep(self, unit: str, ids: list[int]) -> None:
         own = self._named(ids)
         self.table.put(unit, own, len(own[0]) + len(own[1]))

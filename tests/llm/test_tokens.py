@@ -119,3 +119,16 @@ def test_a_worker_forgets():
     own.table.held = tokens.TABLE_BYTES + 1
     own.rows(["a b"])
     assert set(own.table) == {"a", "b"} and own.table.held < 1000
+
+
+def test_units_are_encoded_in_runs():
+    """Also where the separator's own word stands among the units or inside of one."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), WordTokenizer(path)
+    assert own.mark is not None
+    word = own.between.strip()
+    for text in [" ".join(f"unit{k}x" for k in range(950)), f"a {word} b", f"a {word}! \u200b {word}{word} b", f"{word}", f"a!{word} b <|endoftext|> c"]:
+        assert own.ids(text) == tok.encode(text, add_special_tokens=False).ids
+    assert own.ids("\u0301 x \xad y") == tok.encode("\u0301 x \xad y", add_special_tokens=False).ids
