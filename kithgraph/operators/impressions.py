@@ -33,9 +33,13 @@ def damped(candidates: DataFrame, history: DataFrame, now: int) -> DataFrame:
     best of them would reach CEILING of the least positive unseen score; both extrema are
     aggregates over a viewer's whole list.
     """
-    h = history.select("viewer_id", "post_id", "last_served", F.col("count").alias("__c"))
-    c = candidates.join(h, ["viewer_id", "post_id"], "left")
-    c = c.withColumn("mult", F.coalesce(S.compounded_fatigue(F.lit(now) - F.col("last_served"), F.col("__c")), F.lit(1.0))).drop("last_served", "__c")
+    h = history.select("viewer_id", "post_id", "last_served", F.col("count").alias("served"))
+    return scaled(candidates.join(h, ["viewer_id", "post_id"], "left"), now)
+
+
+def scaled(c: DataFrame, now: int) -> DataFrame:
+    """damped() of candidates that bring last_served and served, how often, along."""
+    c = c.withColumn("mult", F.coalesce(S.compounded_fatigue(F.lit(now) - F.col("last_served"), F.col("served")), F.lit(1.0))).drop("last_served", "served")
     whole = Window.partitionBy("viewer_id")
     least = F.min(F.when((F.col("mult") >= 1) & (F.col("score") > 0), F.col("score"))).over(whole)
     most = F.max(F.when(F.col("mult") < 1, F.col("score") * F.col("mult"))).over(whole)

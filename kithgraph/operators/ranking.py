@@ -67,6 +67,16 @@ def dense_positions(c: DataFrame, per: str = "viewer_id") -> DataFrame:
     return c.withColumn("pos", F.row_number().over(Window.partitionBy(per).orderBy("pos")))
 
 
+def listed(c: DataFrame) -> DataFrame:
+    """dense_positions(author_cap(thread_cap(positions(c)))): in the order of scores the place of a conversation
+    is that of its best post, so no row needs a position before the caps."""
+    best = [F.col("score").desc(), "post_id"]
+    first = F.row_number().over(Window.partitionBy("viewer_id", "__root").orderBy(*best))
+    c = c.withColumn("__root", F.coalesce("root_id", "post_id")).withColumn("__w", first).where("__w = 1").drop("__w", "__root")
+    rank = F.row_number().over(Window.partitionBy("viewer_id", "author_id").orderBy(*best))
+    return positions(c.withColumn("__a", rank).where(F.col("__a") <= PER_AUTHOR).drop("__a"))
+
+
 def interleave(c: DataFrame, per: str | None = None) -> DataFrame:
     """Positions that deal topics in rounds, best of each bucket first; input positions in pos."""
     keys = [per] if per else []

@@ -56,6 +56,19 @@ def test_no_pair_of_the_walk_is_shuffled(spark):
     assert n < 190_000
 
 
+def test_candidates_of_the_first_tier_are_not_shuffled(spark):
+    """tier1: some 340,000 posts of neighbours, filtered, damped and capped without a shuffle of one of them."""
+    g = store.shared(sparse_graph(spark))
+    c = P.tier1(g, Dials(min_likes=0), NOW)
+    rows = c.count()
+    _, n = shuffled(spark, lambda: taken(c))
+    assert rows > 250_000 > n
+    _, n = shuffled(spark, lambda: taken(P.feed(g, Dials(min_likes=0), NOW)))
+    assert n < 2 * rows
+    _, n = shuffled(spark, lambda: taken(P.preview_twins(g, Dials(min_likes=0), NOW)))
+    assert n < 2 * rows
+
+
 @pytest.mark.parametrize("wide,scanned", [(500, None), (500, 5), (4, None), (4, 5), (8, 7)])
 def test_neighbours_equal_sets(spark, monkeypatch, wide, scanned):
     """Also where posts are wider than the bound and the walk is cut."""
@@ -83,6 +96,14 @@ def test_neighbours_equal_sets(spark, monkeypatch, wide, scanned):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 and got[k][2] == want[k][2] for k in want)
 
 
+def test_listed_equals_the_caps_one_by_one(spark):
+    rng = random.Random(5)
+    rows = [(v, p, float(rng.randrange(30)), p % 7, rng.choice([None, p - p % 4])) for v in range(4) for p in rng.sample(range(200), 90)]
+    df = spark.createDataFrame(rows, "viewer_id long, post_id long, score double, author_id long, root_id long")
+    want = R.dense_positions(R.author_cap(R.thread_cap(R.positions(df)))).select("viewer_id", "post_id", "pos").collect()
+    assert sorted(map(tuple, R.listed(df).select("viewer_id", "post_id", "pos").collect())) == sorted(map(tuple, want))
+
+
 def test_written_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(store.CLEANUP, None)
     assert store.written(spark.range(5)).count() == 5 and spark.conf.get(store.CLEANUP, None) == before
