@@ -69,6 +69,19 @@ def test_candidates_of_the_first_tier_are_not_shuffled(spark):
     assert n < 2 * rows
 
 
+def test_candidates_of_the_second_tier_are_not_shuffled(spark):
+    """100,000 posts of followed users; the caps need no shuffle of their own."""
+    g = store.shared(sparse_graph(spark))
+    now, dials = NOW, Dials(min_likes=0)
+
+    def placed():
+        c = I.scaled(P.tier2(g, dials, now, passing=True, history=I.state(g.impressions)), now).withColumn("score", F.round("damped", 9))
+        taken(R.author_cap(R.thread_cap(R.positions(c))))
+
+    _, n = shuffled(spark, placed)
+    assert n < 120_000
+
+
 @pytest.mark.parametrize("wide,scanned", [(500, None), (500, 5), (4, None), (4, 5), (8, 7)])
 def test_neighbours_equal_sets(spark, monkeypatch, wide, scanned):
     """Also where posts are wider than the bound and the walk is cut."""
