@@ -109,6 +109,30 @@ def test_neighbours_equal_sets(spark, monkeypatch, wide, scanned):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 and got[k][2] == want[k][2] for k in want)
 
 
+@pytest.mark.parametrize("wide", [0, 6, 9, 500])
+def test_similar_pairs_equal_sets(spark, monkeypatch, wide):
+    """All posts wide, some, or none; users in several blocks."""
+    monkeypatch.setattr(G, "POST_EDGES", wide)
+    monkeypatch.setattr(G, "BLOCK", 7)
+    g, raw, *_ = make(spark, 3, posts=90)
+    own = {}
+    for u, p, *_ in raw:
+        own.setdefault(u, set()).add(p)
+    want = {(u, v): (len(own[u] & own[v]), len(own[u]), len(own[v])) for u in own for v in own if u < v and own[u] & own[v]}
+    rows = G.similar_pairs(g.edges).collect()
+    assert {(r.u, r.v): (r.shared, r.n_u, r.n_v) for r in rows} == want and len(rows) == len(want)
+
+
+def test_pairs_of_wide_posts_are_not_counted_post_by_post(spark, monkeypatch):
+    """60 users with 300 posts in common: 1,770 pairs from 60 * 5 words, not 531,000 rows."""
+    monkeypatch.setattr(G, "POST_EDGES", 50)
+    edges = spark.range(60).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("post_id"))
+    pairs = G.similar_pairs(edges)
+    assert {(r.shared, r.n_u, r.n_v) for r in pairs.collect()} == {(300, 300, 300)} and pairs.count() == 60 * 59 // 2
+    width = edges.groupBy("post_id").agg(F.count("*").alias("w"))
+    assert G.bit_words(edges, width, 1).count() == 60 * 5
+
+
 def test_listed_equals_the_caps_one_by_one(spark):
     rng = random.Random(5)
     rows = [(v, p, float(rng.randrange(30)), p % 7, rng.choice([None, p - p % 4])) for v in range(4) for p in rng.sample(range(200), 90)]
