@@ -133,6 +133,30 @@ def test_pairs_of_wide_posts_are_not_counted_post_by_post(spark, monkeypatch):
     assert G.bit_words(edges, width, 1).count() == 60 * 5
 
 
+@pytest.mark.parametrize("wide", [5, 500])
+def test_asked_pairs_equal_sets(spark, monkeypatch, wide):
+    monkeypatch.setattr(X, "POST_EDGES", wide)
+    g, raw, _, blocks = make(spark, 9)
+    own = {}
+    for u, p, *_ in raw:
+        own.setdefault(u, set()).add(p)
+    barred = {(a, b) for a, b in blocks} | {(b, a) for a, b in blocks}
+    asked = {u: [v for v in range(25) if (u + v) % 3] for u in (1, 3, 4, 9, 26)}
+    follows = {(u, (u + 1) % 25) for u in range(25)}
+    none = set()
+    want = {(u, v): (n, (u, v) in follows) for u, many in asked.items() for v in many if u != v and (u, v) not in barred for n in [len(own.get(u, none) & own.get(v, none))] if n >= 2 or (u, v) in follows}
+    got = X.asked_pairs(g, spark.createDataFrame(list(asked.items()), "u long, v array<long>"))
+    assert {(r.u, r.v): (r.shared, r.followed) for r in got.collect()} == want
+
+
+def test_explained_pairs_are_counted_where_asked(spark):
+    """Two requests by each of 1,000 viewers: no row for each of the 190,000 pairs with a post in common."""
+    g = store.shared(sparse_graph(spark))
+    asked = g.users.select(F.col("user_id").alias("viewer_id"), F.explode(F.array(F.col("user_id") * 2, F.lit(3).cast("long"))).alias("post_id"))
+    _, n = shuffled(spark, lambda: taken(X.explain(g, asked)))
+    assert n < 300_000
+
+
 def test_listed_equals_the_caps_one_by_one(spark):
     rng = random.Random(5)
     rows = [(v, p, float(rng.randrange(30)), p % 7, rng.choice([None, p - p % 4])) for v in range(4) for p in rng.sample(range(200), 90)]
